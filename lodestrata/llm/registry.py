@@ -1,10 +1,16 @@
 """Queries of the subpackage and their SQL."""
 
+from .line_dedup import OP7_SQL, op7_line_runs
 from .mixing import OP5_SQL, op5_source_mixing
+from .packing import op3_open_window_packing
 from .sharding import op4_sampled_splitters
+from .warc import OP9_SQL, op9_warc_segments
 
 QUERIES = {
+    "op3_open_window_packing": op3_open_window_packing,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_source_mixing": op5_source_mixing,
+    "op7_line_runs": op7_line_runs,
+    "op9_warc_segments": op9_warc_segments,
 }
-ORACLE_SQL = {"op5_source_mixing": OP5_SQL}
+ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_line_runs": OP7_SQL, "op9_warc_segments": OP9_SQL}
