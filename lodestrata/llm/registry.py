@@ -2,6 +2,7 @@
 
 from .ann_curves import op6_hilbert_neighbours
 from .line_dedup import OP7_SQL, op7_line_runs
+from .lm_scoring import op1_deleted_interpolation
 from .mixing import OP5_SQL, op5_source_mixing
 from .near_dedup import op2_minhash_dedup
 from .packing import op3_open_window_packing
@@ -11,6 +12,7 @@ from .topk import OP10_SQL, op10_uniform_threshold
 from .warc import OP9_SQL, op9_warc_segments
 
 QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_open_window_packing": op3_open_window_packing,
     "op4_sampled_splitters": op4_sampled_splitters,
