@@ -20,7 +20,6 @@ from ..operators.files import top_of_project
 
 c = F.col
 RESP = "responsibilities"
-PRIORITY = F.create_map(*(F.lit(x) for pair in {"P0": 0, "P1": 1, "P2": 2, "P3": 3}.items() for x in pair))
 STEP = "array<struct<path:string,note:string>>"
 
 
@@ -346,7 +345,7 @@ def findings(streams: list[DataFrame], noise: DataFrame, commands: DataFrame) ->
     check = F.concat(F.lit("pr.verify: "), F.array_join("commands", " && "))
     rows = rows.withColumn("prs", F.when((F.size("prs") > 0) & (F.size("commands") > 0), F.array_append("prs", check)).otherwise(c("prs"))).drop("commands")
     rows = gated(capped(rows)).unionByName(noise.withColumn("violations", F.array().cast("array<string>")))
-    place = W.partitionBy("project").orderBy((c("kind") == "noise").cast("int"), PRIORITY[c("priority")], "emit")
+    place = W.partitionBy("project").orderBy((c("kind") == "noise").cast("int"), "priority", "emit")
     return rows.withColumn("rank", F.row_number().over(place))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import rules
 from ..functions import text as t
@@ -13,8 +16,7 @@ from ..operators import files
 def raw_tree(spark: SparkSession, root: str, project: str) -> DataFrame:
     """(project, path, length, content) of all files under a folder that any file system of Spark can reach.
 
-    Directories that are never scanned and files over the limit are left out as
-    the folder is listed, before content is read.
+    Spark lists no hidden files, so rules of .gitignore don't apply; ``SourceTree`` reads these too.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
@@ -22,6 +24,51 @@ def raw_tree(spark: SparkSession, root: str, project: str) -> DataFrame:
     return read.select(F.lit(project).alias("project"), files.normal_path(plain, base).alias("path"), F.col("length"), "content")
 
 
+class SourceTree(DataSource):
+    """``spark.read.format("sourcetree").option("path", root)``: files under folders that the executors can reach.
+
+    Each folder below the root is a partition. Folders that are never scanned are
+    not entered, and files over the limit are named without content.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sourcetree"
+
+    def schema(self) -> str:
+        return "project string, path string, length bigint, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options["path"], self.options.get("project", self.options["path"]))
+
+
+def _entered(name: str) -> bool:
+    return name not in rules.SKIPPED_DIRS and not name.startswith(".")
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, root: str, project: str):
+        self.root, self.project = root, project
+
+    def partitions(self) -> list[InputPartition]:
+        folders = [e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and _entered(e.name)]
+        return [InputPartition(""), *map(InputPartition, sorted(folders))]
+
+    def read(self, partition):
+        for folder, inner, names in os.walk(os.path.join(self.root, partition.value)):
+            inner[:] = [d for d in inner if partition.value and _entered(d)]
+            for name in names:
+                full = os.path.join(folder, name)
+                if os.path.islink(full):
+                    continue
+                length = os.path.getsize(full)
+                content = None
+                if length <= rules.MAX_FILE_BYTES:
+                    with open(full, "rb") as f:
+                        content = f.read()
+                yield self.project, os.path.relpath(full, self.root).replace(os.sep, "/"), length, content
+
+
 def ignored_by(patterns: DataFrame) -> DataFrame:
     """(project, folder, ord, rule, keep) of .gitignore files (project, path, content): rules as regular expressions on paths.
 
@@ -57,7 +104,7 @@ def scan(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = seen.join(last.where("not keep"), ["project", "path"], "left_anti")
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     known = own.where(files.language_of(ext).isNotNull())
-    fits = (F.col("length") <= rules.MAX_FILE_BYTES) & F.is_valid_utf8(F.col("content").cast("string"))
+    fits = (F.col("length") <= rules.MAX_FILE_BYTES) & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
     text = known.where(fits).select("project", "path", F.decode("content", "UTF-8").alias("content"))
     counts = known.groupBy("project").agg(F.count("*").alias("recognised"), F.count_if(~fits).alias("skipped"), F.count_if(fits).alias("kept"))
     return files.as_files(text), counts.join(own.groupBy("project").agg(F.count("*").alias("seen")), "project", "right").fillna(0)
