@@ -36,13 +36,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
-
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Limits the bytes of a batch that goes to Python, unless the session has a limit of its own.
-
-    Batches are counted in rows otherwise, and ten thousand very long texts would
-    not fit in a worker.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("-1", "0", str((1 << 31) - 1), str((1 << 63) - 1)):
-        spark.conf.set(key, size)
