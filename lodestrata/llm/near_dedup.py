@@ -2,11 +2,13 @@
 
 Documents with equal shingle sets are one class from the start; its smallest
 doc_id stands for it. Representatives that share a band's minima are candidates.
-A bucket is worked off in rounds: its smallest unfinished member, the pivot, is
-compared with the members of other components, then leaves. A bucket ends when
-the members left are in one component, since no further link could change the
-components. So each round makes as many pairs as there are members, a large
-group of near copies needs one or two rounds, and no pair that matters is skipped.
+First each bucket's smallest member is compared with the others, which joins a
+large group of near copies in as many comparisons as it has members. Buckets
+whose members are then in one component are done, since no further link could
+change the components. The members of the rest are worked off in blocks: those
+outside the largest component of their family (buckets that hang together)
+against all of the family. So no link that matters is skipped, and pairs are
+made in a task's memory only.
 """
 
 from __future__ import annotations
@@ -77,31 +79,93 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInPandas(sets, "doc_id long, minima binary, shingles binary").dropDuplicates(["doc_id"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough.
+def _similar(am: np.ndarray, bm: np.ndarray, ax: np.ndarray, bx: np.ndarray, percent: int) -> bool:
+    """Whether two shingle sets are similar enough.
 
-    A pair whose minima agree in under half of the places is refused first: at a
-    similarity of 0.75 that is over six standard deviations away. The rest is
-    confirmed on the full sets.
+    Minima that agree in under half of the places refuse the pair: at a similarity
+    of 0.75 that is over six standard deviations away. The rest is confirmed on
+    the full sets.
     """
+    if (am == bm).mean() < 0.5:
+        return False
+    both = len(np.intersect1d(ax, bx, assume_unique=True))
+    return 100 * both >= percent * (len(ax) + len(bx) - both)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for am, bm, ax, by in zip(a, b, x, y, strict=True):
-            if (np.frombuffer(am, "<u4") == np.frombuffer(bm, "<u4")).mean() < 0.5:
-                out.append(False)
-                continue
-            p, q = np.frombuffer(ax, np.uint64), np.frombuffer(by, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        rows = zip(a, b, x, y, strict=True)
+        return pd.Series(
+            [_similar(np.frombuffer(am, "<u4"), np.frombuffer(bm, "<u4"), np.frombuffer(ax, np.uint64), np.frombuffer(bx, np.uint64), percent) for am, bm, ax, bx in rows],
+            dtype=bool,
+        )
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("minima").alias("am"), F.col("shingles").alias("ax"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("minima").alias("bm"), F.col("shingles").alias("bx"))
     return pairs.join(right, "b").join(left, "a").where(similar("am", "bm", "ax", "bx")).select("a", "b")
 
 
+def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with several components, but for the smallest, which is ``a``."""
+    at = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    heads = (
+        at.groupBy("key")
+        .agg(F.min(F.struct("doc_id", "component", "n")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("key", F.col("pivot.doc_id").alias("a"), F.col("pivot.component").alias("a_component"), F.col("pivot.n").alias("a_n"))
+    )
+    return stored(at.join(heads, "key").where("doc_id <> a"), "open-buckets")
+
+
+def _block_links(open_: DataFrame, found: DataFrame, sets: DataFrame, percent: int, size: int = 512) -> DataFrame:
+    """Links between components of a family: of its documents outside its largest component with all of them."""
+    family = components(open_, "a", "doc_id").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    docs = family.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    docs = stored(docs, "families")
+    of = (
+        docs.groupBy("family", "component").agg(F.count("*").alias("n"))
+        .groupBy("family").agg(F.max_by("component", "n").alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        .select("family", "major", F.ceil(F.col("n") / size).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / size).alias("minor_blocks"))
+        .where("minor_blocks > 0")
+    )
+    rows = docs.join(of, "family").join(sets, "doc_id").withColumn("minor", F.col("component") != F.col("major"))
+    columns = ["family", "doc_id", "component", "minor", "minima", "shingles"]
+    place = F.xxhash64(F.lit("block"), "doc_id")
+    left = rows.where("minor").select(*(F.col(c).alias(c) for c in columns), F.pmod(place, "minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    right = rows.select(*columns, F.pmod(place, "blocks").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("i"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out, root = [], {}
+        if len(x) and len(y):
+            xm, ym = (np.stack([np.frombuffer(m, "<u4") for m in t["minima"]]) for t in (x, y))
+            xb, yb = (np.stack([band_keys(m) for m in t]) for t in (xm, ym))
+            xs, ys = ([np.frombuffer(s, np.uint64) for s in t["shingles"]] for t in (x, y))
+            sizes, ids, minor = np.array([len(s) for s in ys]), y["doc_id"].to_numpy(), y["minor"].to_numpy(bool)
+            parts = y["component"].to_numpy()
+
+            def top(c):
+                while c in root:
+                    c = root[c]
+                return c
+
+            for i, (doc_id, component) in enumerate(zip(x["doc_id"], x["component"], strict=True)):
+                n = len(xs[i])
+                able = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (parts != component) & ~(minor & (ids < doc_id))
+                at = np.flatnonzero(able)
+                for j in at[(yb[at] == xb[i]).any(axis=1)]:
+                    a, b = top(component), top(parts[j])
+                    if a != b and _similar(xm[i], ym[j], xs[i], ys[j], percent):  # what is joined already needs no link
+                        out.append((doc_id, ids[j]))
+                        root[max(a, b)] = min(a, b)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keys = ["family", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per row.
 
@@ -124,23 +188,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     twice = named.join(standing.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = components(twice, "a", "b")
 
-    while True:
-        at = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        heads = (
-            at.groupBy("key")
-            .agg(F.min(F.struct("doc_id", "component", "n")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high")
-            .select("key", F.col("pivot.doc_id").alias("a"), F.col("pivot.component").alias("a_component"), F.col("pivot.n").alias("a_n"))
-        )
-        open_ = stored(at.join(heads, "key").where("doc_id <> a"), "open-buckets")
-        pairs = open_.where("component <> a_component and 100 * least(n, a_n) >= %d * greatest(n, a_n)" % percent)
-        links = stored(_links(pairs.select("a", F.col("doc_id").alias("b")).distinct(), sets, percent), "links")
-        if not links.isEmpty():
-            edges = links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
-            found = components(edges, "a", "b")
-        members = open_.select("key", "doc_id", "n")
-        if members.isEmpty():
-            break
+    def joined(links: DataFrame) -> DataFrame:
+        return components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), "a", "b")
+
+    open_ = _open_buckets(members, found)
+    pairs = open_.where("component <> a_component and 100 * least(n, a_n) >= %d * greatest(n, a_n)" % percent)
+    found = joined(_links(pairs.select("a", F.col("doc_id").alias("b")).distinct(), sets, percent))
+    open_ = _open_buckets(members, found)
+    found = joined(_block_links(open_, found, sets, percent))
 
     found = stored(found, "components")
     of = standing.join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component"))
