@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_path, stored
+from ..scratch import broadcast_if_small, shared_path, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,7 +105,8 @@ def drop_common_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5,
     runs = LineRuns(spark, fanout)
     for n in range(batches):
         runs.ingest(lines.where(F.col("batch") == n))
-    common = runs.totals().where(F.col("docs") >= min_docs)
+    # Common lines are few; where they are not, the join shuffles and a very common line's rows can be split.
+    common = broadcast_if_small(stored(runs.totals().where(F.col("docs") >= min_docs), "common-lines"), 100_000)
     drops = (
         lines.join(common, ["h1", "h2"])
         .where("last is not null and not (doc_id <=> last)")

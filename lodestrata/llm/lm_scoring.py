@@ -137,7 +137,7 @@ class Weights:
         return np.minimum(np.frexp(context.astype(float))[1], LEVELS - 1)  # 0 for an unseen context
 
 
-def score_documents(docs: DataFrame, block_tokens: int = 4_000_000, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, block_tokens: int = 2_000_000, bucket_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are one end token. A null doc_id has the fold of an empty

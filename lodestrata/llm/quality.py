@@ -76,26 +76,28 @@ class Network:
                 embed[:, d] += np.bincount(bytes_, flow[:, d], 257)
         return grads | {"embed": embed.astype("f4")}
 
-    def fit(self, texts: list[list[np.ndarray]], labels: np.ndarray, ratio: float, epochs: int = 8, rate: float = 4e-3, seed: int = 7) -> Network:
-        """Adam over chunks; a text's chunks share its weight, the two labels share alike. Then a scale for whole texts.
+    def fit(self, texts: list[list[bytes]], labels: np.ndarray, ratio: float, epochs: int = 8, rate: float = 4e-3, seed: int = 7) -> Network:
+        """Adam over chunks of texts; a text's chunks share its weight, the two labels share alike. Then a scale for whole texts.
 
         ``ratio``: how many times as frequent label 1 is as label 0 outside the sample.
+        Chunks stay bytes but for those of a step.
         """
-        rows = np.concatenate([np.stack(t) for t in texts])
+        chunks = [c for t in texts for c in t]
+        rows = lambda pick: np.concatenate([chunks_of(chunks[i])[0][:1] for i in pick])
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         y = labels[owner].astype("f4")
         share = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1))
         w = (share / np.array([len(t) for t in texts]))[owner].astype("f4")
         r, m, v, step = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(epochs):
-            order = r.permutation(len(rows))
+            order = r.permutation(len(chunks))
             for i in range(0, len(order), 128):
                 pick, step = order[i : i + 128], step + 1
-                for k, g in self.gradients(rows[pick], y[pick], w[pick]).items():
+                for k, g in self.gradients(rows(pick), y[pick], w[pick]).items():
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * g
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * g * g
                     self.p[k] -= (rate * 0.6**epoch * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype("f4")
-        odds = np.concatenate([self.log_odds(rows[i : i + 256]) for i in range(0, len(rows), 256)])
+        odds = np.concatenate([self.log_odds(rows(range(i, min(i + 128, len(chunks))))) for i in range(0, len(chunks), 128)])
         mean = np.bincount(owner, odds) / np.bincount(owner)
         self._scale_to(mean, labels.astype("f8"))
         self.shift += float(np.log(ratio * (labels == 0).sum() / (labels == 1).sum()))
@@ -179,7 +181,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_label: int = 3000, chu
     if len(set(y.tolist())) < 2:
         return None
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    texts = [[chunks_of(bytes(c))[0][0] for c in r["chunks"]] for r in rows]
+    texts = [[bytes(c) for c in r["chunks"]] for r in rows]
+    del rows
     return Network().fit(texts, y, counts[1] / counts[0])
 
 

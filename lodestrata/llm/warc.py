@@ -85,14 +85,11 @@ def write_archives(
         F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8").alias("payload"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("digest", F.sha1("payload"))
-    first = (
-        rows.where(F.octet_length("payload") >= min_bytes)
-        .groupBy(F.col("digest").alias("same"))
-        .agg(F.max(F.struct("page_id", "row")).alias("kept"))
-    )
-    marked = rows.join(first, (F.col("digest") == F.col("same")) & (F.octet_length("payload") >= min_bytes), "left").select(
-        "page_id", "row", "url", "payload", "digest", F.when(F.col("kept.row") != F.col("row"), F.col("kept.page_id")).alias("refers_to")
-    )
+    # Marks are made on narrow rows; payloads are dealt once, by the row, so a large group of copies stays spread.
+    narrow = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "row", "digest")
+    kept = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"))
+    revisits = narrow.join(kept, "digest").where("row <> kept.row").select(F.col("row").alias("revisit"), F.col("kept.page_id").alias("refers_to"))
+    marked = rows.join(revisits, F.col("row") == F.col("revisit"), "left").select("page_id", "row", "url", "payload", "digest", "refers_to")
 
     def records(batches):
         for b in batches:
@@ -174,17 +171,18 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     part = "origin string, number int, total long, headers string, block binary"
 
     def parse(batches):
-        for b in batches:
+        for content in (c for b in batches for c in b["content"]):  # one archive at a time
             whole, parts = [], []
-            for content in b["content"]:
-                for headers, block in _parsed(_gunzipped(content)):
-                    number = headers.get("warc-segment-number")
-                    if number is None:
-                        whole.append(_decoded(headers, block, keep_payload))
-                    else:
-                        origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
-                        parts.append((origin, int(number), headers.get("warc-segment-total-length"), json.dumps(headers) if number == "1" else None, block))
-            yield pd.concat([_rows(whole), pd.DataFrame(parts, columns=["origin", "number", "total", "headers", "block"]).astype({"number": "Int32"}).assign(total=lambda x: pd.to_numeric(x["total"]).astype("Int64"))])
+            for headers, block in _parsed(_gunzipped(content)):
+                number = headers.get("warc-segment-number")
+                if number is None:
+                    whole.append(_decoded(headers, block, keep_payload))
+                else:
+                    origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
+                    total = headers.get("warc-segment-total-length")
+                    parts.append((origin, int(number), total and int(total), json.dumps(headers) if number == "1" else None, block))
+            segments = pd.DataFrame(parts, columns=["origin", "number", "total", "headers", "block"])
+            yield pd.concat([_rows(whole), segments.astype({"number": "Int32", "total": "Int64"})])
 
     def reassemble(batches):
         for b in batches:
