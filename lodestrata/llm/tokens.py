@@ -25,7 +25,7 @@ class Encoder:
     known: dict[str, bytes] = {}  # kept by the worker process from task to task
     stems: dict[str, bytes] = {}
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 600_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
