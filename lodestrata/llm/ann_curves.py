@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
-Vectors are projected on a few random directions, shifted, and put in the order
-of a Hilbert curve; several such orders are made. Spark range-partitions each
-order and numbers it. A query sees the candidates within a window of places to
-either side of its own, in each order; the windows' best are merged and ranked by
-the exact inner product.
+Candidates are parted into bands of about equal length. In each band their
+directions are projected on a few random axes, cut to a grid of quantiles, shifted,
+and put in the order of a Hilbert curve; several such orders (lanes) are made.
+Spark range-partitions each lane and numbers it. A query sees the candidates within
+a reach of places to either side of its own, in each lane; the reach grows with the
+band, so that recall does not fall as the table grows. The best of all lanes are
+merged and ranked by the exact inner product.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 from ..scratch import stored
 from .vectors import candidates, nearest_of_queries, query_classes, valid
 
+BLOCK = 65536  # most places compared at once
+SAMPLE = 4096  # vectors from which the grids are made
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Place of each point (unsigned coordinates below 2**bits) on the Hilbert curve; bits times dimensions at most 63.
@@ -55,71 +62,108 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _directions(column: pd.Series, width: int) -> np.ndarray:
+    """Vectors of length 1."""
+    x = _matrix(column, width)
+    x /= np.maximum(np.abs(x).max(1, keepdims=True, initial=0), np.finfo(float).tiny)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def bands_of(counts: dict[int, int], least: int) -> dict[int, int]:
+    """Step of length -> band: neighbouring steps, from the longest, that hold at most ``least`` candidates together; a larger step is a band of its own."""
+    out, band, held = {}, -1, least + 1
+    for step in sorted(counts, reverse=True):
+        if held + counts[step] > least:
+            band, held = band + 1, 0
+        out[step] = band
+        held += counts[step]
+    return out
+
+
 def search(
-    vectors: DataFrame, k: int, every: int, curves: int = 6, window: int = 8192, axes: int = 4, bits: int = 8, seed: int = 11
+    vectors: DataFrame, k: int, every: int, curves: int = 6, window: int = 8192, axes: int = 4, bits: int = 8, seed: int = 11, share: float = 0.1
 ) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score), the k nearest found of each vec_id divisible by ``every``.
 
     Null or zero vectors, and those with null or non-finite components, take no
     part; neither do rows with null vec_id. Shorter vectors count as filled up with
     zeros. Repeated rows count once. Ties go to the smaller vec_id. Other columns are
-    not read. For vectors of unequal length a coordinate is added that makes all
-    candidates equally long, so that near means a large inner product.
+    not read. Near means a large inner product: lengths are cut into steps of half
+    an octave, steps of few candidates share a band, and each band is searched by
+    direction. In every lane a query sees ``window`` places to either side, or the
+    part ``share`` of its band's candidates if that is more; a band of at most
+    ``window`` candidates is seen whole, by one lane.
     """
     rows = valid(vectors).where(F.exists("v", lambda x: x != 0))
     found = candidates(rows, k + 1)
     queries = query_classes(rows, found, F.col("vec_id") % every == 0)
+    spark = found.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    width, longest = found.agg(F.max(F.size("v")), F.max(square)).first()
-    width, longest = width or 1, longest or 1.0
+    step = F.floor(F.greatest(F.lit(-3000.0), F.least(F.lit(3000.0), F.log2(square))) + 0.5).cast("int")
+    width = found.agg(F.max(F.size("v"))).first()[0] or 1
+    counts = {r["step"]: r["count"] for r in found.groupBy(step.alias("step")).count().collect()}
+    band_of, sizes = bands_of(counts, window), defaultdict(int)
+    for at, n in counts.items():
+        sizes[band_of[at]] += n
+    lanes = {band: 1 if n <= window else curves for band, n in sizes.items()}
+    reach = {band: max(window, math.ceil(share * n)) for band, n in sizes.items()}
 
     r = np.random.default_rng(seed)
-    axes_of = [np.linalg.qr(r.normal(size=(width + 1, min(axes, width + 1))))[0] for _ in range(curves)]
-    shifts = [r.uniform(-0.5, 0.5, a.shape[1]) for a in axes_of]
-    sharp = np.sqrt(width + 1) / 8 * (1 << bits)  # eight standard deviations of a random direction to the side
+    axes_of = [np.linalg.qr(r.normal(size=(width, min(axes, width))))[0] for _ in range(curves)]
+    shifts = [r.integers(0, 1 << bits, a.shape[1]) for a in axes_of]
+    some = [row["v"] for row in found.where("first").orderBy(F.xxhash64("v"), "vec_id").select("v").limit(SAMPLE).collect()]
+    sample = _directions(pd.Series(some), width)
+    grids = [np.quantile(sample @ a, np.arange(1, 1 << bits) / (1 << bits), axis=0) if some else np.zeros((1, a.shape[1])) for a in axes_of]
 
     def place(batches):
         for b in batches:
-            x = _matrix(b["v"], width)
-            size = (x * x).sum(1, keepdims=True)
-            asks = b["asks"].to_numpy(bool)[:, None]
-            x = np.hstack([x / np.sqrt(np.where(asks, size, longest)), np.where(asks, 0, np.sqrt(np.maximum(1 - size / longest, 0)))])
-            for n, (to, shift) in enumerate(zip(axes_of, shifts, strict=True)):
-                cells = np.clip((x @ to + shift / np.sqrt(width + 1)) * sharp + (1 << bits) / 2, 0, (1 << bits) - 1)
-                yield b.assign(curve=n, key=hilbert(cells.astype(np.int64), bits))
+            x = _directions(b["v"], width)
+            asks = b["asks"].to_numpy(bool)
+            own = b["step"].map(band_of).to_numpy()
+            for n, (to, shift, grid) in enumerate(zip(axes_of, shifts, grids, strict=True)):
+                p = x @ to
+                cells = np.stack([np.searchsorted(grid[:, i], p[:, i]) for i in range(p.shape[1])], 1) + shift
+                key = hilbert(cells, bits + 1)
+                for band, many in lanes.items():
+                    at = asks | (own == band)
+                    if n < many and at.any():
+                        yield b[at].drop(columns="step").assign(lane=band * curves + n, key=key[at])
 
     def number(batches):
-        """Counts the candidates of each curve before each row; the rows come in order."""
+        """Counts the candidates of each lane before each row; the rows come in order."""
         seen: dict[int, int] = {}
         part = TaskContext.get().partitionId()
         for b in batches:
             out = np.zeros(len(b), np.int64)
-            for curve in b["curve"].unique():
-                at = (b["curve"] == curve).to_numpy()
+            for lane in b["lane"].unique():
+                at = (b["lane"] == lane).to_numpy()
                 count = np.cumsum(~b["asks"].to_numpy(bool)[at])
-                out[at] = seen.get(curve, 0) + count - ~b["asks"].to_numpy(bool)[at]
-                seen[curve] = seen.get(curve, 0) + int(count[-1])
+                out[at] = seen.get(lane, 0) + count - ~b["asks"].to_numpy(bool)[at]
+                seen[lane] = seen.get(lane, 0) + int(count[-1])
             yield b.assign(part=part, nth=out)
 
     asking = queries.select(F.col("class").alias("cid")).distinct().join(found, "cid")
     points = found.select("cid", "vec_id", "v", F.lit(False).alias("asks")).unionByName(asking.select("cid", "vec_id", "v", F.lit(True).alias("asks")))
-    shape = "cid long, vec_id long, v array<float>, asks boolean, curve int, key long"
-    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), curves)
+    shape = "cid long, vec_id long, v array<float>, asks boolean, lane int, key long"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves)
     ordered = (
-        points.withColumn("v", F.col("v").cast("array<float>"))
+        points.withColumn("step", step)
+        .withColumn("v", F.col("v").cast("array<float>"))
         .mapInPandas(place, shape)
-        .repartitionByRange(parts, "curve", "key", "vec_id", "asks")
-        .sortWithinPartitions("curve", "key", "vec_id", "asks")
+        .repartitionByRange(parts, "lane", "key", "vec_id", "asks")
+        .sortWithinPartitions("lane", "key", "vec_id", "asks")
         .mapInPandas(number, f"{shape}, part int, nth long")
     )
     ordered = stored(ordered.drop("key"), "curves")
-    before = W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = ordered.where("not asks").groupBy("curve", "part").agg(F.count("*").alias("n"))
-    # One row for each curve and partition.
-    starts = ordered.select("curve", "part").distinct().join(starts, ["curve", "part"], "left").select("curve", "part", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)).alias("start"))
-    ranked = ordered.join(F.broadcast(starts), ["curve", "part"]).withColumn("place", F.col("start") + F.col("nth"))
-    block = F.expr(f"place div {window}")
-    spread = ranked.select("cid", "vec_id", "v", "asks", "curve", "place", F.explode(F.when(F.col("asks"), F.array(block)).otherwise(F.array(block - 1, block, block + 1))).alias("block"))
+    before = W.partitionBy("lane").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ordered.where("not asks").groupBy("lane", "part").agg(F.count("*").alias("n"))
+    # One row for each lane and partition.
+    starts = ordered.select("lane", "part").distinct().join(starts, ["lane", "part"], "left").select("lane", "part", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)).alias("start"))
+    widths = spark.createDataFrame([(band * curves + n, reach[band], min(reach[band], BLOCK)) for band in lanes for n in range(lanes[band])], "lane int, reach long, size long")
+    ranked = ordered.join(F.broadcast(starts), ["lane", "part"]).join(F.broadcast(widths), "lane").withColumn("place", F.col("start") + F.col("nth"))
+    # A candidate lies in one block; a query, of which there are fewer, goes to all blocks that it reaches.
+    blocks = F.when(F.col("asks"), F.expr("sequence(greatest(place - reach, 0) div size, (place + reach) div size)")).otherwise(F.array(F.expr("place div size")))
+    spread = ranked.select("cid", "vec_id", "v", "asks", "lane", "place", "reach", F.explode(blocks).alias("block"))
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(bool)
@@ -131,7 +175,7 @@ def search(
                 some = q.iloc[i : i + 128]
                 y = _matrix(some["v"], width)
                 scores = y @ x.T
-                scores[np.abs(places[None] - some["place"].to_numpy()[:, None]) > window] = -np.inf
+                scores[np.abs(places[None] - some["place"].to_numpy()[:, None]) > some["reach"].to_numpy()[:, None]] = -np.inf
                 for n, cid in enumerate(some["cid"]):
                     s = scores[n]
                     least = -np.inf if len(s) <= k + 1 else np.partition(s, len(s) - k - 1)[len(s) - k - 1]
@@ -141,8 +185,8 @@ def search(
                     out += [(cid, ids[at][j], exact[j]) for j in best]
         return pd.DataFrame(out, columns=["class", "vec_id", "score"])
 
-    best = spread.groupBy("curve", "block").applyInPandas(rank, "class long, vec_id long, score double")
-    # At most curves * (k + 1) entries a class.
+    best = spread.groupBy("lane", "block").applyInPandas(rank, "class long, vec_id long, score double")
+    # At most k + 1 entries for each class and block in its reach.
     lists = best.groupBy("class").agg(F.collect_set(F.struct((-F.col("score")).alias("less"), "vec_id")).alias("all"))
     lists = lists.select("class", F.transform(F.slice(F.array_sort("all"), 1, k + 1), lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"))).alias("list"))
     return nearest_of_queries(queries, lists, k)
