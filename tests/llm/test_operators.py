@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +237,40 @@ def test_neighbours(spark):
     assert ann_curves.search(table.where("vec_id < 0"), 5, 10).collect() == []
 
 
+def _recall(spark, x, k, every, **law):
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for row in ann_curves.search(table, k, every, **law).collect():
+        got[row.query_id].add(row.vec_id)
+    hits = 0
+    for q in range(0, len(x), every):
+        s = x[q] @ x.T
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:k]))
+    return hits / (k * len(range(0, len(x), every)))
+
+
+def _units(n, width=64):
+    x = np.random.default_rng(5).normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_neighbours_recall_holds_as_the_table_grows(spark):
+    assert _recall(spark, _units(3_000), 20, 60, window=250) >= 0.85
+    assert _recall(spark, _units(24_000), 20, 480, window=250) >= 0.85
+
+
+def test_neighbours_with_few_long_vectors(spark):
+    x = _units(6_000)
+    x[17] *= 1000
+    assert _recall(spark, x, 20, 120, window=600) >= 0.85
+
+
+def test_bands():
+    assert ann_curves.bands_of({0: 100}, 8) == {0: 0}
+    assert ann_curves.bands_of({20: 1, 9: 3, 0: 100, -1: 5, -2: 3, -3: 1}, 8) == {20: 0, 9: 0, 0: 1, -1: 2, -2: 2, -3: 3}
+
+
 def test_hilbert():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     place = ann_curves.hilbert(grid, 3)
