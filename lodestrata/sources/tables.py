@@ -37,9 +37,11 @@ def ownership(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def imports(spark: SparkSession, folder: str, least: int = 47) -> DataFrame:
-    """Edges from a supplier to that of the next line of an order, where both lines are large."""
-    l = table(spark, folder, "lineitem").where(F.col("l_quantity") >= least)  # noqa: E741
+def imports(spark: SparkSession, folder: str, least: int | None = 47) -> DataFrame:
+    """Edges from a supplier to that of the next line of an order, where both lines are large; all lines if ``least`` is None."""
+    l = table(spark, folder, "lineitem")  # noqa: E741
+    if least is not None:
+        l = l.where(F.col("l_quantity") >= least)  # noqa: E741
     a = l.select("l_orderkey", "l_linenumber", F.format_string("s%05d", F.col("l_suppkey")).alias("src"))
     b = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.format_string("s%05d", F.col("l_suppkey")).alias("dst"))
     rows = a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst")
