@@ -46,13 +46,13 @@ def git_noise(path: Column) -> Column:
 
 
 def as_files(paths: DataFrame) -> DataFrame:
-    """(project, path, content) as a table of files: languages known, small enough, in scanned directories."""
+    """(project, path, content) as a table of files: languages known, in scanned directories. Rows without content are no files; sources set limits of size."""
     ext = F.when(F.rlike(t.base_name(F.col("path")), F.lit(r"\.[^.]+$")), t.ascii_lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     return (
         paths.withColumn("ext", ext)
         .withColumn("language", language_of(F.col("ext")))
         .withColumn("size_bytes", F.octet_length("content").cast("long"))
-        .where(F.col("language").isNotNull() & (F.col("size_bytes") <= rules.MAX_FILE_BYTES) & is_scanned(F.col("path")))
+        .where(F.col("language").isNotNull() & F.col("content").isNotNull() & is_scanned(F.col("path")))
         .select("project", "path", "language", "ext", "size_bytes", "content", noise_reason(F.col("path")).alias("noise_reason"))
     )
 

@@ -49,10 +49,10 @@ def imports(spark: SparkSession, folder: str, least: int | None = 47) -> DataFra
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files of their source's project."""
+    """Documents as files of their source's project; one without text is an empty file."""
     d = table(spark, folder, "documents")
     path = F.format_string("%s/d%08d.md", F.col("lang"), F.col("doc_id"))
-    return as_files(d.select(F.col("source").alias("project"), path.alias("path"), F.col("text").alias("content")))
+    return as_files(d.select(F.col("source").alias("project"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content")))
 
 
 def rendered(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import rules
 from ..operators.files import as_files, with_line_counts
 
 
 def changed_files(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Line counts of a stream of (project, path, content, changed_at); a version that comes twice within the watermark counts once."""
     once = stream.withColumn("version", F.sha2("content", 256)).withWatermark("changed_at", late).dropDuplicatesWithinWatermark(["project", "path", "version"])
-    counted = with_line_counts(as_files(once))
+    fits = F.octet_length("content") <= rules.MAX_FILE_BYTES  # as in a scan of the tree
+    counted = with_line_counts(as_files(once.where(fits)))
     return counted.select("project", "path", "language", "lines", "blank", "comment", "code")
 
 

@@ -3,11 +3,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import queries
 from lodestrata.functions import text as t
 from lodestrata.functions.views import view
 from lodestrata.operators import duplication, files, git, graph
 from lodestrata.plans import findings, history, report, scoring
 from lodestrata.plans.analysis import analyse
+from lodestrata.sources import tables
 
 RAW = "project string, path string, content string"
 SHARED = "\n".join(f"const shared_line_{n} = compute({n});" for n in range(8))
@@ -164,3 +166,14 @@ def test_history(spark):
     parsed = spark.createDataFrame([('{"projectScore": 5}',)], "s string").select(history.parsed_scores(F.col("s")).alias("x")).first().x
     assert (parsed.projectScore, parsed.maintainability) == (5, None)
     assert json.loads(new.where("id = 4").select(history.as_document(F.struct(F.col("overall_score").alias("overallScore"))).alias("d")).first().d) == {"overallScore": 80}
+
+
+def test_long_and_null_texts_are_kept(spark, tmp_path):
+    long = "some words in a line\n" * 150_000
+    rows = [(1, long, "en", "web", len(long)), (2, None, "en", "web", None), (3, "one line", "en", "web", 8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = tables.documents(spark, str(tmp_path))
+    assert {r.path: r.size_bytes for r in found.collect()} == {"en/d00000001.md": len(long), "en/d00000002.md": 0, "en/d00000003.md": 8}
+    assert [tuple(r) for r in queries.language_stats(spark, str(tmp_path)).collect()] == [("web", "Markdown", 3, 150_001)]
+    assert [(r.path, r.lines) for r in queries.largest_files(spark, str(tmp_path)).orderBy("rank").collect()][0] == ("en/d00000001.md", 150_000)
+    assert queries.huge_files(spark, str(tmp_path)).first().huge_files == 1
