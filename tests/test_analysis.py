@@ -177,3 +177,13 @@ def test_long_and_null_texts_are_kept(spark, tmp_path):
     assert [tuple(r) for r in queries.language_stats(spark, str(tmp_path)).collect()] == [("web", "Markdown", 3, 150_001)]
     assert [(r.path, r.lines) for r in queries.largest_files(spark, str(tmp_path)).orderBy("rank").collect()][0] == ("en/d00000001.md", 150_000)
     assert queries.huge_files(spark, str(tmp_path)).first().huge_files == 1
+
+
+def test_severity_counts_all_kinds(spark, tmp_path):
+    """A GitHub token in an assignment, an AWS key, a private key, a JWT, an assigned word; by hand."""
+    text = "\n".join([f'token = "ghp_{"a1" * 18}"', f"AKIA{'Z' * 16}", "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "password = 'aaaabbbbcccc'", "nothing"])
+    spark.createDataFrame([(1, text, "en", "web", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.secrets_severity(spark, str(tmp_path)).first()
+    assert (row.high, row.medium, row.low, row.total) == (3, 2, 0, 5)
+    row = queries.secrets_assigned(spark, str(tmp_path)).first()
+    assert row.random + row.plain == 2
