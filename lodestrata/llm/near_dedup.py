@@ -1,42 +1,52 @@
 """MinHash near-duplicates: banding, verification, components by stars.
 
-Documents with equal shingle sets are one class from the start; its smallest
-doc_id stands for it. Representatives that share a band's minima are candidates.
-First each bucket's smallest member is compared with the others, which joins a
-large group of near copies in as many comparisons as it has members. Buckets
-whose members are then in one component are done, since no further link could
-change the components. The members of the rest are worked off in blocks: those
-outside the largest component of their family (buckets that hang together)
-against all of the family. So no link that matters is skipped, and pairs are
-made in a task's memory only.
+Rows with equal shingle sets are one class from the start; one of them stands for
+it. Representatives that share a band's minima are candidates. First each bucket's
+smallest member is compared with the others, which joins a large group of near
+copies in as many comparisons as it has members. Buckets whose members are then in
+one component are done, since no further link could change the components. Those
+still open that hang together form a family. A family of bounded size is compared
+inside a task. Of larger ones (documents that share boilerplate only, say) each
+bucket is compared by itself; a bucket beyond that size is dealt anew by bands of
+further hashes, its smallest members first, until all its parts are small. So no
+step compares all of a large group with all of it, and pairs are made in a task's
+memory only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import stored
 from .components import components
+from .memory import giving_back
 from .shingles import WordHashes, mixed, shingle_set
 
 BANDS, ROWS = 32, 4
-_r = np.random.default_rng(20240229)
-FACTORS = _r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+LEVELS = 3  # times that a bucket may be dealt anew
 
 
-def minima(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
+def _hashes(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of 128 universal hashes."""
+    r = np.random.default_rng(seed)
+    return r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+FAMILIES = [_hashes(20240229 + level) for level in range(LEVELS + 1)]
+
+
+def minima(shingles: np.ndarray, level: int = 0, block: int = 2048) -> np.ndarray:
     """The least value of each of 128 universal hashes over the shingles, upper 32 bits."""
-    out = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    factors, shifts = FAMILIES[level]
+    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), block):
-        h = FACTORS[:, None] * shingles[None, i : i + block]
-        h += SHIFTS[:, None]
+        h = factors[:, None] * shingles[None, i : i + block]
+        h += shifts[:, None]
         np.minimum(out, h.min(axis=1), out=out)
     return (out >> np.uint64(32)).astype("<u4")
 
@@ -49,34 +59,41 @@ def band_keys(minima_: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def text_hash(text: Column) -> list[Column]:
+    """128 bits that tell a text: columns h1 and h2."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, same, bands); ``same`` is a 128-bit hash of the shingle set."""
+    """(doc_id, text) -> (row, doc_id, h1, h2, n_shingles, same, bands); ``same`` is a 128-bit hash of the shingle set."""
 
     def sign(batches):
         words = WordHashes()
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                s = shingle_set(words(text))
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, band_keys(minima(s)) if len(s) else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "same", "bands"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            found = [shingle_set(words(text)) for text in b["text"]]
+            yield b.drop(columns="text").assign(
+                doc_id=b["doc_id"].astype("Int64"),
+                n_shingles=[len(s) for s in found],
+                same=[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found],
+                bands=[band_keys(minima(s)) if len(s) else None for s in found],
+            )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, n_shingles long, same binary, bands array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), *text_hash(docs["text"]), docs["text"].alias("text"))
+    return rows.mapInPandas(giving_back(sign), "row long, doc_id long, h1 long, h2 long, n_shingles long, same binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Minima and sorted shingle hashes of the wanted documents."""
+    """Minima and sorted shingle hashes of the wanted (node, doc_id, h1, h2)."""
 
     def sets(batches):
         words = WordHashes()
         for b in batches:
             found = [shingle_set(words(text)) for text in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "minima": [minima(s).tobytes() for s in found], "shingles": [s.tobytes() for s in found]})
+            yield pd.DataFrame({"node": b["node"], "minima": [minima(s).tobytes() for s in found], "shingles": [s.tobytes() for s in found]})
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(wanted, "doc_id", "left_semi")
-    return rows.mapInPandas(sets, "doc_id long, minima binary, shingles binary").dropDuplicates(["doc_id"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), *text_hash(docs["text"]), docs["text"].alias("text"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (rows["h1"] == wanted["h1"]) & (rows["h2"] == wanted["h2"])
+    return rows.join(wanted, same).select("node", "text").mapInPandas(giving_back(sets), "node long, minima binary, shingles binary").dropDuplicates(["node"])
 
 
 def _similar(am: np.ndarray, bm: np.ndarray, ax: np.ndarray, bx: np.ndarray, percent: int) -> bool:
@@ -103,106 +120,152 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             dtype=bool,
         )
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("minima").alias("am"), F.col("shingles").alias("ax"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("minima").alias("bm"), F.col("shingles").alias("bx"))
+    left = sets.select(F.col("node").alias("a"), F.col("minima").alias("am"), F.col("shingles").alias("ax"))
+    right = sets.select(F.col("node").alias("b"), F.col("minima").alias("bm"), F.col("shingles").alias("bx"))
     return pairs.join(right, "b").join(left, "a").where(similar("am", "bm", "ax", "bx")).select("a", "b")
 
 
-def _open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets with several components, but for the smallest, which is ``a``."""
-    at = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def _open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, node, n) of buckets with several components, with their component, the bucket's smallest member and its size."""
+    at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = (
         at.groupBy("key")
-        .agg(F.min(F.struct("doc_id", "component", "n")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min(F.struct("node", "component", "n")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
         .where("low <> high")
-        .select("key", F.col("pivot.doc_id").alias("a"), F.col("pivot.component").alias("a_component"), F.col("pivot.n").alias("a_n"))
+        .select("key", F.col("pivot.node").alias("a"), F.col("pivot.component").alias("a_component"), F.col("pivot.n").alias("a_n"), "size")
     )
-    return stored(at.join(heads, "key").where("doc_id <> a"), "open-buckets")
-
-
-def _block_links(open_: DataFrame, found: DataFrame, sets: DataFrame, percent: int, size: int = 512) -> DataFrame:
-    """Links between components of a family: of its documents outside its largest component with all of them."""
-    family = components(open_, "a", "doc_id").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    docs = family.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    docs = stored(docs, "families")
-    of = (
-        docs.groupBy("family", "component").agg(F.count("*").alias("n"))
-        .groupBy("family").agg(F.max_by("component", "n").alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        .select("family", "major", F.ceil(F.col("n") / size).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / size).alias("minor_blocks"))
-        .where("minor_blocks > 0")
-    )
-    rows = docs.join(of, "family").join(sets, "doc_id").withColumn("minor", F.col("component") != F.col("major"))
-    columns = ["family", "doc_id", "component", "minor", "minima", "shingles"]
-    place = F.xxhash64(F.lit("block"), "doc_id")
-    left = rows.where("minor").select(*(F.col(c).alias(c) for c in columns), F.pmod(place, "minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    right = rows.select(*columns, F.pmod(place, "blocks").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("i"))
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out, root = [], {}
-        if len(x) and len(y):
-            xm, ym = (np.stack([np.frombuffer(m, "<u4") for m in t["minima"]]) for t in (x, y))
-            xb, yb = (np.stack([band_keys(m) for m in t]) for t in (xm, ym))
-            xs, ys = ([np.frombuffer(s, np.uint64) for s in t["shingles"]] for t in (x, y))
-            sizes, ids, minor = np.array([len(s) for s in ys]), y["doc_id"].to_numpy(), y["minor"].to_numpy(bool)
-            parts = y["component"].to_numpy()
-
-            def top(c):
-                while c in root:
-                    c = root[c]
-                return c
-
-            for i, (doc_id, component) in enumerate(zip(x["doc_id"], x["component"], strict=True)):
-                n = len(xs[i])
-                able = (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (parts != component) & ~(minor & (ids < doc_id))
-                at = np.flatnonzero(able)
-                for j in at[(yb[at] == xb[i]).any(axis=1)]:
-                    a, b = top(component), top(parts[j])
-                    if a != b and _similar(xm[i], ym[j], xs[i], ys[j], percent):  # what is joined already needs no link
-                        out.append((doc_id, ids[j]))
-                        root[max(a, b)] = min(a, b)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    keys = ["family", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per row.
-
-    Links: 100 * intersection >= percent * union of the shingle sets. A document
-    without words is linked with nothing. Rows that share a doc_id are one node.
-    A row with null doc_id has a null component and is kept. An empty table gives
-    no rows; other columns are not read.
+    return stored(at.join(heads, "key"), "open-buckets")
+
+
+def _pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Each open bucket's smallest member with those that are not joined with it."""
+    able = "component <> a_component and 100 * least(n, a_n) >= %d * greatest(n, a_n)" % percent
+    return open_.where(able).select("a", F.col("node").alias("b")).distinct()
+
+
+def _compare(rows: pd.DataFrame, percent: int, own_band: bool) -> pd.DataFrame:
+    """Links between components of a group that fits a task; what is joined already needs none.
+
+    Pairs must share a band; in a bucket, this one must be the first that they share
+    (``own_band``), since another bucket has the pair otherwise.
+    """
+    rows = rows.sort_values("node")
+    m = np.stack([np.frombuffer(x, "<u4") for x in rows["minima"]])
+    bands, sets = np.stack([band_keys(x) for x in m]), [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    ids, parts, sizes, key = rows["node"].to_numpy(), rows["component"].to_numpy(), np.array([len(x) for x in sets]), int(rows["key"].iloc[0])
+    out, root = [], {}
+
+    def top(c):
+        while c in root:
+            c = root[c]
+        return c
+
+    for i in range(len(rows) - 1):
+        able = (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])) & (parts[i + 1 :] != parts[i])
+        at = np.flatnonzero(able) + i + 1
+        shared = bands[at] == bands[i]
+        if own_band:
+            at = at[bands[i][shared.argmax(axis=1)] == key] if len(at) else at
+        else:
+            at = at[shared.any(axis=1)]
+        for j in at:
+            a, b = top(parts[i]), top(parts[j])
+            if a != b and _similar(m[i], m[j], sets[i], sets[j], percent):
+                out.append((ids[i], ids[j]))
+                root[max(a, b)] = min(a, b)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _group_links(groups: DataFrame, sets: DataFrame, percent: int, own_band: bool = False) -> DataFrame:
+    """Links inside groups (key, node, component) of bounded size."""
+    rows = groups.select("key", "node", "component").join(sets, "node")
+    return rows.groupBy("key").applyInPandas(lambda group: _compare(group, percent, own_band), "a long, b long")
+
+
+def _dealt_anew(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Members of large buckets in parts of them: by bands of further hashes."""
+
+    def bands(batches):
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "bands": [band_keys(minima(np.frombuffer(s, np.uint64), level)) for s in b["shingles"]]})
+
+    further = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInPandas(giving_back(bands), "node long, bands array<long>")
+    rows = members.select("key", "node", "n").join(further, "node").select("node", "n", F.explode("bands").alias("band"), "key")
+    rows = rows.select(F.xxhash64("key", "band").alias("key"), "node", "n")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    return stored(rows.join(shared, "key"), "buckets")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links inside groups of any size, block by block: what is left when further bands did not part them."""
+    blocks = F.ceil(F.col("size") / most).cast("long")
+    own = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks)
+    rows = members.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    return _group_links(rows.select(pair, "node", "component"), sets, percent)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> DataFrame:
+    """(doc_id, text) -> (row, doc_id, h1, h2, n_shingles, component_id, kept, stays), one row per row.
+
+    Links: 100 * intersection >= percent * union of the shingle sets. A row without
+    words is linked with nothing. Rows are told apart even where they share a doc_id or
+    have none. ``component_id`` is the smallest doc_id reachable, null if there is none;
+    ``kept`` tells that it is the row's own. ``stays`` marks exactly one row of each
+    component, that of the smallest doc_id (nulls last), then of the least text hash
+    (h1, h2), and each row without words. An empty table gives no rows; other columns
+    are not read. ``most`` bounds what is compared inside one task at once.
     """
     signed = stored(signatures(docs), "signatures")
-    linked = signed.where("same is not null and doc_id is not null")
-    standing = stored(linked.groupBy("same").agg(F.min("doc_id").alias("rep")), "equal-sets")
-    reps = linked.join(standing.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = reps.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
+    linked = signed.where("same is not null")
+    standing = linked.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "row")).alias("head"))
+    standing = stored(standing, "equal-sets")
+    reps = linked.join(standing.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    rows = reps.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("n"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     members = stored(rows.join(shared, "key"), "buckets")
-    sets = stored(_sets(docs, members.select("doc_id").distinct()), "sets")
-
-    # Rows of one doc_id with different sets are linked by that.
-    named = linked.select("doc_id", "same").join(standing, "same").select("doc_id", "rep").where("doc_id <> rep").distinct()
-    twice = named.join(standing.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(twice, "a", "b")
+    wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "h1", "h2")
+    sets = stored(_sets(docs, wanted), "sets")
 
-    def joined(links: DataFrame) -> DataFrame:
+    def joined(links: DataFrame, found: DataFrame) -> DataFrame:
         return components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))), "a", "b")
 
-    open_ = _open_buckets(members, found)
-    pairs = open_.where("component <> a_component and 100 * least(n, a_n) >= %d * greatest(n, a_n)" % percent)
-    found = joined(_links(pairs.select("a", F.col("doc_id").alias("b")).distinct(), sets, percent))
-    open_ = _open_buckets(members, found)
-    found = joined(_block_links(open_, found, sets, percent))
+    found = docs.sparkSession.createDataFrame([], "node long, component long")
+    open_ = _open_members(members, found)
+    found = joined(_links(_pivot_pairs(open_, percent), sets, percent), found)
+
+    open_ = _open_members(members, found)
+    family = components(open_.where("node <> a"), "a", "node").select("node", F.col("component").alias("family"))
+    sizes = family.groupBy("family").agg(F.count("*").alias("in_family"))
+    family = stored(family.join(sizes, "family"), "families")
+    small = open_.select("node", "component").distinct().join(family.where(F.col("in_family") <= most), "node").withColumnRenamed("family", "key")
+    found = joined(_group_links(small, sets, percent), found)
+
+    members = stored(open_.select("key", "node", "n").join(family.where(F.col("in_family") > most).select("node"), "node"), "buckets")
+    level = 0
+    while not members.isEmpty():
+        open_ = _open_members(members, found)
+        if level:
+            found = joined(_links(_pivot_pairs(open_, percent), sets, percent), found)
+            open_ = _open_members(members, found)
+        found = joined(_group_links(open_.where(F.col("size") <= most), sets, percent, own_band=not level), found)
+        large = open_.where(F.col("size") > most)
+        if level == LEVELS:
+            found = joined(_block_links(large, sets, percent, most), found)
+            break
+        level += 1
+        members = _dealt_anew(large, sets, level)
 
     found = stored(found, "components")
-    of = standing.join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component"))
-    result = signed.join(of, "same", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of = standing.join(found, "node", "left").select("same", "head", F.coalesce("component", "node").alias("component"))
+    first = of.groupBy("component").agg(F.min("head").alias("first"))
+    of = of.join(first, "component").select("same", F.col("first.doc_id").alias("least"), F.col("first.row").alias("first"))
+    result = signed.join(of, "same", "left")
+    own, stays = F.when(F.col("same").isNull(), F.col("doc_id")).otherwise(F.col("least")), F.coalesce(F.col("row") == F.col("first"), F.lit(True))
+    result = result.withColumn("component_id", own).withColumn("stays", stays)
+    return result.select("row", "doc_id", "h1", "h2", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), "stays").alias("kept"), "stays")
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")

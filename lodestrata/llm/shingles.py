@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of a text's words, with a bounded memory of words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[bytes, bytes] = {}
         self.most = most
 
