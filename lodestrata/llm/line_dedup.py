@@ -1,8 +1,8 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 A run is a table bucketed and sorted by the hash of the line key. Each new batch
-of lines is merge-anti-joined with the runs: keys they lack form a run of
-level 0, the others are counted as hits. When a level has ``fanout`` runs they
+of lines is merged with the runs: keys they lack are new, the others are hits; both
+go with their counts into a run of level 0. When a level has ``fanout`` runs they
 are compacted into one of the next level. Only DataFrame functions are used.
 """
 
@@ -18,6 +18,7 @@ from ..scratch import broadcast_if_small, shared_path, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ADDED = ("_n_lines", "_n_dropped", "_kept")
 
 
 def line_key(line: Column) -> Column:
@@ -25,27 +26,30 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def _hash(key: Column) -> Column:
-    """128 bits of a key: two 64-bit hashes."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One run of two; both are bucketed and sorted, so nothing is shuffled."""
+    other = b.select("h1", "h2", F.col("docs").alias("more"), F.col("last").alias("later"), F.col("fresh").alias("new"))
+    docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+    fresh = F.coalesce("fresh", F.lit(False)) | F.coalesce("new", F.lit(False))
+    return a.join(other, ["h1", "h2"], "full").select("h1", "h2", docs.alias("docs"), F.greatest("last", "later").alias("last"), fresh.alias("fresh"))
+
+
 class LineRuns:
-    """Runs of (h1, h2, docs, last): hash, documents with the line, largest doc_id among them."""
+    """Runs of (h1, h2, docs, last, fresh): hash, documents with the line, largest doc_id among them, and whether no older run has the key."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = [[]]
-        self.hits: list[DataFrame] = []
+        self.names: list[str] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        """Writes a sorted run; a batch is clustered by the hash already, so each bucket is one file."""
-        name = f"line_run_{uuid.uuid4().hex[:12]}"
+        """Writes a sorted run; the rows are clustered by the hash already, so each bucket is one file."""
+        self.names.append(name := f"line_run_{uuid.uuid4().hex[:12]}")
         rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", shared_path(self.spark, name)).format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
@@ -54,25 +58,20 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of (doc_id, h1, h2); returns the new run: keys no run had before."""
-        counted = batch.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        fresh = known = counted
-        if runs := self.runs:
-            counted = fresh = stored(counted, "line-batch")
-            for run in runs:
-                fresh = fresh.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-            known = reduce(DataFrame.unionByName, (counted.join(run.select("h1", "h2"), ["h1", "h2"], "left_semi") for run in runs))
-            self.hits.append(known)
-        new = self._run(fresh)
-        self.levels[0].append(new)
+        """Adds a batch of (doc_id, h1, h2); returns what of it no run had before."""
         self._compact()
-        return new
+        counted = batch.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
+        fresh = F.lit(True)
+        for n, run in enumerate(self.runs):
+            counted = counted.join(run.where("fresh").select("h1", "h2", F.lit(1).alias(f"run_{n}")), ["h1", "h2"], "left")
+            fresh &= F.col(f"run_{n}").isNull()
+        self.levels[0].append(new := self._run(counted.select("h1", "h2", "docs", "last", fresh.alias("fresh"))))
+        return new.where("fresh").select("h1", "h2", "docs", "last")
 
     def _compact(self) -> None:
         for n in range(len(self.levels)):
             if len(self.levels[n]) >= self.fanout:
-                # Runs share no key, so sorting them together is all there is to merge.
-                merged = reduce(DataFrame.unionByName, self.levels[n]).repartition(self.buckets, "h1", "h2")
+                merged = reduce(_merged, self.levels[n])
                 self.levels[n] = []
                 if n + 1 == len(self.levels):
                     self.levels.append([])
@@ -80,8 +79,34 @@ class LineRuns:
 
     def totals(self) -> DataFrame:
         """(h1, h2, docs, last) over all that was ingested."""
-        both = reduce(DataFrame.unionByName, [*self.runs, *self.hits])
-        return both.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return reduce(_merged, self.runs).select("h1", "h2", "docs", "last")
+
+    def close(self) -> None:
+        """Takes the runs out of the catalog; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+
+
+def long_lines(docs: DataFrame, min_length: int, batches: int) -> DataFrame:
+    """(doc_id, t1, t2, h1, h2, pos, first, batch) of the lines whose key has at least ``min_length`` code points.
+
+    t1 and t2 tell the text, h1 and h2 the key, pos the line; ``first`` marks the
+    first line of each key in its row. A task's lines are in one batch.
+    """
+    keys = F.transform(F.transform(_lines(docs["text"]), line_key), lambda k, i: F.struct(k.alias("k"), i.alias("pos")))
+    hashed = F.transform(
+        F.filter(keys, lambda x: F.char_length(x["k"]) >= min_length),
+        lambda x: F.struct(F.xxhash64(x["k"]).alias("h1"), F.xxhash64(F.lit("line"), x["k"]).alias("h2"), x["pos"].alias("pos")),
+    )
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_text_hash(docs["text"]), F.array_sort(hashed).alias("lines"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
+    before = lambda i: F.get("lines", i - 1)
+    marked = F.transform("lines", lambda x, i: F.struct(x["h1"], x["h2"], x["pos"], ((i == 0) | (before(i)["h1"] != x["h1"]) | (before(i)["h2"] != x["h2"])).alias("first")))
+    return named.select("doc_id", "t1", "t2", F.inline(marked).alias("h1", "h2", "pos", "first"), "batch")
+
+
+def _text_hash(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
 
 
 def drop_common_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -92,38 +117,33 @@ def drop_common_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5,
     its lines except in the largest doc_id that holds it. Each row is a document;
     rows that repeat a doc_id keep or lose a line alike. A row with null doc_id
     never has the largest, and keeps its lines only where all doc_ids are null.
-    An empty table gives no rows; the other columns stay as they are.
+    An empty table gives no rows; the other columns stay as they are, but columns
+    of the three names are replaced. Work grows with n log n in a text's lines.
     """
     spark = docs.sparkSession
-    key = F.transform(_lines(docs["text"]), line_key)
-    long_enough = F.array_distinct(F.transform(F.filter(key, lambda k: F.char_length(k) >= min_length), _hash))
-    exploded = docs.select(docs["doc_id"].alias("doc_id"), F.pmod(F.xxhash64(docs["doc_id"]), F.lit(batches)).alias("batch"), F.explode(long_enough).alias("h"))
     path = shared_path(spark, "lines")
-    exploded.select("doc_id", "h.h1", "h.h2", "batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
-    lines = spark.read.schema("doc_id long, h1 long, h2 long, batch long").parquet(path)
+    long_lines(docs, min_length, batches).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    lines = spark.read.schema("doc_id long, t1 long, t2 long, h1 long, h2 long, pos int, first boolean, batch int").parquet(path)
 
     runs = LineRuns(spark, fanout)
     for n in range(batches):
-        runs.ingest(lines.where(F.col("batch") == n))
+        runs.ingest(lines.where((F.col("batch") == n) & F.col("first")))
     # Common lines are few; where they are not, the join shuffles and a very common line's rows can be split.
     common = broadcast_if_small(stored(runs.totals().where(F.col("docs") >= min_docs), "common-lines"), 100_000)
-    drops = (
-        lines.join(common, ["h1", "h2"])
-        .where("last is not null and not (doc_id <=> last)")
-        .groupBy(F.col("doc_id").alias("_drop_id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
-    )
-    columns = [docs[c] for c in docs.columns]
-    split = _lines(docs["text"])
-    kept = F.filter(split, lambda x: ~((F.char_length(line_key(x)) >= min_length) & F.array_contains(F.col("_drops"), _hash(line_key(x)))))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]), "left")
-    return joined.select(
-        *columns, F.size(split).cast("long").alias("_n_lines"), F.when(F.col("_drops").isNull(), split).otherwise(kept).alias("_lines")
-    ).select(
-        *docs.columns,
-        "_n_lines",
-        (F.col("_n_lines") - F.size("_lines")).cast("long").alias("_n_dropped"),
-        F.array_join("_lines", "\n").alias("_kept"),
+    runs.close()
+    drops = lines.join(common, ["h1", "h2"]).where("last is not null and not (doc_id <=> last)").groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
+
+    rest = [c for c in docs.columns if c not in ADDED and c != "text"]
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), *_text_hash(docs["text"]), docs["text"].alias("text"), F.struct(*(docs[c] for c in rest)).alias("row"))
+    met = rows["id"].eqNullSafe(drops["doc_id"]) & (rows["t1"] == drops["t1"]) & (rows["t2"] == drops["t2"])
+    split = rows.join(drops, met, "left").select("row", "text", "gone", _lines(F.col("text")).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return split.select(
+        *(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED),
+        F.size("lines").cast("long").alias("_n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("_n_dropped"),
+        kept.alias("_kept"),
     )
 
 
