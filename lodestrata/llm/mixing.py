@@ -52,38 +52,65 @@ def source_targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame
     )
 
 
-def mix_plan(docs: DataFrame, seed: str = "mix", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with size, source_size, target, copies.
-
-    ``docs`` needs doc_id, text, source. Null text has size 0, null source is a
-    source of its own. A source without words has target 0 and no copies.
-    Repeated rows decide alike. Only the named columns are read, so other ones
-    may have any names. A hot source costs nothing: sources are summed before
-    the shuffle and joined by broadcast up to a counted number of them.
-    """
-    rows = docs.select(
-        *(docs[c].alias(f"_{c}") for c in keep),
-        docs["source"].alias("_by"),
-        words(docs["text"]).alias("size"),
-        F.md5(
-            F.concat_ws("|", F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.md5(F.coalesce(docs["text"], F.lit(""))))
-        ).alias("_md5"),
+def _named(docs: DataFrame, *columns: Column) -> DataFrame:
+    """(by, id, digest) of each row: its source, its doc_id as text, and the MD5 of its text; and ``columns``."""
+    return docs.select(
+        docs["source"].alias("by"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("id"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("digest"), *columns
     )
-    sizes = docs.groupBy(docs["source"].alias("source")).agg(F.sum(words(docs["text"])).alias("source_size"))
-    targets = broadcast_if_small(stored(source_targets(sizes), "targets"))
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame, salts: int = 64) -> DataFrame:
+    """``rows`` with nth: 0, 1, ... among those that share id and digest.
+
+    ``repeated`` holds the (id, digest) of more than one row; all others are 0 at once.
+    A large group is numbered in ``salts`` parts. Which of equal rows gets which number
+    does not matter, since they are equal.
+    """
+    key = ["id", "digest"]
+    once = rows.join(repeated, key, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    again = rows.join(repeated, key, "left_semi").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    again = stored(again.withColumn("nth", F.row_number().over(W.partitionBy(*key, "salt").orderBy(F.lit(0))).cast("long") - 1), "mix-repeats")
+    before = W.partitionBy(*key).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    starts = again.groupBy(*key, "salt").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    again = again.join(starts, [*key, "salt"]).withColumn("nth", F.col("nth") + F.col("start"))
+    return once.unionByName(again.select(*once.columns))
+
+
+def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Narrow rows with sizes, written once; the targets of the sources; and the (id, digest) of repeated rows."""
+    sized = stored(_named(docs, docs["doc_id"].alias("doc_id"), words(docs["text"]).alias("size")), "mix-sizes")
+    targets = broadcast_if_small(stored(source_targets(sized.groupBy(F.col("by").alias("source")).agg(F.sum("size").alias("source_size"))), "targets"))
+    repeated = stored(sized.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"), "repeated")
+    return sized, targets, broadcast_if_small(repeated, 100_000)
+
+
+def _with_copies(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """Joins the targets and decides how often a row is emitted."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    chance = F.conv(F.substring("_md5", 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+    code = F.md5(F.concat_ws("|", F.lit(seed), "id", "digest", F.col("nth").cast("string")))
+    chance = F.conv(F.substring(code, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     copies = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
-    return rows.join(targets, F.col("_by").eqNullSafe(F.col("source")), "left").select(
-        *(F.col(f"_{c}").alias(c) for c in keep), "size", "source_size", "target", copies.cast("long").alias("copies")
-    )
+    return rows.join(targets, F.col("by").eqNullSafe(F.col("source")), "left").withColumn("copies", copies.cast("long"))
+
+
+def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """(doc_id, text, source) -> (doc_id, size, source_size, target, copies), one row per row.
+
+    Null text has size 0, null source is a source of its own. A source without words
+    has target 0 and no copies. Rows that repeat a doc_id and its text are numbered,
+    so that each is decided by itself. Other columns are not read. A hot source costs
+    nothing: sources are summed before the shuffle and joined by broadcast up to a
+    counted number of them. One task orders the sources (not their documents).
+    """
+    sized, targets, repeated = _planned(docs)
+    return _with_copies(_numbered(sized, repeated), targets, seed).select("doc_id", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """``docs`` with each row emitted as often as the plan says, all columns kept."""
-    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
-    plan = mix_plan(packed, seed, keep=("row",))
-    emitted = plan.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    _, targets, repeated = _planned(docs)
+    rows = _named(docs, F.struct(*docs.columns).alias("row"))
+    emitted = _with_copies(_numbered(rows, repeated), targets, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return emitted.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
@@ -93,12 +120,11 @@ def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-
-
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))) AS code
+         md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')),
+                       row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1)) AS code
   FROM documents),
 weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n
