@@ -1,9 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes
-are embedded, learned filters of eight bytes slide over each chunk by four, and
-the maximum of each filter over the chunk gives the chunk's log odds; those of
-all chunks are averaged, by length, into one probability.
+are embedded, and learned filters of eight bytes slide over each chunk by two. The
+maximum of each filter over a chunk is taken; of those, the maximum and the mean by
+length over all chunks of the text go through a small hidden layer into one
+probability.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+from .memory import give_back
+
 CHUNK, STEP, PAD = 1024, 896, 256
-DIM, GROUP, FILTERS = 8, 4, 48
+DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 48, 24
+PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
 def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -29,78 +35,96 @@ def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.array([min(CHUNK, max(n - s, 1)) for s in starts], np.float32)
 
 
+def _bytes(text: str | None) -> bytes:
+    return (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
+
+
 class Network:
-    """Embedding, filters in two halves of four bytes, and the weights of the pooled filters."""
+    """Embedding, filters, and the two layers on the pooled filters."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         self.p = {
             "embed": r.normal(0, 0.5, (257, DIM)).astype("f4"),
-            "left": r.normal(0, 0.2, (GROUP * DIM, FILTERS)).astype("f4"),
-            "right": r.normal(0, 0.2, (GROUP * DIM, FILTERS)).astype("f4"),
+            "filters": r.normal(0, 0.15, (WIDTH * DIM, FILTERS)).astype("f4"),
             "bias": np.zeros(FILTERS, "f4"),
-            "out": r.normal(0, 0.1, FILTERS).astype("f4"),
+            "hidden": r.normal(0, 0.1, (2 * FILTERS, HIDDEN)).astype("f4"),
+            "shift": np.zeros(HIDDEN, "f4"),
+            "out": r.normal(0, 0.3, HIDDEN).astype("f4"),
             "base": np.zeros(1, "f4"),
         }
-        self.scale, self.shift = 1.0, 0.0
-
-    def _maps(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.p["embed"][rows].reshape(len(rows) * (CHUNK // GROUP), GROUP * DIM)
-        z = (x @ self.p["left"]).reshape(len(rows), -1, FILTERS)[:, :-1]
-        z += (x @ self.p["right"]).reshape(len(rows), -1, FILTERS)[:, 1:]
-        return x, z
-
-    def log_odds(self, rows: np.ndarray) -> np.ndarray:
-        """Log odds of each chunk."""
-        _, z = self._maps(rows)
-        return np.maximum(z.max(axis=1) + self.p["bias"], 0) @ self.p["out"] + self.p["base"]
-
-    def gradients(self, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted logistic loss; only the maxima pass any back."""
-        x, z = self._maps(rows)
-        at = z.argmax(axis=1)
-        top = np.maximum(np.take_along_axis(z, at[:, None], 1)[:, 0] + self.p["bias"], 0)
-        odds = top @ self.p["out"] + self.p["base"]
+        self.scale, self.prior = 1.0, 0.0
+
+    def maxima(self, rows: np.ndarray, where: bool = False, piece: int = 64) -> tuple[np.ndarray, np.ndarray | None]:
+        """Each filter's maximum over each chunk, and its place if asked for."""
+        tops, places = [], []
+        for i in range(0, len(rows), piece):
+            some = rows[i : i + piece]
+            x = self.p["embed"][some].reshape(len(some) * (CHUNK // STRIDE), STRIDE * DIM)
+            z = np.zeros((len(some), PLACES, FILTERS), "f4")
+            for k in range(WIDTH // STRIDE):  # a filter in parts of a stride's bytes
+                part = self.p["filters"][k * STRIDE * DIM : (k + 1) * STRIDE * DIM]
+                z += (x @ part).reshape(len(some), -1, FILTERS)[:, k : k + PLACES]
+            tops.append(z.max(axis=1))
+            if where:
+                places.append(z.argmax(axis=1))
+        return np.concatenate(tops), np.concatenate(places) if where else None
+
+    def pooled(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.maxima(rows)[0] + self.p["bias"], 0)
+
+    def log_odds(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """Of texts, from the maximum and the mean of each filter over their chunks."""
+        return np.tanh(np.concatenate([most, mean], 1) @ self.p["hidden"] + self.p["shift"]) @ self.p["out"] + self.p["base"]
+
+    def gradients(self, rows: np.ndarray, sizes: np.ndarray, starts: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the weighted logistic loss of texts whose chunks begin at ``starts``; and the log odds. Only maxima pass any back."""
+        z, at = self.maxima(rows, where=True)
+        c = np.maximum(z + self.p["bias"], 0)
+        owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
+        share = (sizes / np.add.reduceat(sizes, starts)[owner])[:, None].astype("f4")
+        most, mean = np.maximum.reduceat(c, starts), np.add.reduceat(c * share, starts)
+        pooled = np.concatenate([most, mean], 1)
+        hidden = np.tanh(pooled @ self.p["hidden"] + self.p["shift"])
+        odds = hidden @ self.p["out"] + self.p["base"]
         error = ((1 / (1 + np.exp(-odds)) - labels) * weights / weights.sum()).astype("f4")
-        back = error[:, None] * self.p["out"] * (top > 0)
-        x = x.reshape(len(rows), CHUNK // GROUP, GROUP * DIM)
-        n = np.arange(len(rows))[:, None]
-        grads = {"out": top.T @ error, "base": error.sum(keepdims=True), "bias": back.sum(0)}
-        embed = np.zeros_like(self.p["embed"], "f8")
-        for half, name in ((0, "left"), (1, "right")):
-            patch = x[n, at + half]  # chunk, filter, value
-            grads[name] = np.einsum("cfv,cf->vf", patch, back)
-            flow = (back[:, :, None] * self.p[name].T).reshape(-1, DIM)
-            bytes_ = rows[n[:, :, None], ((at + half) * GROUP)[:, :, None] + np.arange(GROUP)].ravel()
-            for d in range(DIM):
-                embed[:, d] += np.bincount(bytes_, flow[:, d], 257)
-        return grads | {"embed": embed.astype("f4")}
-
-    def fit(self, texts: list[list[bytes]], labels: np.ndarray, ratio: float, epochs: int = 8, rate: float = 4e-3, seed: int = 7) -> Network:
-        """Adam over chunks of texts; a text's chunks share its weight, the two labels share alike. Then a scale for whole texts.
+        inner = error[:, None] * self.p["out"] * (1 - hidden * hidden)
+        back = inner @ self.p["hidden"].T
+        top = c == most[owner]
+        top = top / np.add.reduceat(top.astype("f4"), starts)[owner]  # equal maxima share alike
+        flow = (back[owner, :FILTERS] * top + back[owner, FILTERS:] * share) * (c > 0)
+        grads = {"out": hidden.T @ error, "base": error.sum(keepdims=True), "hidden": pooled.T @ inner, "shift": inner.sum(0), "bias": flow.sum(0)}
+        n = np.arange(len(rows))[:, None, None]
+        bytes_ = rows[n, at[:, :, None] * STRIDE + np.arange(WIDTH)]  # chunk, filter, byte
+        patch = self.p["embed"][bytes_].reshape(len(rows), FILTERS, WIDTH * DIM)
+        grads["filters"] = np.einsum("cfv,cf->vf", patch, flow)
+        spread = (flow[:, :, None] * self.p["filters"].T).reshape(-1, DIM)
+        grads["embed"] = np.stack([np.bincount(bytes_.ravel(), spread[:, d], 257) for d in range(DIM)], 1)
+        return grads, odds
+
+    def fit(self, texts: list[bytes], labels: np.ndarray, ratio: float, epochs: int = 6, rate: float = 4e-3, seed: int = 7, batch: int = 96) -> Network:
+        """Adam over whole texts, both labels alike. Then a scale and a prior.
 
         ``ratio``: how many times as frequent label 1 is as label 0 outside the sample.
-        Chunks stay bytes but for those of a step.
+        A step takes texts of about ``batch`` chunks together, one text at least.
         """
-        chunks = [c for t in texts for c in t]
-        rows = lambda pick: np.concatenate([chunks_of(chunks[i])[0][:1] for i in pick])
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        y = labels[owner].astype("f4")
-        share = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1))
-        w = (share / np.array([len(t) for t in texts]))[owner].astype("f4")
+        count = np.array([len(range(0, max(len(t) - (CHUNK - STEP), 1), STEP)) for t in texts])
+        w = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1))
         r, m, v, step = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(epochs):
-            order = r.permutation(len(chunks))
-            for i in range(0, len(order), 128):
-                pick, step = order[i : i + 128], step + 1
-                for k, g in self.gradients(rows(pick), y[pick], w[pick]).items():
+            order = r.permutation(len(texts))
+            group = np.cumsum(count[order]) // batch
+            for pick in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+                step += 1
+                cut = [chunks_of(texts[i]) for i in pick]
+                starts = np.cumsum([0, *(len(c[0]) for c in cut[:-1])])
+                grads, _ = self.gradients(np.concatenate([c[0] for c in cut]), np.concatenate([c[1] for c in cut]), starts, labels[pick], w[pick])
+                for k, g in grads.items():
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * g
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * g * g
-                    self.p[k] -= (rate * 0.6**epoch * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype("f4")
-        odds = np.concatenate([self.log_odds(rows(range(i, min(i + 128, len(chunks))))) for i in range(0, len(chunks), 128)])
-        mean = np.bincount(owner, odds) / np.bincount(owner)
-        self._scale_to(mean, labels.astype("f8"))
-        self.shift += float(np.log(ratio * (labels == 0).sum() / (labels == 1).sum()))
+                    self.p[k] -= (rate * 0.5**epoch * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype("f4")
+        self._scale_to(self._odds(texts), labels.astype("f8"))
+        self.prior += float(np.log(ratio * (labels == 0).sum() / (labels == 1).sum()))
         return self
 
     def _scale_to(self, odds: np.ndarray, y: np.ndarray) -> None:
@@ -112,37 +136,41 @@ class Network:
             g = np.array([((p - y) * odds).sum() + (a - 1), (p - y).sum() + 0.01 * b])
             h = np.array([[(s * odds * odds).sum() + 1, (s * odds).sum()], [(s * odds).sum(), s.sum() + 0.01]])
             a, b = np.array([a, b]) - np.linalg.solve(h, g)
-        self.scale, self.shift = float(a), float(b)
+        self.scale, self.prior = float(a), float(b)
 
-    def scores(self, texts: Iterator[str | None], batch: int = 256) -> list[float]:
-        """Probability of each text; chunks of many texts go through together."""
-        total, weight = [], []
-        waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+    def _odds(self, texts: Iterator[bytes], batch: int = 256) -> np.ndarray:
+        """Log odds of each text. Chunks of many texts go through together, a very long text in parts."""
+        most, mean, weight, waiting, held = [], [], [], [], 0
 
         def flush():
-            rows = np.concatenate([w[1] for w in waiting])
-            odds = np.concatenate([self.log_odds(rows[i : i + batch]) for i in range(0, len(rows), batch)])
-            at = 0
-            for n, part, sizes in waiting:
-                total[n] += float(odds[at : at + len(part)] @ sizes)
-                weight[n] += float(sizes.sum())
-                at += len(part)
-            waiting.clear()
-
-        size = 0
-        for n, text in enumerate(texts):
-            total.append(0.0)
+            if waiting:
+                c, at = self.pooled(np.concatenate([x[1] for x in waiting])), 0
+                for n, rows, sizes in waiting:
+                    own, at = c[at : at + len(rows)], at + len(rows)
+                    most[n] = np.maximum(most[n], own.max(axis=0))
+                    mean[n] += sizes @ own
+                    weight[n] += float(sizes.sum())
+                waiting.clear()
+
+        for n, data in enumerate(texts):
+            most.append(np.zeros(FILTERS, "f4"))
+            mean.append(np.zeros(FILTERS, "f4"))
             weight.append(0.0)
-            rows, sizes = chunks_of((text if isinstance(text, str) else "").encode("utf-8", "surrogatepass"))
-            for i in range(0, len(rows), batch):  # a very long text goes in parts
+            rows, sizes = chunks_of(data)
+            for i in range(0, len(rows), batch):
                 waiting.append((n, rows[i : i + batch], sizes[i : i + batch]))
-                size += len(waiting[-1][1])
-                if size >= batch:
+                held += len(waiting[-1][1])
+                if held >= batch:
                     flush()
-                    size = 0
-        if waiting:
-            flush()
-        z = self.scale * np.array(total) / np.maximum(weight, 1) + self.shift
+                    held = 0
+        flush()
+        if not most:
+            return np.zeros(0)
+        return self.log_odds(np.stack(most), np.stack(mean) / np.array(weight, "f4")[:, None])
+
+    def scores(self, texts: Iterator[str | None]) -> list[float]:
+        """Probability of each text."""
+        z = self.scale * self._odds(_bytes(t) for t in texts) + self.prior
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
@@ -151,37 +179,31 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, per_label: int = 3000, chunks_per_text: int = 6, skip_fold: tuple[int, int] | None = (5, 0)) -> Network | None:
-    """Fits the network to labels.quality.
+def train_quality(docs: DataFrame, labels: DataFrame, per_label: int = 3000, sample_bytes: int = 96 << 20, skip_fold: tuple[int, int] | None = (5, 0)) -> Network | None:
+    """Fits the network to labels.quality on whole texts.
 
     The sample is bounded: at most ``per_label`` rows of either label, chosen by a
-    hash of doc_id, and ``chunks_per_text`` evenly spaced chunks of each text.
-    ``skip_fold`` (folds, remainder) leaves those doc_ids out. Rows with null
-    doc_id or label are not used. None if either label is missing.
+    hash of doc_id; of these, in that order, as many as have ``sample_bytes`` bytes
+    together. ``skip_fold`` (folds, remainder) leaves those doc_ids out. Rows with
+    null doc_id or label are not used. None if either label is missing.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"))
     if skip_fold:
         usable = usable.where(fold(F.col("id"), skip_fold[0]) != skip_fold[1])
     order = F.xxhash64(F.lit("train"), "id")
     picked = usable.where("y = 0").orderBy(order, "id").limit(per_label).unionByName(usable.where("y = 1").orderBy(order, "id").limit(per_label))
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for text in b["text"]:
-                rows, _ = chunks_of((text if isinstance(text, str) else "").encode("utf-8", "surrogatepass"))
-                at = np.unique(np.linspace(0, len(rows) - 1, chunks_per_text).astype(int))
-                out.append([r[r != PAD].astype("u1").tobytes() for r in rows[at]])
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "chunks": out})
-
-    # At most 2 * per_label rows are broadcast.
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id").select("id", "text", "y")
-    rows = sorted(sample.mapInPandas(cut, "id long, y int, chunks array<binary>").collect(), key=lambda r: (r["id"], r["chunks"]))
+    # At most 2 * per_label rows are broadcast; of their texts, sample_bytes are collected.
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")
+    sample = docs.select(F.col("doc_id").alias("id"), data).join(F.broadcast(picked), "id").withColumn("row", F.monotonically_increasing_id())
+    sample = stored(sample, "labelled")
+    so_far = F.sum("size").over(W.orderBy(order, "id", "row").rowsBetween(W.unboundedPreceding, 0))
+    fits = sample.select("id", "row", F.octet_length("data").alias("size")).withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
+    rows = sorted(sample.join(F.broadcast(fits.select("row")), "row").select("id", "data", "y").collect())
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    texts = [[bytes(c) for c in r["chunks"]] for r in rows]
+    texts = [bytes(r["data"]) for r in rows]
     del rows
     return Network().fit(texts, y, counts[1] / counts[0])
 
@@ -200,6 +222,7 @@ def score_quality(docs: DataFrame, model: Network | None) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.scores(texts), dtype="float64")
+        give_back()
 
     return docs.select(*keep, score(F.col("text")).alias("score"))
 
