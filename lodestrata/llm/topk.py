@@ -6,6 +6,11 @@ their full scores, which gives a safe cutoff: a score of at least t has a part
 of at least t over the number of nodes. Phase 2 sends that cutoff to the nodes
 and collects all entries above it. Phase 3 tightens the cutoff, drops what can't
 reach it and resolves the rest. Scores may be negative.
+
+A node's vectors and the queries are dealt to blocks by hash. A task holds one
+block of either and meets them in pieces, keeping the best entries of each query
+over the whole block. So each vector is sent once for each block of queries, each
+query once for each block of vectors, and a block is a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -22,73 +27,82 @@ from .vectors import candidates, nearest_of_queries, query_classes, valid
 ENTRY = "class long, node int, cid long, part double"
 
 
-def _packed(rows: DataFrame, nodes: int, width: int, size: int) -> DataFrame:
-    """(cid, v) as blocks: (node, ids, parts), both packed, for at most ``size`` rows and one node's components."""
-    cuts = np.linspace(0, width, nodes + 1).astype(int)
-
-    def pack(batches):
-        for b in batches:
-            for i in range(0, len(b), size):
-                some = b.iloc[i : i + size]
-                x = np.zeros((len(some), width))
-                for row, v in zip(x, some["v"], strict=True):
-                    row[: len(v)] = v
-                ids = some["cid"].to_numpy("<i8").tobytes()
-                yield pd.DataFrame({"node": range(nodes), "ids": [ids] * nodes, "parts": [np.ascontiguousarray(x[:, a:b_]).tobytes() for a, b_ in zip(cuts, cuts[1:])]})
-
-    return rows.select("cid", "v").mapInPandas(pack, "node int, ids binary, parts binary")
-
-
 def _best(rows: DataFrame, by: list[str], score: str, n: int, tie: str = "cid") -> DataFrame:
     """The n rows of highest score of each group; tasks keep n before the shuffle."""
     order = W.partitionBy(*by).orderBy(F.col(score).desc(), tie)
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
 
 
-def search(vectors: DataFrame, k: int, every: int, nodes: int = 2, depth: int = 5, scale: int = 1024, query_block: int = 512, block: int = 4096) -> DataFrame:
+def _parts(rows: DataFrame, nodes: int, width: int) -> DataFrame:
+    """Each row once for each node, with the node's components only."""
+    cuts = [width * n // nodes for n in range(nodes + 1)]
+    own = F.array(*(F.struct(F.lit(n).alias("node"), F.slice("v", a + 1, b - a).alias("part")) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    return rows.select(*(c for c in rows.columns if c != "v"), F.inline(own).alias("node", "v"))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    """Vectors as rows of doubles, filled up with zeros."""
+    out = np.zeros((len(column), max(map(len, column), default=0)))
+    for row, v in zip(out, column, strict=True):
+        row[: len(v)] = v
+    return out
+
+
+def _scores(q: pd.DataFrame, c: pd.DataFrame, piece: int = 256):
+    """Pieces of queries and their partial scores with all candidates of the block."""
+    x, y = _matrix(c["v"]), _matrix(q["v"])
+    width = min(x.shape[1], y.shape[1])
+    for i in range(0, len(y), piece):
+        yield slice(i, i + piece), y[i : i + piece, :width] @ x[:, :width].T
+
+
+def search(vectors: DataFrame, k: int, every: int, nodes: int = 2, depth: int = 5, scale: int = 1024, query_block: int = 8192, block: int = 16_384) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score) for each vec_id divisible by ``every``.
 
     A component x counts as floor(scale * x). Null vectors and those with null or
-    non-finite components take no part; neither do rows with null vec_id. Shorter
-    vectors count as filled up with zeros. Repeated rows count once. Ties go to the
-    smaller vec_id. Other columns are not read.
+    non-finite components take no part; neither do rows with null vec_id. An empty
+    vector has score 0 with all. Shorter vectors count as filled up with zeros.
+    Repeated rows count once. Ties go to the smaller vec_id. Other columns are not read.
 
-    A task holds one block of candidates and one of queries. Queries meet all
-    candidates block by block, which is the stated set of queries against all rows.
+    Queries meet all candidates block by block, which is the stated set of queries
+    against all rows.
     """
     k1 = k + 1
-    rows = valid(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    rows = valid(vectors, empty=True).select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
     found = candidates(rows, k1)
     queries = query_classes(rows, found, F.col("vec_id") % every == 0)
-    width = found.agg(F.max(F.size("v"))).first()[0] or 1
-    asking = queries.select(F.col("class").alias("cid")).distinct().join(found, "cid").select("cid", "v")
-    blocks = stored(_packed(found, nodes, width, block).select("node", "ids", "parts"), "blocks")
-    asked = _packed(asking.coalesce(1) if asking.count() <= 4 * query_block else asking, nodes, width, query_block)
-    asked = asked.select(F.xxhash64("ids").alias("set"), "node", F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"))
-    asked = stored(asked, "query-blocks")
-    sets = [r["set"] for r in asked.select("set").distinct().collect()]  # one number for each block of queries
-    grid = blocks.withColumn("set", F.explode(F.array(*map(F.lit, sets)) if sets else F.array().cast("array<bigint>")))
-
-    def met(row_q, row_c):
-        q, c = np.frombuffer(row_q[0], "<i8"), np.frombuffer(row_c[0], "<i8")
-        return q, c, np.frombuffer(row_q[1]).reshape(len(q), -1) @ np.frombuffer(row_c[1]).reshape(len(c), -1).T
-
-    def gather(batches):
-        for b in batches:
-            for node, ids, parts, q_ids, q_parts in zip(b["node"], b["ids"], b["parts"], b["q_ids"], b["q_parts"], strict=True):
-                q, c, s = met((q_ids, q_parts), (ids, parts))
-                n = min(depth * k1, len(c))
-                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                yield pd.DataFrame({"class": np.repeat(q, n), "node": node, "cid": c[at].ravel(), "part": np.take_along_axis(s, at, 1).ravel()})
-
-    def collect(batches):
-        for b in batches:
-            for node, ids, parts, q_ids, q_parts, cut in zip(b["node"], b["ids"], b["parts"], b["q_ids"], b["q_parts"], b["cut"], strict=True):
-                q, c, s = met((q_ids, q_parts), (ids, parts))
-                of = {x["class"]: x["t"] for x in cut}
-                least = np.array([of.get(x, -np.inf) for x in q])
-                i, j = np.nonzero(s >= least[:, None])
-                yield pd.DataFrame({"class": q[i], "node": node, "cid": c[j], "part": s[i, j]})
+    count, width = found.agg(F.count("*"), F.max(F.size("v"))).first()
+    asking = stored(queries.select(F.col("class").alias("cid")).distinct().join(found, "cid").select("cid", "v"), "asking")
+    blocks, query_blocks = -(-count // block) or 1, -(-asking.count() // query_block) or 1
+    block_of = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("block")
+    set_of = F.pmod(F.xxhash64("class"), F.lit(query_blocks)).cast("int").alias("set")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vectors_ = _parts(found.select("cid", "v"), nodes, width or 0).select("cid", "v", "node", block_of, every_of(query_blocks).alias("set"))
+    asked = _parts(asking.withColumnRenamed("cid", "class"), nodes, width or 0).select("class", "v", "node", set_of)
+
+    def met(sent: DataFrame, meet) -> DataFrame:
+        """Each block of queries with each block of vectors of the same node."""
+        keys = ["node", "block", "set"]
+        return sent.withColumn("block", every_of(blocks)).groupBy(*keys).cogroup(vectors_.groupBy(*keys)).applyInPandas(meet, ENTRY)
+
+    def gather(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out, n = [], min(depth * k1, len(c))
+        for some, s in _scores(q, c) if len(q) and n else ():
+            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            out.append(pd.DataFrame({"class": np.repeat(q["class"].to_numpy()[some], n), "cid": c["cid"].to_numpy()[at].ravel(), "part": np.take_along_axis(s, at, 1).ravel()}))
+        return _entries(out, q)
+
+    def collect(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out, least = [], q["t"].fillna(-np.inf).to_numpy(float) / nodes
+        for some, s in _scores(q, c) if len(q) and len(c) else ():
+            i, j = np.nonzero(s >= least[some][:, None])
+            out.append(pd.DataFrame({"class": q["class"].to_numpy()[some][i], "cid": c["cid"].to_numpy()[j], "part": s[i, j]}))
+        return _entries(out, q)
+
+    def _entries(out: list[pd.DataFrame], q: pd.DataFrame) -> pd.DataFrame:
+        if not out:
+            return pd.DataFrame({"class": [], "node": [], "cid": [], "part": []})
+        return pd.concat(out).assign(node=int(q["node"].iloc[0]))[["class", "node", "cid", "part"]]
 
     def resolved(pairs: DataFrame) -> DataFrame:
         """Full scores of (class, cid)."""
@@ -103,15 +117,12 @@ def search(vectors: DataFrame, k: int, every: int, nodes: int = 2, depth: int =
         return _best(scores, ["class"], "score", k1).where(F.col("nth") == k1).select("class", F.col("score").alias("t"))
 
     # Phase 1
-    first = _best(grid.join(asked, ["set", "node"]).mapInPandas(gather, ENTRY), ["class", "node"], "part", depth * k1)
+    first = _best(met(asked, gather), ["class", "node"], "part", depth * k1)
     known = stored(resolved(first.select("class", "cid").distinct()), "phase-1")
 
     # Phase 2
     cuts = stored(cutoff(known), "cutoffs")
-    member = asked.where("node = 0").select("set", F.explode(_longs("q_ids")).alias("class"))
-    by_set = member.join(cuts, "class").groupBy("set").agg(F.collect_list(F.struct("class", (F.col("t") / nodes).alias("t"))).alias("cut"))
-    sent = asked.join(by_set, "set", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<struct<class:bigint,t:double>>")))
-    entries = grid.join(sent, ["set", "node"]).mapInPandas(collect, ENTRY)
+    entries = met(asked.join(cuts, "class", "left"), collect)
     seen = stored(entries.groupBy("class", "cid").agg(F.sum("part").alias("part"), F.count("*").alias("nodes")), "phase-2")
 
     # Phase 3
@@ -125,16 +136,6 @@ def search(vectors: DataFrame, k: int, every: int, nodes: int = 2, depth: int =
     return nearest_of_queries(queries, lists, k)
 
 
-def _longs(column: str):
-    """The numbers of a packed block."""
-
-    @F.pandas_udf("array<long>")
-    def unpack(packed: pd.Series) -> pd.Series:
-        return packed.map(lambda b: np.frombuffer(b, "<i8"))
-
-    return unpack(F.col(column))
-
-
 def op10_uniform_threshold(spark, sf_dir: str) -> DataFrame:
     """The 10 highest integer inner products of every vec_id divisible by 100."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 10, 100).withColumn("score", F.col("score").cast("long"))
@@ -144,7 +145,7 @@ OP10_SQL = """
 WITH valid AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..scratch import stored
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows whose vector is not null, not empty and has only finite components; null vec_ids are left out."""
+def valid(vectors: DataFrame, empty: bool = False) -> DataFrame:
+    """(vec_id, v) of the rows whose vector is not null, not empty unless ``empty``, and has only finite components; null vec_ids are left out."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where("vec_id is not null and size(embedding) > 0").where(~bad).select("vec_id", F.col("embedding").alias("v"))
+    some = F.col("vec_id").isNotNull() & (F.size("embedding") >= (0 if empty else 1))
+    return vectors.where(some & ~bad).select("vec_id", F.col("embedding").alias("v"))
 
 
 def candidates(rows: DataFrame, keep: int) -> DataFrame:
