@@ -1,10 +1,11 @@
 """Sharding by sampled splitters under the law ``bytes``: shards of near equal size.
 
 Records are ordered by the hash of their text (equal texts lie together), then
-doc_id. Size-weighted samples of the key give the splitters of many ranges; the
-ranges are summed, an overfull one (a large group of equal texts) is subdivided,
-and running sums inside each range turn a record's place into a byte offset, and
-that into a shard. Only DataFrame functions are used, and only narrow rows
+doc_id. Size-weighted samples of the key give the splitters of a fixed number of
+ranges, and a key that would fill one gets a range of its own; the ranges are
+summed, an overfull one (a large group of equal texts) is subdivided, and running
+sums inside each range turn a record's place into a byte offset, and that into a
+shard. Only DataFrame functions are used, and only narrow rows
 (no texts) are shuffled.
 """
 
@@ -25,20 +26,23 @@ def _uniform(*cols) -> Column:
 def splitters(rows: DataFrame, total: int, ranges: int, per_range: int = 16) -> list[int]:
     """Quantiles of about ranges * per_range keys drawn in proportion to size.
 
-    The sample's size is set by the arguments, not by the data; it is the only
-    thing that the driver collects besides totals.
+    A key that has a range's share of the draws is cut off on both sides. The
+    sample's size is set by the arguments, not by the data; it is the only thing
+    that the driver collects besides totals.
     """
     want = F.col("size") * F.lit(ranges * per_range / max(total, 1))
     draws = (F.floor(want) + F.when(_uniform(F.lit("draw"), "key", "row") < want - F.floor(want), 1).otherwise(0)).cast("long")
     # A row of many draws stands for itself as often as it can matter.
     picked = rows.select("key", F.least(draws, F.lit(ranges * per_range).cast("long")).alias("draws")).where("draws > 0")
-    keys = sorted((r["key"], r["draws"]) for r in picked.collect())
-    n, seen, out = sum(d for _, d in keys), 0, []
+    keys = picked.groupBy("key").agg(F.sum("draws").alias("draws")).orderBy("key").collect()
+    n, seen, out = sum(r["draws"] for r in keys), 0, set()
     for key, d in keys:
-        while len(out) < ranges - 1 and seen + d > (len(out) + 1) * n / ranges:
-            out.append(key)
+        if (seen + d) * ranges // n > seen * ranges // n:
+            out.add(key)
+        if d * ranges >= n:
+            out |= {key, min(key + 1, (1 << 63) - 1)}
         seen += d
-    return sorted(set(out))
+    return sorted(out)
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
@@ -52,14 +56,15 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return block + F.size(F.filter(F.slice(all_of, block + 1, F.lit(step)), lambda b: b <= key))
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, rows_per_range: int = 1_000_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 24, ranges: int = 2048) -> DataFrame:
     """(doc_id, text) -> (doc_id, size, text_crc32, shard, slot).
 
     Size is the UTF-8 bytes of the text plus 8; a null text has no bytes and the
     CRC of an empty one. A record goes to the shard in which the middle of its
     bytes lies, so a shard misses its share by at most one record. Null doc_ids
     come first among equal texts; repeated rows are records of their own; an
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. Running sums meet in one
+    task by range only, of which there are at most some three times ``ranges``.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = stored(
@@ -72,8 +77,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, rows_per_range: int = 1_00
         ),
         "shard-rows",
     )
-    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(8 * shards, count // rows_per_range)
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bounds = splitters(rows, total, ranges)
     rows = rows.withColumn("range", range_of(F.col("key"), bounds))
 
