@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_path
+from ..scratch import shared_path, stored
+from .memory import giving_back
 
 EOL = b"\r\n"
 CHUNK = 8192
@@ -75,7 +76,8 @@ def write_archives(
     """Writes (page_id, url, html) as gzipped WARC files; returns their folder.
 
     Of equal payloads of at least ``min_bytes`` bytes, the row with the largest
-    page_id is the response (null last; one of them if rows repeat). A null html
+    page_id is the response (nulls only if all are null; one of the rows that repeat it,
+    the others revisit it). A null html
     is an empty payload, a null url has no target header. An archive holds at most
     ``records_per_file`` records of ``segment`` bytes and their headers.
     """
@@ -100,7 +102,7 @@ def write_archives(
             yield pd.DataFrame({"record": out})
 
     path = shared_path(pages.sparkSession, "warc")
-    written = marked.mapInPandas(records, "record binary").select(F.col("record").cast("string"))
+    written = marked.mapInPandas(giving_back(records), "record binary").select(F.col("record").cast("string"))
     # A record ends with two line ends, which is what the text writer puts after each row.
     written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
     return path
@@ -197,10 +199,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
             yield _rows(out)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    read = files.mapInPandas(parse, f"{RECORD}, {part}")
+    read = stored(files.mapInPandas(giving_back(parse), f"{RECORD}, {part}"), "warc-read")
     segments = (
-        files.mapInPandas(parse, f"{RECORD}, {part}")
-        .where("origin is not null")
+        read.where("origin is not null")
         .groupBy("origin")
         .agg(F.array_sort(F.collect_list(F.struct("number", "total", "headers", "block"))).alias("segments"))
         .mapInPandas(reassemble, RECORD)
@@ -217,9 +218,8 @@ def op9_warc_segments(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT p.page_id, payload_bytes, p.payload_digest,
-       CASE WHEN kept IS NULL OR kept = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN kept <> p.page_id THEN kept END AS refers_to
-FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND p.payload_bytes >= 1000
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept,
+             payload_bytes < 1000 OR row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) = 1 AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT first THEN kept END AS refers_to
+FROM k
 """
