@@ -144,11 +144,10 @@ def search(
 
     asking = queries.select(F.col("class").alias("cid")).distinct().join(found, "cid")
     points = found.select("cid", "vec_id", "v", F.lit(False).alias("asks")).unionByName(asking.select("cid", "vec_id", "v", F.lit(True).alias("asks")))
-    shape = "cid long, vec_id long, v array<float>, asks boolean, lane int, key long"
+    shape = f"cid long, vec_id long, v {found.schema['v'].dataType.simpleString()}, asks boolean, lane int, key long"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves)
     ordered = (
         points.withColumn("step", step)
-        .withColumn("v", F.col("v").cast("array<float>"))
         .mapInPandas(place, shape)
         .repartitionByRange(parts, "lane", "key", "vec_id", "asks")
         .sortWithinPartitions("lane", "key", "vec_id", "asks")
