@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import stored
+from .memory import giving_back
 from .tokens import Encoder
 
 END_ID = 1
@@ -112,7 +113,7 @@ def pack(
                     current, room = [], size
         return _frame(_rows([*windows_, *([current] if current else [])], first + (1 << 31), keep_ids), 0, False)
 
-    placed = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInPandas(place, schema), "packed")
+    placed = stored(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInPandas(giving_back(place), schema), "packed")
     merged = placed.where("open").groupBy(F.expr(f"part div {merged_partitions}")).applyInPandas(merge, schema)
     return placed.where("not open").unionByName(merged).select(*COLUMNS, *(["ids"] if keep_ids else []))
 

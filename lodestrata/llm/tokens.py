@@ -5,33 +5,42 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 # Separators that Python's split() takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
 # Signs that a tokenizer of this kind always splits from the letters before them.
 TAIL = ".,;:!?|%&*#$"
+# A byte-level model names each byte by a printable character: its own, or one from U+0100 on.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_NAMES = {b: chr(b) for b in _OWN} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 
 class Encoder:
     """Encodes texts with a tokenizer whose ids of a text are those of its words in turn.
 
-    That holds for the file word_bpe_49k.json: white space is dropped and never
-    part of a token. A text with odd separators is encoded whole.
+    That holds for the file word_bpe_49k.json: white space is dropped and never part
+    of a token; letters are composed, lower-cased and named byte by byte before the
+    model splits them. A word of letters, and signs after it, goes to the model
+    directly, any other word through the whole tokenizer. A text with odd separators
+    is encoded whole.
+
+    Words are remembered in two generations of ``most`` each, about 200 bytes a word:
+    when the younger is full, it becomes the older one. The worker process keeps them
+    from task to task.
     """
 
-    known: dict[str, bytes] = {}  # kept by the worker process from task to task
-    stems: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+    tails: dict[str, bytes] = {"": b""}
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 1_200_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.is_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.is_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.split = self.tokenizer.model.tokenize
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -40,38 +49,29 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _letters(self, stems: list[str]) -> None:
-        """Ids of words of letters, many to a call; each is one run, and only its last id ends a word."""
-        for i in range(0, len(stems), 256):
-            group = stems[i : i + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                raw = ids.tobytes()
-                self.stems.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, [0, *ends], ends, strict=False))
-            else:
-                self.stems.update((w, self._whole(w)) for w in group)
+    def _word(self, word: str) -> bytes:
+        stem = word.rstrip(TAIL)
+        tail = word[len(stem) :]
+        if stem.isascii():
+            letters = named = stem.lower()
+        else:
+            letters = "".join(map(str.lower, unicodedata.normalize("NFC", stem)))
+            named = letters.encode().decode("latin-1").translate(BYTE_NAMES)
+        if not letters.isalpha() or not stem.isalpha():
+            return self._whole(word)
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._whole(tail) if tail else b""
+        return self._bytes([t.id for t in self.split(named)]) + self.tails[tail]
 
     def _learn(self, words: set[str]) -> None:
         """Fills ``known`` for the words."""
         if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        if len(self.stems) > self.most:
-            self.stems.clear()
-        parts, letters = {}, set()
+            Encoder.known, Encoder.older = {}, self.known
         for word in words:
-            stem = word.rstrip(TAIL)
-            if stem.isalpha():
-                parts[word] = key = stem.lower() if stem.isascii() else stem, word[len(stem) :]
-                if key[0] not in self.stems:
-                    letters.add(key[0])
-            else:
-                self.known[word] = self._whole(word)
-        self._letters(list(letters))
-        for word, (stem, tail) in parts.items():
-            if tail and tail not in self.stems:
-                self.stems[tail] = self._whole(tail)
-            self.known[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+            ids = self.older.get(word)
+            self.known[word] = self._word(word) if ids is None else ids
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; null is empty."""
@@ -86,7 +86,7 @@ class Encoder:
                 if None in ids:
                     self._learn({w for w, x in zip(words, ids, strict=True) if x is None})
                     ids = list(map(self.known.get, words))
-                    if None in ids:  # the memory was cleared to make room
+                    if None in ids:  # the younger generation was closed to make room
                         self._learn(set(words))
                         ids = list(map(self.known.get, words))
                 yield b"".join(ids) + self.end
