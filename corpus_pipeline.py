@@ -8,11 +8,12 @@ beyond SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.line_dedup import drop_common_lines
 from lodestrata.llm.mixing import mix
-from lodestrata.llm.near_dedup import near_duplicates
+from lodestrata.llm.near_dedup import near_duplicates, text_hash
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import score_quality, train_quality
 from lodestrata.scratch import shared_path
@@ -29,18 +30,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without common lines; n_chars is counted anew. A document that loses every line stays, empty."""
-    kept = drop_common_lines(docs)
+    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row")))
     text = F.when(F.col("text").isNotNull(), F.col("_kept"))
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return kept.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    return kept.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of the smallest doc_id. Rows without doc_id stay."""
-    named = docs.where("doc_id is not null")
-    kept = near_duplicates(named).where("kept").select("doc_id").distinct()
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class of near-duplicates: that of the smallest doc_id, then of the least text hash.
+
+    Rows of one doc_id with texts that are not near-duplicates all stay, as do rows
+    without words. Of rows equal in doc_id and text one stays, by a hash of all columns.
+    """
+    key, name = ["name", "h1", "h2"], F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("name")
+    stays = near_duplicates(docs).where("stays").select(name, "h1", "h2").groupBy(*key).agg(F.count("*").alias("many"))
+    rows = docs.select(name, *text_hash(F.col("text")), F.struct(*docs.columns).alias("row"))
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("row")))
+    left = rows.join(stays, key).withColumn("nth", nth).where("nth <= many")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
