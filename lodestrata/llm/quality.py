@@ -2,14 +2,15 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes
 are embedded, and learned filters of eight bytes slide over each chunk by two. The
-maximum of each filter over a chunk is taken; of those, the maximum and the mean by
-length over all chunks of the text go through a small hidden layer into one
-probability.
+maximum of each filter over a chunk is taken; of those, the maximum, the mean by
+length and the minimum over all chunks of the text, and its length, go through a
+small hidden layer into one probability. The minimum tells of a chunk in which
+little happens, such as a word said again and again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..scratch import stored
 from .memory import give_back
 
-CHUNK, STEP, PAD = 1024, 896, 256
+CHUNK, STEP, PAD = 256, 192, 256
 DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 48, 24
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -35,6 +36,16 @@ def chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.array([min(CHUNK, max(n - s, 1)) for s in starts], np.float32)
 
 
+def is_full(sizes: np.ndarray, chunks) -> np.ndarray:
+    """Chunks that the minimum looks at: all but a short rest at the end of other chunks."""
+    return (sizes >= CHUNK // 2) | (np.asarray(chunks) == 1)
+
+
+def length_of(total: np.ndarray) -> np.ndarray:
+    """The length of texts as one number each."""
+    return (np.log2(total) / 10 - 1)[:, None].astype("f4")
+
+
 def _bytes(text: str | None) -> bytes:
     return (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
 
@@ -48,7 +59,7 @@ class Network:
             "embed": r.normal(0, 0.5, (257, DIM)).astype("f4"),
             "filters": r.normal(0, 0.15, (WIDTH * DIM, FILTERS)).astype("f4"),
             "bias": np.zeros(FILTERS, "f4"),
-            "hidden": r.normal(0, 0.1, (2 * FILTERS, HIDDEN)).astype("f4"),
+            "hidden": r.normal(0, 0.03, (3 * FILTERS + 1, HIDDEN)).astype("f4"),
             "shift": np.zeros(HIDDEN, "f4"),
             "out": r.normal(0, 0.3, HIDDEN).astype("f4"),
             "base": np.zeros(1, "f4"),
@@ -70,29 +81,30 @@ class Network:
                 places.append(z.argmax(axis=1))
         return np.concatenate(tops), np.concatenate(places) if where else None
 
-    def pooled(self, rows: np.ndarray) -> np.ndarray:
-        return np.maximum(self.maxima(rows)[0] + self.p["bias"], 0)
-
-    def log_odds(self, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        """Of texts, from the maximum and the mean of each filter over their chunks."""
-        return np.tanh(np.concatenate([most, mean], 1) @ self.p["hidden"] + self.p["shift"]) @ self.p["out"] + self.p["base"]
+    def log_odds(self, pooled: np.ndarray) -> np.ndarray:
+        """Of texts, from what is pooled over their chunks."""
+        return np.tanh(pooled @ self.p["hidden"] + self.p["shift"]) @ self.p["out"] + self.p["base"]
 
     def gradients(self, rows: np.ndarray, sizes: np.ndarray, starts: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the weighted logistic loss of texts whose chunks begin at ``starts``; and the log odds. Only maxima pass any back."""
         z, at = self.maxima(rows, where=True)
-        c = np.maximum(z + self.p["bias"], 0)
-        owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
-        share = (sizes / np.add.reduceat(sizes, starts)[owner])[:, None].astype("f4")
-        most, mean = np.maximum.reduceat(c, starts), np.add.reduceat(c * share, starts)
-        pooled = np.concatenate([most, mean], 1)
+        c = z + self.p["bias"]
+        count = np.diff([*starts, len(rows)])
+        owner = np.repeat(np.arange(len(starts)), count)
+        total = np.add.reduceat(sizes, starts)
+        share = (sizes / total[owner])[:, None].astype("f4")
+        full = np.where(is_full(sizes, count[owner])[:, None], c, np.float32(np.inf))
+        most, mean, least = np.maximum.reduceat(c, starts), np.add.reduceat(c * share, starts), np.minimum.reduceat(full, starts)
+        pooled = np.concatenate([most, mean, least, length_of(total)], 1)
         hidden = np.tanh(pooled @ self.p["hidden"] + self.p["shift"])
         odds = hidden @ self.p["out"] + self.p["base"]
         error = ((1 / (1 + np.exp(-odds)) - labels) * weights / weights.sum()).astype("f4")
         inner = error[:, None] * self.p["out"] * (1 - hidden * hidden)
         back = inner @ self.p["hidden"].T
-        top = c == most[owner]
-        top = top / np.add.reduceat(top.astype("f4"), starts)[owner]  # equal maxima share alike
-        flow = (back[owner, :FILTERS] * top + back[owner, FILTERS:] * share) * (c > 0)
+        top, low = (c == most[owner]).astype("f4"), (full == least[owner]).astype("f4")
+        top, low = (x / np.add.reduceat(x, starts)[owner] for x in (top, low))  # equal ones share alike
+        own = back[owner]
+        flow = own[:, :FILTERS] * top + own[:, FILTERS : 2 * FILTERS] * share + own[:, 2 * FILTERS : 3 * FILTERS] * low
         grads = {"out": hidden.T @ error, "base": error.sum(keepdims=True), "hidden": pooled.T @ inner, "shift": inner.sum(0), "bias": flow.sum(0)}
         n = np.arange(len(rows))[:, None, None]
         bytes_ = rows[n, at[:, :, None] * STRIDE + np.arange(WIDTH)]  # chunk, filter, byte
@@ -138,35 +150,38 @@ class Network:
             a, b = np.array([a, b]) - np.linalg.solve(h, g)
         self.scale, self.prior = float(a), float(b)
 
-    def _odds(self, texts: Iterator[bytes], batch: int = 256) -> np.ndarray:
+    def _odds(self, texts: Iterable[bytes], batch: int = 512) -> np.ndarray:
         """Log odds of each text. Chunks of many texts go through together, a very long text in parts."""
-        most, mean, weight, waiting, held = [], [], [], [], 0
+        pools, waiting, held = [], [], 0
 
         def flush():
             if waiting:
-                c, at = self.pooled(np.concatenate([x[1] for x in waiting])), 0
-                for n, rows, sizes in waiting:
+                c, at = self.maxima(np.concatenate([x[1] for x in waiting]))[0] + self.p["bias"], 0
+                for pool, rows, sizes, full in waiting:
                     own, at = c[at : at + len(rows)], at + len(rows)
-                    most[n] = np.maximum(most[n], own.max(axis=0))
-                    mean[n] += sizes @ own
-                    weight[n] += float(sizes.sum())
+                    pool[0] = np.maximum(pool[0], own.max(axis=0))
+                    pool[1] = pool[1] + sizes @ own
+                    pool[2] = np.minimum(pool[2], own[full].min(axis=0, initial=np.inf))
                 waiting.clear()
 
-        for n, data in enumerate(texts):
-            most.append(np.zeros(FILTERS, "f4"))
-            mean.append(np.zeros(FILTERS, "f4"))
-            weight.append(0.0)
+        total = []
+        for data in texts:
+            pools.append([np.full(FILTERS, -np.inf, "f4"), np.zeros(FILTERS, "f4"), np.full(FILTERS, np.inf, "f4")])
             rows, sizes = chunks_of(data)
+            total.append(float(sizes.sum()))
+            full = is_full(sizes, len(rows))
             for i in range(0, len(rows), batch):
-                waiting.append((n, rows[i : i + batch], sizes[i : i + batch]))
+                waiting.append((pools[-1], rows[i : i + batch], sizes[i : i + batch], full[i : i + batch]))
                 held += len(waiting[-1][1])
                 if held >= batch:
                     flush()
                     held = 0
         flush()
-        if not most:
+        if not pools:
             return np.zeros(0)
-        return self.log_odds(np.stack(most), np.stack(mean) / np.array(weight, "f4")[:, None])
+        total = np.array(total, "f4")
+        most, mean, least = (np.stack([p[k] for p in pools]) for k in range(3))
+        return self.log_odds(np.concatenate([most, mean / total[:, None], least, length_of(total)], 1))
 
     def scores(self, texts: Iterator[str | None]) -> list[float]:
         """Probability of each text."""

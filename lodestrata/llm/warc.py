@@ -90,14 +90,14 @@ def write_archives(
     # Marks are made on narrow rows; payloads are dealt once, by the row, so a large group of copies stays spread.
     narrow = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "row", "digest")
     kept = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"))
-    revisits = narrow.join(kept, "digest").where("row <> kept.row").select(F.col("row").alias("revisit"), F.col("kept.page_id").alias("refers_to"))
+    revisits = narrow.join(kept, "digest").where("row <> kept.row").select(F.col("row").alias("revisit"), F.coalesce(F.col("kept.page_id").cast("string"), F.lit("None")).alias("refers_to"))
     marked = rows.join(revisits, F.col("row") == F.col("revisit"), "left").select("page_id", "row", "url", "payload", "digest", "refers_to")
 
     def records(batches):
         for b in batches:
             out = []
             for page_id, row, url, payload, digest, refers_to in zip(b["page_id"], b["row"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+                page_id = None if pd.isna(page_id) else int(page_id)
                 out += _written(page_id, row, url, payload, digest, refers_to, segment, date)
             yield pd.DataFrame({"record": out})
 
