@@ -11,9 +11,13 @@ IDENT = "[A-Za-z0-9_$]"
 NOT_BEFORE, NOT_AFTER = f"(?<!{IDENT})", f"(?!{IDENT})"
 
 
+# The code points of Unicode white space.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trimmed(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -23,9 +27,8 @@ def ascii_lower(c: Column) -> Column:
 def lines_of(content: Column) -> Column:
     """Lines without their ends; a line end at the very end opens no further line; none for null or empty text."""
     lines = F.split(F.regexp_replace(content, r"\n\z", ""), "\n", -1)
-    return F.when(F.coalesce(F.length(content), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(lines, lambda x: F.regexp_replace(x, r"\r\z", ""))
-    )
+    bare = F.transform(lines, lambda x: F.when(F.endswith(x, F.lit("\r")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(bare)
 
 
 def base_name(path: Column) -> Column:
@@ -113,8 +116,7 @@ def line_counts(lines: Column, tokens: Column) -> Column:
     A blank line inside a block is blank. The line token is tried before the block's.
     """
 
-    def step(state: Column, raw: Column) -> Column:
-        line = trimmed(raw)
+    def step(state: Column, line: Column) -> Column:
         blank = line == ""
         inside = state["inside"]
         by_line = F.coalesce(F.startswith(line, tokens["line"]), F.lit(False))
@@ -130,7 +132,7 @@ def line_counts(lines: Column, tokens: Column) -> Column:
 
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("total"), zero.alias("blank"), zero.alias("comment"), F.lit(False).alias("inside"))
-    return F.aggregate(lines, start, step)
+    return F.aggregate(F.transform(lines, trimmed), start, step)
 
 
 def entropy(c: Column) -> Column:

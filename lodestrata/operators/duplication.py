@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,19 +15,21 @@ FILE = ["project", "path"]
 
 
 def normal_lines(files: DataFrame) -> DataFrame:
-    """(project, path, pos, line): lines that count, renumbered from 0."""
-    tokens = t.comment_tokens(F.col("language"))
-    lines = files.where("noise_reason is null").select(*FILE, F.posexplode(F.transform(t.lines_of(F.col("content")), t.trimmed)).alias("at", "raw"), tokens.alias("tokens"))
-    kept = lines.where((F.col("raw") != "") & ~t.starts_comment(F.col("raw"), F.col("tokens")) & (t.alphanumerics(F.col("raw")) >= 3))
-    kept = kept.withColumn("line", F.regexp_replace("raw", r"(?U)\s+", " ")).where(F.octet_length("line") >= 12)
-    return kept.select(*FILE, (F.row_number().over(W.partitionBy(*FILE).orderBy("at")) - 1).alias("pos"), "line")
+    """(project, path, lines): the lines of a file that count, in order."""
+    rows = files.where("noise_reason is null").select(*FILE, t.comment_tokens(F.col("language")).alias("tokens"), F.transform(t.lines_of(F.col("content")), t.trimmed).alias("raw"))
+    kept = F.filter("raw", lambda x: (F.octet_length(x) > 0) & ~t.starts_comment(x, F.col("tokens")) & F.rlike(x, F.lit(r"(?:[\p{IsAlphabetic}\p{N}][^\p{IsAlphabetic}\p{N}]*){3}")))
+    plain = F.transform(kept, lambda x: F.when(F.rlike(x, F.lit(r"(?U)\s\s|[^\S ]")), F.regexp_replace(x, r"(?U)\s+", " ")).otherwise(x))
+    return rows.select(*FILE, F.filter(plain, lambda x: F.octet_length(x) >= 12).alias("lines"))
+
+
+def _run(start: Column, size: int) -> Column:
+    return F.array_join(F.slice("lines", start + 1, F.lit(size)), "\n")
 
 
 def windows(lines: DataFrame, size: int = rules.DUP_WINDOW) -> DataFrame:
-    """(project, path, start, fp, sample) of every run of ``size`` lines."""
-    frame = W.partitionBy(*FILE).orderBy("pos").rowsBetween(0, size - 1)
-    runs = lines.withColumn("run", F.collect_list("line").over(frame)).where(F.size("run") == size)
-    return runs.select(*FILE, F.col("pos").alias("start"), F.sha2(F.array_join("run", "\n"), 256).alias("fp"), F.array_join("run", "\n").alias("sample"))
+    """(project, path, start, fp) of every run of ``size`` lines; made inside a file's row, without a shuffle."""
+    runs = F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda n: F.struct(n.alias("start"), F.sha2(_run(n, size), 256).alias("fp")))
+    return lines.where(F.size("lines") >= size).select(*FILE, F.inline(runs).alias("start", "fp"))
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -45,22 +47,28 @@ def duplicate_ratio(again: DataFrame, code: DataFrame, size: int = rules.DUP_WIN
     return rows.select("project", "masked", F.when(F.col("code") > 0, F.least(F.lit(1.0), F.col("masked") / F.col("code"))).otherwise(0.0).alias("ratio"))
 
 
-def blocks(again: DataFrame, n: int = rules.TOP["blocks"], size: int = rules.DUP_WINDOW) -> DataFrame:
-    """Runs of canonical windows as blocks: in two files at least, or of twice the window's lines."""
+def blocks(again: DataFrame, n: int = rules.TOP["blocks"], size: int = rules.DUP_WINDOW, lines: DataFrame | None = None) -> DataFrame:
+    """Runs of canonical windows as blocks: in two files at least, or of twice the window's lines.
+
+    ``lines`` are those that the windows were made of; with them a block has a sample of
+    its text. Files and samples are gathered for the first ``n`` blocks of a project only.
+    """
     again = stored(again, "repeated")
-    run = F.col("start") - F.row_number().over(W.partitionBy(*FILE).orderBy("start"))
-    own = again.where("canonical").withColumn("run", run).select(*FILE, "run", "start", "fp", "sample", "occurrences")
-    of_run = own.groupBy(*FILE, "run").agg(
-        (F.max("start") - F.min("start") + size).alias("line_count"), F.max("occurrences").alias("occurrences"), F.min("start").alias("start"),
-        F.min_by("fp", "start").alias("fingerprint"), F.min_by("sample", "start").alias("sample"),
+    run, block = F.col("start") - F.row_number().over(W.partitionBy(*FILE).orderBy("start")), [*FILE, "run"]
+    own = again.where("canonical").withColumn("run", run).select(*block, "start", "fp", "occurrences")
+    of_run = own.groupBy(*block).agg(
+        (F.max("start") - F.min("start") + size).alias("line_count"), F.max("occurrences").alias("occurrences"), F.min("start").alias("start"), F.min_by("fp", "start").alias("fingerprint"),
     )
-    # Files of a run in the order in which they come up: by window, then by path.
     other = again.select("project", "fp", F.col("path").alias("file")).distinct()
-    seen = own.select(*FILE, "run", "fp", "start").join(other, ["project", "fp"]).groupBy(*FILE, "run", "file").agg(F.min("start").alias("at"))
-    files = seen.groupBy(*FILE, "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("files"))
-    rows = of_run.join(files, [*FILE, "run"]).where((F.size("files") >= 2) | (F.col("line_count") >= 2 * size))
-    rows = rows.withColumn("blocks", F.count("*").over(W.partitionBy("project")))
-    weight = F.col("occurrences") * F.col("line_count")
-    return top_of_project(rows, n, weight.desc(), F.col("path"), F.col("start")).select(
-        "project", "rank", "fingerprint", "line_count", "occurrences", "files", "sample", "blocks"
-    )
+    seen = stored(own.select(*block, "fp", "start").join(other, ["project", "fp"]).groupBy(*block, "file").agg(F.min("start").alias("at")), "block-files")
+    rows = of_run.join(seen.groupBy(*block).agg(F.count("*").alias("in_files")), block).where((F.col("in_files") >= 2) | (F.col("line_count") >= 2 * size))
+    rows = stored(rows, "all-blocks")
+    counts = rows.groupBy("project").agg(F.count("*").alias("blocks"))
+    top = top_of_project(rows, n, (F.col("occurrences") * F.col("line_count")).desc(), F.col("path"), F.col("start"))
+    # Files of a block in the order in which they come up: by window, then by path.
+    files = seen.join(F.broadcast(top.select(*block)), block).groupBy(*block).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("files"))
+    top = top.join(files, block).join(counts, "project")
+    sample = F.lit(None).cast("string")
+    if lines is not None:
+        top, sample = top.join(lines, FILE), _run(F.col("start"), size)
+    return top.select("project", "rank", "fingerprint", "line_count", "occurrences", "files", sample.alias("sample"), "blocks")

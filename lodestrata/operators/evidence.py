@@ -106,11 +106,23 @@ def declaration_line(content: Column, name: Column) -> Column:
     return F.when(at.isNull() | (name == ""), 0).otherwise(t.line_of(content, at)).cast("int")
 
 
-def classified(files: DataFrame) -> DataFrame:
-    """Files with runtime, file_type and responsibilities; noise is shared, of the type of its reason, and does nothing."""
+def classified(files: DataFrame, longest: DataFrame | None = None) -> DataFrame:
+    """Files with runtime, file_type and responsibilities; noise is shared, of the type of its reason, and does nothing.
+
+    With ``longest`` (project, path, longest_name, longest_line) also symbol and
+    symbol_line: where the text without comments declares the symbol, else the line of
+    the longest function, 0 if there is none.
+    """
+    if longest is not None:
+        files = files.join(longest.select("project", "path", "longest_name", "longest_line"), ["project", "path"], "left")
     own = F.col("noise_reason").isNull()
     seen = files.withColumn("v", views("content", "language"))
     seen = seen.withColumn("responsibilities", F.when(own, responsibilities(F.col("v.evidence"), F.col("language"))).otherwise(F.array().cast(NONE)))
     seen = seen.withColumn("runtime", F.when(own, runtime(F.col("path"), F.col("language"), F.col("v.code"))).otherwise("shared"))
     kind = file_type(F.col("path"), F.col("language"), F.col("ext"), F.col("runtime"), F.col("responsibilities"), F.col("v.code"))
-    return seen.withColumn("file_type", F.when(own, kind).otherwise(F.col("noise_reason"))).drop("v")
+    seen = seen.withColumn("file_type", F.when(own, kind).otherwise(F.col("noise_reason")))
+    if longest is not None:
+        seen = seen.withColumn("symbol", primary_symbol(F.col("path"), F.col("longest_name")))
+        at = declaration_line(F.col("v.code"), F.col("symbol"))
+        seen = seen.withColumn("symbol_line", F.when(at > 0, at).otherwise(F.coalesce("longest_line", F.lit(0))).cast("int")).drop("longest_name", "longest_line")
+    return seen.drop("v")

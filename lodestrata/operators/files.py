@@ -59,8 +59,8 @@ def as_files(paths: DataFrame) -> DataFrame:
 
 def with_line_counts(files: DataFrame) -> DataFrame:
     """Adds lines, blank, comment, code of each file."""
-    counts = t.line_counts(t.lines_of(F.col("content")), t.comment_tokens(F.col("language")))
-    out = files.withColumn("_c", counts)
+    # The tokens are a column of their own, so that they are looked up once for a file and not for a line.
+    out = files.withColumn("_t", t.comment_tokens(F.col("language"))).withColumn("_c", t.line_counts(t.lines_of(F.col("content")), F.col("_t")))
     return out.select(
         *files.columns, F.col("_c.total").alias("lines"), F.col("_c.blank").alias("blank"), F.col("_c.comment").alias("comment"),
         (F.col("_c.total") - F.col("_c.blank") - F.col("_c.comment")).alias("code"),

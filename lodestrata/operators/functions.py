@@ -117,19 +117,22 @@ def functions(files: DataFrame) -> DataFrame:
         "project", "path", "language", t.lines_of(source).alias("lines"), t.lines_of(F.col("v.decisions")).alias("decisions"),
         functions_of(source, "language").alias("found"),
     )
-    hits = rows.where(F.size("found") > 0).select("project", "path", "language", "lines", "decisions", F.explode("found").alias("f"))
-    start, lines = F.col("f.start"), F.col("lines")
-    length = (
-        F.when(F.col("f.expression_length").isNotNull(), F.col("f.expression_length"))
-        .when(F.col("language") == "Python", indent_length(lines, start))
-        .when(lua, keyword_length(lines, start))
-        .otherwise(brace_length(lines, start))
-    )
-    measured = hits.withColumn("length", length)
-    return measured.select(
-        "project", "path", "language", F.col("f.ord").alias("ord"), F.col("f.name").alias("name"), F.col("f.start").alias("start"), "length",
-        complexity(F.col("decisions"), start, F.col("length"), F.col("language")).alias("complexity"),
-    )
+    # Measured in the file's row, so that its lines are not copied to each function.
+    def measured(f: Column) -> Column:
+        lines, start = F.col("lines"), f["start"]
+        length = (
+            F.when(f["expression_length"].isNotNull(), f["expression_length"])
+            .when(F.col("language") == "Python", indent_length(lines, start))
+            .when(lua, keyword_length(lines, start))
+            .otherwise(brace_length(lines, start))
+        )
+        return F.struct(f["ord"].alias("ord"), f["name"].alias("name"), start.alias("start"), length.alias("length"))
+
+    def judged(f: Column) -> Column:
+        return F.struct(*(f[k].alias(k) for k in ("ord", "name", "start", "length")), complexity(F.col("decisions"), f["start"], f["length"], F.col("language")).alias("complexity"))
+
+    hits = rows.where(F.size("found") > 0).select("project", "path", "language", "decisions", F.transform("found", measured).alias("found"))
+    return hits.select("project", "path", "language", F.inline(F.transform("found", judged)).alias("ord", "name", "start", "length", "complexity"))
 
 
 def longest_of_file(found: DataFrame) -> DataFrame:

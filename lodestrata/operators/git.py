@@ -11,15 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import text as t
+from ..scratch import stored
 from .files import git_noise, top_of_project
 
 
 def new_path(path: Column) -> Column:
-    """The name that a rename ends with, unquoted, with forward slashes."""
-    path = F.regexp_replace(path, r'^"|"$', "")
-    braced = F.replace(F.regexp_replace(path, r"\{[^{}]*? => ([^{}]*)\}", "$1"), F.lit("//"), F.lit("/"))
-    plain = F.regexp_replace(path, r"^.* => ", "")
-    return F.translate(F.when(F.rlike(path, F.lit(r"\{[^{}]* => [^{}]*\}")), braced).otherwise(plain), "\\", "/")
+    """The name that a rename ends with, trimmed, without a pair of quotes around it, with forward slashes.
+
+    The first braces count if an arrow is in them, else what is after the first arrow.
+    """
+    path = F.regexp_replace(t.trimmed(path), r'(?s)^"(.*)"$', "$1")
+    braces = r"(?s)^([^{}]*)\{([^}]*?) => ([^}]*)\}(.*)$"
+    braced = F.replace(F.regexp_replace(path, braces, "$1$3$4"), F.lit("//"), F.lit("/"))
+    plain = F.regexp_replace(path, r"(?s)^.*? => ", "")
+    return F.translate(F.when(F.rlike(path, F.lit(braces)), braced).otherwise(plain), "\\", "/")
 
 
 def parsed_log(log: DataFrame) -> DataFrame:
@@ -92,9 +98,10 @@ def cochanges(changes: DataFrame, n: int = rules.TOP["cochange"], least: int = r
 
     Paths are gathered for each commit, 30 at most by rule, so the pairs of a commit are bounded.
     """
-    paths = per_commit(changes).groupBy("project", "commit").agg(F.count("*").alias("n"), F.min("path").alias("p"))
-    usable = paths.where(F.col("n").between(rules.MIN_PAIR_FILES, rules.MAX_PAIR_FILES)).select("project", "commit")
-    sets = per_commit(changes).join(usable, ["project", "commit"]).groupBy("project", "commit").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    paths = stored(per_commit(changes).select("project", "commit", "path"), "commit-paths")
+    counts = paths.groupBy("project", "commit").agg(F.count("*").alias("n"))
+    usable = counts.where(F.col("n").between(rules.MIN_PAIR_FILES, rules.MAX_PAIR_FILES)).select("project", "commit")
+    sets = paths.join(usable, ["project", "commit"]).groupBy("project", "commit").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     pairs = F.flatten(F.transform("paths", lambda a, i: F.transform(F.slice("paths", i + 2, F.size("paths")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     counts = sets.select("project", F.explode(pairs).alias("p")).groupBy("project", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
     return top_of_project(counts.where(F.col("count") >= least), n, F.col("count").desc(), F.col("a"), F.col("b"))
@@ -109,8 +116,16 @@ def bus_factor(changes: DataFrame, commits: DataFrame, n: int = rules.TOP["bus_f
     return top_of_project(rows, n, F.col("share").desc(), F.col("commits").desc(), F.col("path"))
 
 
-def status(commits: DataFrame, projects: DataFrame) -> DataFrame:
-    """(project, available, reason): whether a log says anything."""
-    known = commits.groupBy("project").agg(F.count("*").alias("n"))
-    rows = projects.join(known, "project", "left")
-    return rows.select("project", F.col("n").isNotNull().alias("available"), F.when(F.col("n").isNull(), "no commits").alias("reason"))
+def status(commits: DataFrame, projects: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """(project, available, reason): whether a log says anything, and if not, why.
+
+    Line 0 of a log holds the source's reason. A log of lines without a commit could
+    not be parsed; one without lines has no commits.
+    """
+    rows = projects.join(commits.groupBy("project").agg(F.count("*").alias("n")), "project", "left")
+    why = F.lit("no commits found")
+    if log is not None:
+        told = log.groupBy("project").agg(F.max(F.when(F.col("line_no") == 0, F.col("value"))).alias("told"), F.count_if((F.col("line_no") > 0) & (F.trim("value") != "")).alias("lines"))
+        rows = rows.join(told, "project", "left")
+        why = F.coalesce("told", F.when(F.col("lines") > 0, "could not parse git log output"), why)
+    return rows.select("project", F.col("n").isNotNull().alias("available"), F.when(F.col("n").isNull(), why).alias("reason"))

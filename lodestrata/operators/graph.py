@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -76,8 +77,10 @@ def cycles_of(edges: DataFrame) -> DataFrame:
 
 def cycle_report(cycles: DataFrame, n: int = rules.TOP["cycles"], files: int = rules.TOP["cycle_files"]) -> DataFrame:
     """The largest cycles of a project with their first files, and how many there are."""
-    rows = cycles.groupBy("project", "component").agg(F.count("*").alias("size"), F.slice(F.array_sort(F.collect_list("node")), 1, files).alias("files"))
-    from pyspark.sql import Window as W
-
-    rows = rows.withColumn("cycles", F.count("*").over(W.partitionBy("project")))
-    return top_of_project(rows, n, F.col("size").desc(), F.col("component"))
+    own = ["project", "component"]
+    sizes = cycles.groupBy(*own).agg(F.count("*").alias("size"))
+    counts = sizes.groupBy("project").agg(F.count("*").alias("cycles"))
+    top = top_of_project(sizes, n, F.col("size").desc(), F.col("component"))
+    first = cycles.join(F.broadcast(top.select(*own)), own).withColumn("nth", F.row_number().over(W.partitionBy(*own).orderBy("node"))).where(F.col("nth") <= files)
+    names = first.groupBy(*own).agg(F.array_sort(F.collect_list("node")).alias("files"))  # ``files`` at most
+    return top.join(names, own).join(counts, "project").select(*own, "size", "files", "cycles", "rank")

@@ -20,9 +20,16 @@ def imports(files: DataFrame) -> DataFrame:
 def unused_imports(files: DataFrame) -> DataFrame:
     """Imported names that occur once at most in the raw text; Lua has none."""
     able = files.where(F.col("noise_reason").isNull() & F.col("language").isin(*rules.JS, "Python"))
-    names = able.select("project", "path", "content", F.explode(imports_of("content", "language")).alias("i"))
-    names = names.select("project", "path", "content", F.col("i.ord").alias("ord"), F.col("i.source").alias("source"), F.col("i.line").alias("line"), F.posexplode("i.names").alias("pos", "name"))
-    return names.where(t.identifier_count(F.col("content"), F.col("name")) <= 1).select("project", "path", "ord", "pos", "name", "source", "line")
+    found = able.select("project", "path", "content", imports_of("content", "language").alias("found")).where(F.size("found") > 0)
+    # A file's identifiers are listed once; only names go on, without the text.
+    found = found.select("project", "path", "content", "found", F.regexp_extract_all("content", F.lit(f"({t.IDENT}+)"), 1).alias("words"))
+    count = lambda n: F.when(F.rlike(n, F.lit(f"^{t.IDENT}+$")), F.size(F.filter("words", lambda w: w == n))).otherwise(t.identifier_count(F.col("content"), n))
+    unused = lambda i: F.struct(
+        i["ord"].alias("ord"), i["source"].alias("source"), i["line"].alias("line"),
+        F.filter(F.transform(i["names"], lambda n, pos: F.struct(pos.alias("pos"), n.alias("name"))), lambda x: count(x["name"]) <= 1).alias("names"),
+    )
+    rows = found.select("project", "path", F.inline(F.transform("found", unused)).alias("ord", "source", "line", "names"))
+    return rows.select("project", "path", "ord", "source", "line", F.inline("names").alias("pos", "name")).select("project", "path", "ord", "pos", "name", "source", "line")
 
 
 def joined_path(path: Column, source: Column) -> Column:
@@ -57,10 +64,19 @@ def fan_in(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.select("project", "path").join(n, ["project", "path"], "left").select("project", "path", F.coalesce("n", F.lit(0)).alias("fan_in"))
 
 
+def top_unused(unused: DataFrame, n: int = rules.TOP["unused"]) -> DataFrame:
+    """The first unused names of each project."""
+    return top_of_project(unused, n, F.col("path"), F.col("ord"), F.col("pos"))
+
+
+def listed(edges: DataFrame, n: int = rules.TOP["dependencies"]) -> DataFrame:
+    """The first dependencies of each project."""
+    return top_of_project(edges, n, F.col("src"), F.col("ord"), F.col("dst"))
+
+
 def top_imported(edges: DataFrame, n: int = rules.TOP["imported"], first: int = rules.TOP["dependencies"]) -> DataFrame:
     """The files that most of the first imports of a project name."""
-    some = top_of_project(edges, first, F.col("src"), F.col("ord"), F.col("dst")).drop("rank")
-    counts = some.groupBy("project", F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
+    counts = listed(edges, first).groupBy("project", F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
     return top_of_project(counts, n, F.col("fan_in").desc(), F.col("path"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -12,8 +12,23 @@ from .files import top_of_project
 REDACTED = "«redacted»"
 
 
+def redacted(text: Column) -> Column:
+    """A line without the values that any of the rules finds in it."""
+    for _, _, pattern in rules.SECRETS:
+        text = F.regexp_replace(text, pattern, REDACTED)
+    for pattern, value in [*((p, r"(\S+)") for _, _, p in rules.CONFIG_SECRETS), (rules.ASSIGNED_SECRET, r"""([^'"]{8,})""")]:
+        flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+        before, after = body.split(value)
+        text = F.regexp_replace(text, f"{flags}({before}){value[1:-1]}(?={after})" if after else f"{flags}({before}){value[1:-1]}", f"$1{REDACTED}")
+    return text
+
+
 def secrets(files: DataFrame, assigned_only: bool = False) -> DataFrame:
-    """(project, path, line, kind, severity, snippet); under test paths the severity is low. All assigned values count if only they are asked for."""
+    """(project, path, line, kind, severity, snippet) of the first rule that finds a value which is no placeholder.
+
+    Under test paths the severity is low. The snippet shows none of the line's
+    secrets. All assigned values count if only they are asked for.
+    """
     lines = files.where("noise_reason is null").select("project", "path", "language", F.posexplode(t.lines_of(F.col("content"))).alias("n", "text"))
     text = F.col("text")
     rows = [
@@ -30,11 +45,13 @@ def secrets(files: DataFrame, assigned_only: bool = False) -> DataFrame:
         F.rlike(text, F.lit(rules.ASSIGNED_SECRET)),
         F.struct(F.when(random, "High-entropy secret").otherwise("Hardcoded secret").alias("kind"), F.when(random, "high").otherwise("medium").alias("severity"), value.alias("value")),
     )
-    hits = lines.withColumn("hit", F.coalesce(*([] if assigned_only else rows + config), assigned)).where("hit is not null").where(~F.rlike("hit.value", F.lit(rules.PLACEHOLDER)))
+    found = F.array(*([] if assigned_only else rows + config), assigned)
+    real = F.get(F.filter(found, lambda h: h.isNotNull() & ~F.rlike(h["value"], F.lit(rules.PLACEHOLDER))), F.lit(0))
+    hits = lines.withColumn("hit", real).where("hit is not null")
     severity = F.when(F.rlike("path", F.lit(rules.TEST_PATH)), "low").otherwise(F.col("hit.severity"))
     return hits.select(
         "project", "path", (F.col("n") + 1).alias("line"), F.col("hit.kind").alias("kind"), severity.alias("severity"),
-        t.snippet(F.replace(text, F.col("hit.value"), F.lit(REDACTED))).alias("snippet"),
+        t.snippet(redacted(text)).alias("snippet"),
     )
 
 

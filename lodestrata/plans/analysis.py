@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import duplication, evidence, files, functions, graph, imports, secrets
+from ..operators import duplication, evidence, files, functions, git, graph, imports, secrets
 from ..scratch import stored
 from . import findings as f
 from .scoring import scores
 
 
-def analyse(table: DataFrame) -> dict[str, DataFrame]:
+def forensics(log: DataFrame, table: DataFrame, now: int) -> dict[str, DataFrame]:
+    """Tables git_*: what logs (project, line_no, value) tell of the files that exist; ``now`` in unix seconds."""
+    parsed = stored(git.parsed_log(log), "parsed-log")
+    commits, changes = git.commits_of(parsed), stored(git.changes_of(parsed, table), "changes")
+    return {
+        "git_status": git.status(commits, table.select("project").distinct(), log), "git_totals": git.totals(commits), "git_files": git.top_files(git.file_stats(changes, commits, now)),
+        "git_hotspots": git.hotspots(changes), "git_cochanges": git.cochanges(changes), "git_bus_factor": git.bus_factor(changes, commits),
+    }
+
+
+def analyse(table: DataFrame, log: DataFrame | None = None, now: int | None = None) -> dict[str, DataFrame]:
     """Tables by name: files, totals (with scores), languages, functions, blocks, unused, secrets, cycles, findings, brief and others.
 
-    Files are read three times at most: for their lines, for what they do and for
+    With version-control logs also those of ``forensics``. Files are read three times at most: for their lines, for what they do and for
     their functions; what is used again is stored in the shared folder.
     """
     counted = files.with_line_counts(table)
-    kinds = evidence.classified(table).select("project", "path", "runtime", "file_type", "responsibilities")
     found = stored(functions.functions(table), "functions")
+    longest = functions.longest_of_file(found)
+    kinds = evidence.classified(table, longest).select("project", "path", "runtime", "file_type", "responsibilities", "symbol", "symbol_line")
     items = stored(imports.imports(table), "imports")
     edges = stored(imports.resolved_imports(items, table), "edges")
-    longest = functions.longest_of_file(found)
     rows = counted.join(kinds, ["project", "path"]).join(longest, ["project", "path"], "left").join(imports.fan_in(edges, table), ["project", "path"], "left")
-    symbol = evidence.primary_symbol(F.col("path"), F.col("longest_name"))
-    at = evidence.declaration_line(F.col("content"), symbol)
-    of_longest = F.when(F.col("longest_name") == symbol, F.col("longest_line"))
     info = rows.select(
         "project", "path", "ext", "language", "size_bytes", "noise_reason", "lines", "blank", "comment", "code", "runtime", "file_type", "responsibilities",
         *(F.coalesce(n, F.lit(0)).cast("int").alias(n) for n in ("functions", "long_functions", "max_complexity", "longest", "longest_line", "fan_in")),
-        F.coalesce("longest_name", F.lit("")).alias("longest_name"), symbol.alias("symbol"),
-        F.when(at > 0, at).otherwise(F.coalesce(of_longest, F.lit(0))).cast("int").alias("symbol_line"),
+        F.coalesce("longest_name", F.lit("")).alias("longest_name"), "symbol", "symbol_line",
     )
     info = stored(info, "files")
 
-    again = stored(duplication.repeated(duplication.windows(duplication.normal_lines(table))), "repeated")
-    blocks = stored(duplication.blocks(again), "blocks")
+    normal = stored(duplication.normal_lines(table), "normal-lines")
+    again = stored(duplication.repeated(duplication.windows(normal)), "repeated")
+    blocks = stored(duplication.blocks(again, lines=normal), "blocks")
     unused = stored(imports.unused_imports(table), "unused")
     leaks = stored(secrets.secrets(table), "secrets")
     cycles = stored(graph.cycle_report(graph.cycles_of(edges)), "cycles")
@@ -53,9 +62,13 @@ def analyse(table: DataFrame) -> dict[str, DataFrame]:
     totals = stored(scores(base.fillna(0)), "totals")
     ignored = files.top_of_project(info.where("noise_reason is not null"), rules.TOP["ignored"], F.col("lines").desc(), F.col("path"))
     streams = [f.file_findings(info), f.security_findings(secrets.top_secrets(leaks)), f.duplication_findings(blocks), f.unused_findings(unused)]
+    largest = files.top_of_project(info.where("noise_reason is null"), rules.TOP["largest"], F.col("lines").desc(), F.col("path"))
+    all_files = files.top_of_project(info.where("noise_reason is null"), rules.TOP["all_files"], F.col("lines").desc(), F.col("path"))
     all_ = stored(f.findings(streams, f.noise_findings(ignored), imports.verify_commands(table)), "findings")
     return {
         "files": info, "totals": totals, "languages": files.language_stats(info), "functions": found, "long_functions": functions.long_functions(found),
         "complex_functions": functions.complex_functions(found), "imports": items, "edges": edges, "top_imported": imports.top_imported(edges), "blocks": blocks,
+        "largest": largest, "all_files": all_files, "dependencies": imports.listed(edges), "unused_listed": imports.top_unused(unused), "secrets_listed": secrets.top_secrets(leaks),
         "unused": unused, "secrets": leaks, "cycles": cycles, "ignored": ignored, "findings": all_, "brief": f.brief(all_),
+        **({} if log is None else forensics(log, table, int(time.time()) if now is None else now)),
     }

@@ -316,10 +316,13 @@ def gated(rows: DataFrame) -> DataFrame:
     """Repairs of actionable findings in order; adds what was violated."""
     rows = rows.withColumn("violations", F.array().cast("array<string>"))
 
-    def repair(rows: DataFrame, name: str, broken: Column, **fix) -> DataFrame:
-        bad = F.coalesce((c("category") == "actionable") & broken, F.lit(False))
-        rows = rows.withColumn("bad", bad)
-        rows = rows.withColumn("violations", F.when(c("bad"), F.array_append("violations", F.concat(F.lit(f"{name}:"), c("file")))).otherwise(c("violations")))
+    # A finding that is no longer actionable after the first repair still goes through the others.
+    rows = rows.withColumn("gate", c("category") == "actionable")
+
+    def repair(rows: DataFrame, name: str, broken: Column, told: tuple[str, ...] = ("file",), **fix) -> DataFrame:
+        rows = rows.withColumn("bad", F.coalesce(c("gate") & broken, F.lit(False)))
+        what = F.concat_ws(":", F.lit(name), *(c(x).cast("string") for x in told))
+        rows = rows.withColumn("violations", F.when(c("bad"), F.array_append("violations", what)).otherwise(c("violations")))
         for k, v in fix.items():
             rows = rows.withColumn(k, F.when(c("bad"), v).otherwise(c(k)))
         return rows.drop("bad")
@@ -327,16 +330,16 @@ def gated(rows: DataFrame) -> DataFrame:
     structural = c("kind").isin("security", "duplication", "unused", "noise")
     server = lambda s: t.any_of(s["path"], rules.SERVER_MODULES)
     hook = lambda s: F.rlike(s["path"], F.lit("/use[A-Z]"))
-    rows = repair(rows, "below-floor", ~structural & (c("score") < rules.SCORE_FLOOR), category=F.lit("informational"))
+    rows = repair(rows, "below-floor", ~structural & (c("score") < rules.SCORE_FLOOR), ("kind", "file", "score"), category=F.lit("informational"))
     entry = c("kind").isin("god_server", "god_hook")
-    rows = repair(rows, "p1-low-blast", (c("priority") == "P1") & entry & (c("blast") == "low"), blast=F.lit("high"))
+    rows = repair(rows, "p1-low-blast", (c("priority") == "P1") & entry & (c("blast") == "low"), ("kind", "file"), blast=F.lit("high"))
     claims = c("kind").isin("god_server", "feature_component")
-    rows = repair(rows, "weak-high-conf", claims & (c("confidence") == "high") & ~c("direct_io"), confidence=F.lit("medium"))
+    rows = repair(rows, "weak-high-conf", claims & (c("confidence") == "high") & ~c("direct_io"), ("kind", "file"), confidence=F.lit("medium"))
     rows = repair(rows, "client-server-suggestion", (c("runtime") == "client") & F.exists("refactor", server), refactor=F.filter("refactor", lambda s: ~server(s)))
     rows = repair(rows, "icon-hook", (c("kind") == "icon_file") & F.exists("refactor", hook), refactor=F.filter("refactor", lambda s: ~hook(s)))
     rows = repair(rows, "large-file-priority", (c("kind") == "huge_file") & c("priority").isin("P1", "P2"), priority=F.lit("P3"), score=F.least(c("score"), F.lit(44)))
     unchecked = (F.size("prs") > 0) & ~F.exists("prs", lambda p: F.rlike(p, F.lit(r"(?i)npm run|tsc\b|pnpm|yarn")))
-    return repair(rows, "pr-no-verify", unchecked)
+    return repair(rows, "pr-no-verify", unchecked).drop("gate")
 
 
 def findings(streams: list[DataFrame], noise: DataFrame, commands: DataFrame) -> DataFrame:
@@ -350,7 +353,10 @@ def findings(streams: list[DataFrame], noise: DataFrame, commands: DataFrame) ->
 
 
 def brief(rows: DataFrame) -> DataFrame:
-    """(project, primary, inspect, doubtful, ignored, pr_files, warnings)."""
+    """(project, primary, inspect, doubtful, ignored, prs, warnings).
+
+    Findings come from lists of fixed lengths, so those of a project are bounded.
+    """
     actionable = c("category") == "actionable"
     doubt = (c("category") == "needs-verification") | (actionable & (c("confidence") != "high"))
     ordered = lambda keep, value, n: F.slice(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(c("rank"), value.alias("v"))))), lambda x: x["v"]), 1, n)

@@ -23,15 +23,17 @@ def opened_projects(projects: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def project_list(projects: DataFrame, reports: DataFrame) -> DataFrame:
-    """Projects with the number of their reports."""
+    """Projects with the number of their reports, last opened first if that is known."""
     counts = reports.groupBy(F.col("project_path").alias("path")).agg(F.count("*").alias("n"))
-    return projects.join(counts, "path", "left").select(*projects.columns, F.coalesce("n", F.lit(0)).alias("report_count"))
+    rows = projects.join(counts, "path", "left").select(*projects.columns, F.coalesce("n", F.lit(0)).alias("report_count"))
+    return rows.orderBy(F.col("last_opened").desc(), "path") if "last_opened" in projects.columns else rows
 
 
 def saved_report(reports: DataFrame, new: DataFrame) -> DataFrame:
-    """The reports with a new one, whose id is the next."""
+    """The reports with new ones, whose ids are the next by their time."""
     last = reports.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    return reports.unionByName(new.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + 1).select(*reports.columns))  # one row each
+    nth = F.row_number().over(W.orderBy("created_at", "project_path"))  # of the few that are saved at once
+    return reports.unionByName(new.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + nth).select(*reports.columns))  # ``last`` is one row
 
 
 def report_list(reports: DataFrame, n: int = rules.TOP["reports"], project: str | None = None) -> DataFrame:

@@ -470,11 +470,11 @@ def verify_commands(spark, d):
 
 
 EDGES = """
-WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber AS n, printf('s%05d', l_suppkey) AS s FROM lineitem WHERE l_quantity >= 47),
+WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber AS n, printf('s%05d', l_suppkey) AS s FROM lineitem),
 e AS (SELECT a.s AS src, b.s AS dst, a.k, a.n FROM l a JOIN l b ON a.k = b.k AND b.n = a.n + 1 WHERE a.s <> b.s)"""
 
 
-@query(EDGES + ", r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) "
+@query(EDGES + ", d AS (SELECT DISTINCT src, dst FROM e), r(a, b) AS (SELECT src, dst FROM d UNION SELECT r.a, d.dst FROM r JOIN d ON r.b = d.src) "
        "SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1")
 def scc_cycles(spark, d):
     return graph.cycles_of(tables.imports(spark, d)).select("node", "component")
@@ -486,23 +486,21 @@ def top_imported(spark, d):
     return imports.top_imported(tables.imports(spark, d)).drop("project")
 
 
-ALL_EDGES = """
-WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_linenumber AS n, printf('s%05d', l_suppkey) AS s FROM lineitem),
-e AS (SELECT a.s AS src, b.s AS dst, a.k, a.n FROM l a JOIN l b ON a.k = b.k AND b.n = a.n + 1 WHERE a.s <> b.s)"""
+ALL_EDGES = EDGES
 
 
 @query(ALL_EDGES + ", d AS (SELECT DISTINCT src, dst FROM e), r(a, b) AS (SELECT src, dst FROM d UNION SELECT r.a, d.dst FROM r JOIN d ON r.b = d.src) "
        "SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1")
 def scc_cycles_all(spark, d):
-    """As ``scc_cycles``, over the edges of all lines."""
-    return graph.cycles_of(tables.imports(spark, d, None)).select("node", "component")
+    """The same; an older name."""
+    return graph.cycles_of(tables.imports(spark, d)).select("node", "component")
 
 
 @query(ALL_EDGES + " SELECT dst AS path, count(*)::BIGINT AS fan_in, row_number() OVER (ORDER BY count(*) DESC, dst)::INTEGER AS rank "
        "FROM (SELECT * FROM e ORDER BY src, k, n, dst LIMIT 600) GROUP BY 1 ORDER BY rank LIMIT 6")
 def top_imported_all(spark, d):
-    """As ``top_imported``, over the edges of all lines."""
-    return imports.top_imported(tables.imports(spark, d, None)).drop("project")
+    """The same; an older name."""
+    return imports.top_imported(tables.imports(spark, d)).drop("project")
 
 
 # Scores, findings, history
@@ -641,3 +639,6 @@ TEXTS = [(0, "0 B", "just now", "CASE-1970-0007"), (1536, "1.5 KB", "25m ago", "
 def formats(spark, d):
     rows = spark.createDataFrame([(n,) for n, *_ in TEXTS], "n long")
     return rows.select("n", t.bytes_text(F.col("n")).alias("bytes"), t.time_ago(F.col("n")).alias("ago"), t.case_number("CASE", F.col("n"), F.lit(7)).alias("number"))
+
+
+from . import more_queries  # noqa: E402, F401  registers its queries here

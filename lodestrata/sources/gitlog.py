@@ -35,13 +35,23 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        command = ["git", "-C", partition.value, "log", "--no-merges", FORMAT, "--numstat", "-n", str(self.commits), "--", "."]
+        def git(*arguments: str) -> str:
+            return subprocess.run(["git", "-C", partition.value, *arguments], capture_output=True, text=True, errors="replace", check=True).stdout
+
+        reason = "not a git work tree"
         try:
-            run = subprocess.run(command, capture_output=True, text=True, errors="replace", check=True)
+            if git("rev-parse", "--is-inside-work-tree").strip() == "true":
+                reason = "git log failed"
+                log = git("log", "--no-merges", FORMAT, "--numstat", "-n", str(self.commits), "--", ".")
+                for n, line in enumerate(log.split("\n") if log.strip() else [], 1):
+                    yield partition.value, n, line
+                reason = None if log.strip() else "no commits found"
+        except FileNotFoundError:
+            reason = "git is not installed or not on PATH"
         except (OSError, subprocess.CalledProcessError):
-            return  # no log: the project is told as unavailable
-        for n, line in enumerate(run.stdout.split("\n"), 1):
-            yield partition.value, n, line
+            pass
+        if reason:
+            yield partition.value, 0, reason  # line 0 tells why there is no log
 
 
 def captured_log(spark: SparkSession, path: str, project: str) -> DataFrame:

@@ -37,14 +37,17 @@ def ownership(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def imports(spark: SparkSession, folder: str, least: int | None = 47) -> DataFrame:
-    """Edges from a supplier to that of the next line of an order, where both lines are large; all lines if ``least`` is None."""
-    l = table(spark, folder, "lineitem")  # noqa: E741
-    if least is not None:
-        l = l.where(F.col("l_quantity") >= least)  # noqa: E741
-    a = l.select("l_orderkey", "l_linenumber", F.format_string("s%05d", F.col("l_suppkey")).alias("src"))
-    b = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.format_string("s%05d", F.col("l_suppkey")).alias("dst"))
-    rows = a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst")
+def imports(spark: SparkSession, folder: str, oriented: bool = False) -> DataFrame:
+    """Edges from a supplier to that of the next line of an order; ``oriented``: from that of the earlier nation to the other."""
+    l = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
+    name = lambda key: F.format_string("s%05d", key)
+    rows = l.withColumnRenamed("l_suppkey", "a").join(l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("b")), ["l_orderkey", "l_linenumber"]).where("a <> b")
+    if oriented:
+        s = table(spark, folder, "supplier")
+        rows = rows.join(s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("x")), "a").join(s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("y")), "b")
+        back = F.col("x") > F.col("y")
+        rows = rows.select("l_orderkey", "l_linenumber", F.when(back, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("b"))
+    rows = rows.withColumn("src", name(F.col("a"))).withColumn("dst", name(F.col("b")))
     return rows.select(F.lit("p").alias("project"), "src", "dst", F.struct("l_orderkey", "l_linenumber").alias("ord"))
 
 

@@ -28,7 +28,8 @@ class SourceTree(DataSource):
     """``spark.read.format("sourcetree").option("path", root)``: files under folders that the executors can reach.
 
     Each folder below the root is a partition. Folders that are never scanned are
-    not entered, and files over the limit are named without content.
+    not entered, and files over the limit are named without content. Of a work tree's
+    ``.git`` only ``HEAD`` and ``info/exclude`` are read, which tell what is ignored.
     """
 
     @classmethod
@@ -52,18 +53,27 @@ class _TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         folders = [e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and _entered(e.name)]
-        return [InputPartition(""), *map(InputPartition, sorted(folders))]
+        # Large folders are dealt by their own folders.
+        inner = [f"{f}/{e.name}" for f in folders for e in os.scandir(os.path.join(self.root, f)) if e.is_dir(follow_symlinks=False) and _entered(e.name)]
+        return [InputPartition(""), *(InputPartition(f"{f}/.") for f in sorted(folders)), *map(InputPartition, sorted(inner))]
 
     def read(self, partition):
-        for folder, inner, names in os.walk(os.path.join(self.root, partition.value)):
-            inner[:] = [d for d in inner if partition.value and _entered(d)]
+        flat = not partition.value or partition.value.endswith("/.")
+        if not partition.value:
+            for name in (".git/HEAD", ".git/info/exclude"):
+                if os.path.isfile(full := os.path.join(self.root, name)):
+                    with open(full, "rb") as f:
+                        yield self.project, name, os.path.getsize(full), f.read()
+        for folder, inner, names in os.walk(os.path.normpath(os.path.join(self.root, partition.value))):
+            inner[:] = [d for d in inner if not flat and _entered(d)]
             for name in names:
                 full = os.path.join(folder, name)
                 if os.path.islink(full):
                     continue
                 length = os.path.getsize(full)
                 content = None
-                if length <= rules.MAX_FILE_BYTES:
+                known = name == ".gitignore" or name.rpartition(".")[2].lower() in rules.LANGUAGE_OF
+                if known and length <= rules.MAX_FILE_BYTES:
                     with open(full, "rb") as f:
                         content = f.read()
                 yield self.project, os.path.relpath(full, self.root).replace(os.sep, "/"), length, content
@@ -74,15 +84,18 @@ def ignored_by(patterns: DataFrame) -> DataFrame:
 
     ``keep`` marks a rule that takes a path back; the last rule that matches counts.
     """
-    lines = patterns.select("project", F.regexp_replace("path", r"[^/]*$", "").alias("folder"), F.posexplode(t.lines_of(F.col("content"))).alias("ord", "raw"))
+    folder = F.when(F.col("path") == ".git/info/exclude", "").otherwise(F.regexp_replace("path", r"[^/]*$", ""))
+    lines = patterns.select("project", folder.alias("folder"), (F.col("path") == ".git/info/exclude").alias("weak"), F.posexplode(t.lines_of(F.col("content"))).alias("ord", "raw"))
+    lines = lines.withColumn("ord", F.when(F.col("weak"), F.col("ord") - (1 << 30)).otherwise(F.col("ord")))  # files of the tree come after it
     rows = lines.select("project", "folder", "ord", F.regexp_replace("raw", r"\s+$", "").alias("raw")).where("raw <> '' and not startswith(raw, '#')")
     keep = F.startswith("raw", F.lit("!"))
-    body = F.when(keep, F.substring("raw", 2, 1 << 16)).otherwise(F.col("raw"))
+    body = F.regexp_replace(F.when(keep, F.substring("raw", 2, 1 << 16)).otherwise(F.col("raw")), r"^\\(?=[#!])", "")
     only_folder = F.endswith(body, F.lit("/"))
     body = F.regexp_replace(body, "/$", "")
     anchored = F.contains(body, F.lit("/"))
     # Everything but the wildcards is taken literally.
     safe = F.regexp_replace(F.regexp_replace(body, "^/", ""), r"([.+^$(){}|\\])", r"\\$1")
+    safe = F.replace(safe, F.lit("[!"), F.lit("[^"))  # sets of characters are written alike otherwise
     wild = F.regexp_replace(F.regexp_replace(safe, r"\*\*/", "\u0001"), r"/\*\*$", "\u0002")
     wild = F.replace(F.replace(wild, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
     wild = F.replace(F.replace(wild, F.lit("\u0001"), F.lit("(.*/)?")), F.lit("\u0002"), F.lit("/.*"))
@@ -93,11 +106,14 @@ def ignored_by(patterns: DataFrame) -> DataFrame:
 def scan(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, counts): the files to analyse and, for each project, how many were seen, skipped and kept.
 
-    ``raw`` has project, path, length, content. Skipped are files over the limit
-    and those that are not UTF-8.
+    ``raw`` has project, path, length, content. Skipped are files of no known
+    language, over the limit, or not UTF-8. Rules of .gitignore and .git/info/exclude
+    apply to projects that have a .git/HEAD.
     """
     seen = raw.where(files.is_scanned(F.col("path")))
-    rules_ = ignored_by(seen.where("path = '.gitignore' or endswith(path, '/.gitignore')").select("project", "path", F.decode("content", "UTF-8").alias("content")))
+    kept_under_git = raw.where("path = '.git/HEAD'").select("project").distinct()
+    patterns = raw.where("path = '.git/info/exclude'").unionByName(seen.where("path = '.gitignore' or endswith(path, '/.gitignore')"))
+    rules_ = ignored_by(patterns.join(kept_under_git, "project", "left_semi").select("project", "path", F.decode("content", "UTF-8").alias("content")))
     # Rules are few for a project; they meet its paths without content.
     hit = seen.select("project", "path").join(rules_, "project").where(F.expr("startswith(path, folder) and rlike(path, rule)"))
     last = hit.groupBy("project", "path").agg(F.max_by("keep", F.struct(F.length("folder"), "ord")).alias("keep"))
@@ -106,5 +122,8 @@ def scan(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = own.where(files.language_of(ext).isNotNull())
     fits = (F.col("length") <= rules.MAX_FILE_BYTES) & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
     text = known.where(fits).select("project", "path", F.decode("content", "UTF-8").alias("content"))
-    counts = known.groupBy("project").agg(F.count("*").alias("recognised"), F.count_if(~fits).alias("skipped"), F.count_if(fits).alias("kept"))
-    return files.as_files(text), counts.join(own.groupBy("project").agg(F.count("*").alias("seen")), "project", "right").fillna(0)
+    recognised = files.language_of(ext).isNotNull()
+    counts = own.groupBy("project").agg(
+        F.count("*").alias("seen"), F.count_if(recognised).alias("recognised"), F.count_if(~(recognised & fits)).alias("skipped"), F.count_if(recognised & fits).alias("kept")
+    )
+    return files.as_files(text), counts

@@ -7,7 +7,7 @@ from lodestrata import queries
 from lodestrata.functions import text as t
 from lodestrata.functions.views import view
 from lodestrata.operators import duplication, files, git, graph
-from lodestrata.plans import findings, history, report, scoring
+from lodestrata.plans import findings, history, report, scoring, wording
 from lodestrata.plans.analysis import analyse
 from lodestrata.sources import tables
 
@@ -31,7 +31,9 @@ def analysis(spark):
         ("package.json", '{"scripts": {"typecheck": "tsc", "build": "vite build"}}'),
         ("package-lock.json", "{}\n"),
     ]
-    return analyse(table(spark, *rows))
+    head = "a" * 40
+    log = [x for n in range(1, 7) for x in (f"{head[:-1]}{n}\tAnn\t170000000{n}", "1\t1\tsrc/a.ts", "2\t0\tsrc/b.ts", "9\t9\tgone.ts")]
+    return analyse(table(spark, *rows), spark.createDataFrame([("p", n, x) for n, x in enumerate(log, 1)], "project string, line_no long, value string"), 1_700_086_400)
 
 
 def test_analysis(analysis):
@@ -49,6 +51,16 @@ def test_analysis(analysis):
 
 def test_report(analysis, spark, tmp_path):
     text = report.markdown(analysis, "p")
+    assert "### [P0][confidence: high] Secret in the source — `src/key.ts:1` _(shared)_" in text
+    history = text[text.index("## History") : text.index("## Review brief")].split("\n")
+    assert history == [
+        "## History", "_6 commits by 1 authors_", "", "**Hotspots**", "", "| File | Commits | Churn | Heat |", "| --- | --- | --- | --- |",
+        "| `src/a.ts` | 6 | 12 | 15.39 |", "| `src/b.ts` | 6 | 12 | 15.39 |", "", "**Changed together**", "", "| Pair | Times |", "| --- | --- |", "| `src/a.ts` ↔ `src/b.ts` | 6× |", "",
+        "**Known to one author**", "", "| File | Author | Share |", "| --- | --- | --- |", "| `src/a.ts` | Ann | 100% |", "| `src/b.ts` | Ann | 100% |", "", "",
+    ][: len(history)]
+    assert "**Primary risk:** security — src/key.ts" in text and "_1 in all_" in text and "## Written review" not in text
+    assert "## Written review\n\nhello" in report.markdown(analysis, "p", ai_text="hello")
+    assert "why." not in text and "ftitle." not in text and "History: 6 commits, 1 authors." in report.summary(analysis, "p")
     assert "## Scores" in text and "`src/a.ts → src/b.ts → src/a.ts`" in text and "«redacted»" in text and "ghp_" not in text
     assert "Primary risk" in report.fix_prompt(analysis, "p")
     report.write_report(text, spark, str(tmp_path / "out"))
@@ -146,15 +158,23 @@ def test_gate(spark):
     out = {r.file: r for r in findings.gated(spark.createDataFrame(rows, columns)).collect()}
     assert (out["a"].priority, out["a"].score, out["a"].violations) == ("P3", 44, ["large-file-priority:a"])
     assert out["b"].blast == "high" and out["b"].confidence == "medium" and [s.path for s in out["b"].refactor] == ["x/y.ts"]
-    assert out["b"].violations == ["p1-low-blast:b", "weak-high-conf:b", "client-server-suggestion:b", "pr-no-verify:b"]
+    assert out["b"].violations == ["p1-low-blast:god_server:b", "weak-high-conf:god_server:b", "client-server-suggestion:b", "pr-no-verify:b"]
     assert out["c"].category == "informational" and out["d"].violations == []
 
 
+def test_wording():
+    say = wording.speaker({"cycles.count": "{n} Kreise, {x}"})
+    assert say("cycles.count", n=3) == "3 Kreise, {x}" and say("cycles.none") == "None." and say("no.such.key") == "no.such.key"
+    assert say("pr.verify: npm run build") == "Check it with npm run build" and say("brief.fpWhy:dialog") == "It rests on hints."
+
+
 def test_history(spark):
     ddl = "id long, project_path string, created_at long, overall_score int, grade string, ai_json string"
     old = spark.createDataFrame([(1, "p", 10, 50, "F", None), (2, "p", 20, 70, "C", "{}"), (3, "q", 5, 90, "A", None)], ddl)
     new = history.saved_report(old, spark.createDataFrame([(None, "p", 30, 80, "B", None)], ddl))
     assert {r.id for r in new.collect()} == {1, 2, 3, 4}
+    two = spark.createDataFrame([(None, "p", 31, 1, "F", None), (None, "q", 30, 1, "F", None)], ddl)
+    assert {(r.id, r.project_path) for r in history.saved_report(old, two).where("id > 3").collect()} == {(4, "q"), (5, "p")}
     assert {r.id: r.overall_score_delta for r in history.trends(new, "overall_score").collect()} == {1: None, 2: 20, 3: None, 4: 10}
     assert [r.id for r in history.report_list(new, project="p").collect()] == [4, 2, 1]
     texts = spark.createDataFrame([(1, "x")], "id long, ai_json string")

@@ -21,13 +21,19 @@ def test_tree(spark, tmp_path):
     write(tmp_path, ".next/x.js", "x")
     write(tmp_path, ".gitignore", "# c\n*.gen.ts\n/logs/\n!keep.gen.ts\n")
     write(tmp_path, "sub/.gitignore", "deep.ts\n")
-    for p in ("a.gen.ts", "keep.gen.ts", "logs/l.ts", "sub/logs/l.ts", "sub/x/deep.ts", "deep.ts"):
+    write(tmp_path, ".git/HEAD", "ref: refs/heads/main\n")
+    write(tmp_path, ".git/info/exclude", "local[0-9].ts\n\\#odd.ts\n")
+    for p in ("local1.ts", "sub/local2.ts", "localx.ts", "#odd.ts", "a.gen.ts", "keep.gen.ts", "logs/l.ts", "sub/logs/l.ts", "sub/x/deep.ts", "deep.ts"):
         write(tmp_path, p, "let x;\n")
     spark.dataSource.register(tree.SourceTree)
     found, counts = tree.scan(spark.read.format("sourcetree").option("path", str(tmp_path)).option("project", "p").load())
-    assert {r.path for r in found.collect()} == {"src/a.ts", "keep.gen.ts", "sub/logs/l.ts", "deep.ts"}
+    assert {r.path for r in found.collect()} == {"src/a.ts", "keep.gen.ts", "sub/logs/l.ts", "deep.ts", "localx.ts"}
+    # Skipped: b.bin and two .gitignore of no known language, bad.ts that is not UTF-8, large.ts.
     c = counts.first()
-    assert (c.recognised, c.skipped, c.kept) == (6, 2, 4)
+    assert (c.seen, c.recognised, c.skipped, c.kept) == (10, 7, 5, 5)
+    (tmp_path / ".git/HEAD").unlink()  # rules count in a work tree only
+    found, _ = tree.scan(spark.read.format("sourcetree").option("path", str(tmp_path)).option("project", "p").load())
+    assert {"a.gen.ts", "logs/l.ts", "sub/x/deep.ts", "local1.ts"} <= {r.path for r in found.collect()}
     plain = tree.raw_tree(spark, str(tmp_path), "p").where("length < 100")
     assert {"src/a.ts", "logs/l.ts"} <= {r.path for r in plain.collect()}
 
@@ -43,6 +49,9 @@ def test_git_source(spark, tmp_path):
     parsed = git.parsed_log(log)
     assert [r.author for r in git.commits_of(parsed).collect()] == ["Ann"]
     assert [(r.path, r.additions) for r in git.changes_of(parsed).collect()] == [("a.py", 1)]
+    projects = log.select("project").distinct()
+    told = {r.project: (r.available, r.reason) for r in git.status(git.commits_of(parsed), projects, log).collect()}
+    assert told == {str(tmp_path): (True, None), f"{tmp_path}/none": (False, "not a git work tree")}
 
 
 def test_captured_log(spark, tmp_path):
