@@ -1,12 +1,13 @@
 """Tables written once in the folder that every machine of the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a single machine) a local default is used. A written table cuts the
-lineage and survives the loss of any executor.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and
+Spark runs on a single machine, as in tests, a local default is used. A written
+table cuts the lineage and survives the loss of any executor.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,11 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints/lodestrata"
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = LOCAL_DEFAULT
     return f"{base.rstrip('/')}/lodestrata/{name}-{uuid.uuid4().hex[:12]}"
 
 
