@@ -5,9 +5,9 @@ it. Representatives that share a band's minima are candidates. First each bucket
 smallest member is compared with the others, which joins a large group of near
 copies in as many comparisons as it has members. Buckets whose members are then in
 one component are done, since no further link could change the components. Those
-still open that hang together form a family. A family of bounded size is compared
-inside a task. Of larger ones (documents that share boilerplate only, say) each
-bucket is compared by itself; a bucket beyond that size is dealt anew by bands of
+still open that hang together form a family. If few members are outside its largest
+component, these are compared with all of it, block by block inside tasks. Of other
+families (documents that share boilerplate only, say) each bucket is compared by itself; a bucket beyond that size is dealt anew by bands of
 further hashes, its smallest members first, until all its parts are small. So no
 step compares all of a large group with all of it, and pairs are made in a task's
 memory only.
@@ -182,6 +182,20 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int, own_band: boo
     return rows.groupBy("key").applyInPandas(lambda group: _compare(group, percent, own_band), "a long, b long")
 
 
+def _families(placed: DataFrame) -> DataFrame:
+    """(family, n, major, minors): members, the largest component, how many are outside it."""
+    parts = placed.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    return parts.select("family", "n", F.col("top.component").alias("major"), (F.col("n") - F.col("top.n")).alias("minors"))
+
+
+def _family_blocks(placed: DataFrame, most: int) -> DataFrame:
+    """Groups (key, node, component) of families with at most ``most`` members outside the largest component: all of these with each block of the others."""
+    rows = placed.join(_families(placed).where(F.col("minors") <= most), "family").withColumn("blocks", F.ceil(F.col("n") / most).cast("long"))
+    own = F.array(F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks"))
+    block = F.when(F.col("component") == F.col("major"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return rows.select("family", "node", "component", F.explode(block).alias("block")).select(F.xxhash64("family", "block").alias("key"), "node", "component")
+
+
 def _dealt_anew(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """Members of large buckets in parts of them: by bands of further hashes."""
 
@@ -234,27 +248,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
     open_ = _open_members(members, found)
     found = joined(_links(_pivot_pairs(open_, percent), sets, percent), found)
 
+    # What is still open: families with few members outside their largest component, then the small buckets of the others,
+    # then the large buckets level by level.
     open_ = _open_members(members, found)
     family = components(open_.where("node <> a"), "a", "node").select("node", F.col("component").alias("family"))
-    sizes = family.groupBy("family").agg(F.count("*").alias("in_family"))
-    family = stored(family.join(sizes, "family"), "families")
-    small = open_.select("node", "component").distinct().join(family.where(F.col("in_family") <= most), "node").withColumnRenamed("family", "key")
-    found = joined(_group_links(small, sets, percent), found)
-
-    members = stored(open_.select("key", "node", "n").join(family.where(F.col("in_family") > most).select("node"), "node"), "buckets")
-    level = 0
-    while not members.isEmpty():
-        open_ = _open_members(members, found)
-        if level:
-            found = joined(_links(_pivot_pairs(open_, percent), sets, percent), found)
-            open_ = _open_members(members, found)
-        found = joined(_group_links(open_.where(F.col("size") <= most), sets, percent, own_band=not level), found)
-        large = open_.where(F.col("size") > most)
+    placed = stored(open_.select("node", "component").distinct().join(family, "node"), "families")
+    links = _group_links(_family_blocks(placed, most), sets, percent)
+    wide = placed.join(_families(placed).where(F.col("minors") > most), "family").select("node")
+    if some_wide := not wide.isEmpty():
+        wide = stored(open_.join(wide, "node"), "wide-families")
+        links = links.unionByName(_group_links(wide.where(F.col("size") <= most), sets, percent, own_band=True))
+    found = joined(links, found)
+    large, level = wide.where(F.col("size") > most) if some_wide else None, 0
+    while large is not None and not large.isEmpty():
         if level == LEVELS:
-            found = joined(_block_links(large, sets, percent, most), found)
+            found = joined(_block_links(_open_members(large.select("key", "node", "n"), found), sets, percent, most), found)
             break
         level += 1
         members = _dealt_anew(large, sets, level)
+        found = joined(_links(_pivot_pairs(_open_members(members, found), percent), sets, percent), found)
+        open_ = _open_members(members, found)
+        found = joined(_group_links(open_.where(F.col("size") <= most), sets, percent), found)
+        large = open_.where(F.col("size") > most)
 
     found = stored(found, "components")
     of = standing.join(found, "node", "left").select("same", "head", F.coalesce("component", "node").alias("component"))
