@@ -114,12 +114,14 @@ class Network:
         grads["embed"] = np.stack([np.bincount(bytes_.ravel(), spread[:, d], 257) for d in range(DIM)], 1)
         return grads, odds
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, ratio: float, epochs: int = 6, rate: float = 4e-3, seed: int = 7, batch: int = 96) -> Network:
+    def fit(self, texts: list[bytes], labels: np.ndarray, ratio: float, visits: int = 18_000, rate: float = 4e-3, seed: int = 7, batch: int = 96) -> Network:
         """Adam over whole texts, both labels alike. Then a scale and a prior.
 
         ``ratio``: how many times as frequent label 1 is as label 0 outside the sample.
-        A step takes texts of about ``batch`` chunks together, one text at least.
+        Each text is visited as often as makes ``visits`` in all, 2 to 8 times. A step
+        takes texts of about ``batch`` chunks together, one text at least.
         """
+        epochs = max(2, min(8, round(visits / len(texts))))
         count = np.array([len(range(0, max(len(t) - (CHUNK - STEP), 1), STEP)) for t in texts])
         w = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1))
         r, m, v, step = np.random.default_rng(seed), {}, {}, 0
