@@ -33,13 +33,20 @@ def parsed_log(log: DataFrame) -> DataFrame:
 
     A header has a hash of 20 hexadecimal digits at least, an author, who may hold
     tabs, and unix seconds. Changes of binary files, other lines and those before
-    the first header are left out.
+    the first header are left out. Lines are dealt by their place, so that a long log is
+    no single task; the last header of each part is carried to the next.
     """
     fields = F.split(F.regexp_replace("value", r"\r+$", ""), "\t", -1)
     rows = log.select("project", "line_no", fields.alias("f")).withColumn("ts", F.expr("try_cast(element_at(f, -1) as bigint)"))
     header = (F.size("f") >= 3) & F.rlike(F.get("f", F.lit(0)), F.lit("^[0-9a-fA-F]{20,}$")) & F.col("ts").isNotNull()
-    rows = rows.withColumn("is_header", header)
-    rows = rows.withColumn("commit", F.last(F.when(F.col("is_header"), F.col("line_no")), ignorenulls=True).over(W.partitionBy("project").orderBy("line_no")))
+    rows = rows.withColumn("is_header", header).repartitionByRange("project", "line_no").withColumn("part", F.spark_partition_id())
+    rows = stored(rows, "log")
+    at = F.when(F.col("is_header"), F.col("line_no"))
+    # One row for each project and part.
+    before = W.partitionBy("project").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("project", "part").agg(F.max(at).alias("last")).select("project", "part", F.max("last").over(before).alias("carried"))
+    own = F.max(at).over(W.partitionBy("project", "part").orderBy("line_no"))
+    rows = rows.withColumn("own", own).join(carried, ["project", "part"]).withColumn("commit", F.coalesce("own", "carried"))
     added, deleted = (F.expr(f"try_cast(get(f, {n}) as bigint)") for n in (0, 1))
     change = ~F.col("is_header") & (F.size("f") == 3) & added.isNotNull() & deleted.isNotNull() & (F.get("f", F.lit(2)) != "")
     return rows.where(F.col("commit").isNotNull() & (F.col("is_header") | change)).select(

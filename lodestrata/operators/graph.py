@@ -11,66 +11,45 @@ from ..scratch import stored
 from .files import top_of_project
 
 
-def _spread(colors: DataFrame, edges: DataFrame) -> DataFrame:
-    """The least color that reaches each node along edges inside its zone."""
-    state = None
+def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, node, color): the least node that leads to each node, itself included.
+
+    In each round a node takes the least color of itself, of the nodes before it and of
+    the node that its own color names, which leads to it too. So a way is followed in
+    steps that grow, and rounds with the logarithm of its length.
+    """
+    colors, state = stored(nodes.withColumn("color", F.col("node")), "colors"), None
     while True:
         now = colors.agg(F.sum(F.xxhash64("project", "node", "color").cast("decimal(38,0)"))).first()[0]
         if now == state:
             return colors
         state = now
-        source = colors.select("project", F.col("node").alias("src"), F.col("color").alias("from"))
-        reach = edges.join(source, ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("from").alias("from"))
-        colors = stored(
-            colors.join(reach, ["project", "node"], "left").select("project", "node", F.least("color", F.coalesce("from", "color")).alias("color")), "colors"
-        )
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Without nodes that nothing leads to or that lead nowhere, again and again."""
-    count = edges.count()
-    while True:
-        sources = edges.select("project", F.col("src").alias("dst")).distinct()
-        targets = edges.select("project", F.col("dst").alias("src")).distinct()
-        edges = stored(edges.join(sources, ["project", "dst"], "left_semi").join(targets, ["project", "src"], "left_semi").select("project", "src", "dst"), "edges")
-        left = edges.count()
-        if left == count:
-            return edges
-        count = left
+        source = colors.select("project", F.col("node").alias("src"), F.col("color").alias("before"))
+        reach = edges.join(source, ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("before").alias("before"))
+        jump = colors.select("project", F.col("node").alias("color"), F.col("color").alias("further"))
+        met = colors.join(reach, ["project", "node"], "left").join(jump, ["project", "color"])
+        colors = stored(met.select("project", "node", F.least("color", "before", "further").alias("color")), "colors")
 
 
 def cycles_of(edges: DataFrame) -> DataFrame:
     """(project, component, node) of components of two nodes at least; a component is named by its least node.
 
-    Parallel edges and loops say nothing. The graph is trimmed, then colored: the
-    least node that reaches a node is its color, and those of a color that reach
-    its least node are a component. Edges between components go; the rest repeats.
-    Every step is a join; the driver sees counts.
+    Parallel edges and loops say nothing. For each node the least that leads to it and
+    the least that it leads to are found. Where they are the same, it is the node's
+    component; an edge whose ends differ in either is in none and goes; the rest
+    repeats. Every step is a join; the driver sees counts.
     """
     edges = stored(edges.where("src <> dst").select("project", "src", "dst").distinct(), "edges")
-    found = None
-    while True:
-        edges = _trimmed(edges)
-        if edges.isEmpty():
-            break
+    found = edges.select("project", F.col("src").alias("component"), F.col("dst").alias("node")).where(F.lit(False))
+    while not edges.isEmpty():
         nodes = edges.select("project", F.col("src").alias("node")).union(edges.select("project", "dst")).distinct()
-        colors = _spread(stored(nodes.withColumn("color", F.col("node")), "colors"), edges)
-        a = colors.select("project", F.col("node").alias("src"), F.col("color").alias("a"))
-        b = colors.select("project", F.col("node").alias("dst"), F.col("color").alias("b"))
-        inside = stored(edges.join(a, ["project", "src"]).join(b, ["project", "dst"]).where(F.col("a") == F.col("b")).select("project", "src", "dst"), "inside")
-        # Backwards from the node that gave the color: it is the least of its color.
-        back = inside.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = _spread(colors.select("project", "node", F.when(F.col("node") == F.col("color"), F.col("node")).alias("color")), back)
-        part = stored(
-            reached.join(colors.withColumnRenamed("color", "own"), ["project", "node"]).where(F.col("color") == F.col("own")).select("project", F.col("own").alias("component"), "node"),
-            "components",
-        )
-        found = part if found is None else found.unionByName(part)
-        done = part.select("project", "node")
-        edges = inside.join(done.withColumnRenamed("node", "src"), ["project", "src"], "left_anti")
-        edges = stored(edges.join(done.withColumnRenamed("node", "dst"), ["project", "dst"], "left_anti").select("project", "src", "dst"), "edges")
-    if found is None:
-        return edges.select("project", F.col("src").alias("component"), F.col("dst").alias("node"))
+        back = edges.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        both = stored(_spread(nodes, edges).join(_spread(nodes, back).withColumnRenamed("color", "end"), ["project", "node"]), "colored")
+        found = found.unionByName(both.where("color = end").select("project", F.col("color").alias("component"), "node"))
+        rest = both.where("color <> end")
+        a = rest.select("project", F.col("node").alias("src"), "color", "end")
+        b = rest.select("project", F.col("node").alias("dst"), "color", "end")
+        edges = stored(edges.join(a, ["project", "src"]).join(b, ["project", "dst", "color", "end"]).select("project", "src", "dst"), "edges")
     sizes = found.groupBy("project", "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return found.join(sizes, ["project", "component"])
 

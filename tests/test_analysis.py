@@ -112,6 +112,20 @@ def test_components_of_a_graph(spark, edges, want):
     assert {r.node: r.component for r in graph.cycles_of(rows).collect()} == want
 
 
+def test_a_long_way_takes_few_rounds(spark):
+    """A ring of 100 nodes and a way of 100 into it; rounds are counted by what is stored."""
+    r = [f"{(n * 7919) % 1009:04d}" for n in range(200)]
+    edges = [("p", a, b) for a, b in zip(r, r[1:100] + r[:1])] + [("p", a, b) for a, b in zip(r[100:], [*r[101:], r[0]])]
+    kept, rounds = graph.stored, []
+    graph.stored = lambda df, name: (rounds.append(name), kept(df, name))[1]
+    try:
+        got = graph.cycles_of(spark.createDataFrame(edges, "project string, src string, dst string")).collect()
+    finally:
+        graph.stored = kept
+    assert {x.node for x in got} == set(r[:100]) and {x.component for x in got} == {min(r[:100])}
+    assert rounds.count("colors") < 120
+
+
 LOG = """{h}1\tAlice\t1700000000
 20\t5\tsrc/app.ts
 7\t3\tsrc/util.ts
