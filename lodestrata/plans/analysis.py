@@ -64,11 +64,12 @@ def analyse(table: DataFrame, log: DataFrame | None = None, now: int | None = No
     streams = [f.file_findings(info), f.security_findings(secrets.top_secrets(leaks)), f.duplication_findings(blocks), f.unused_findings(unused)]
     largest = files.top_of_project(info.where("noise_reason is null"), rules.TOP["largest"], F.col("lines").desc(), F.col("path"))
     all_files = files.top_of_project(info.where("noise_reason is null"), rules.TOP["all_files"], F.col("lines").desc(), F.col("path"))
-    all_ = stored(f.findings(streams, f.noise_findings(ignored), imports.verify_commands(table)), "findings")
+    commands = stored(imports.verify_commands(table), "commands")
+    all_ = stored(f.findings(streams, f.noise_findings(ignored), commands), "findings")
     return {
         "files": info, "totals": totals, "languages": files.language_stats(info), "functions": found, "long_functions": functions.long_functions(found),
         "complex_functions": functions.complex_functions(found), "imports": items, "edges": edges, "top_imported": imports.top_imported(edges), "blocks": blocks,
         "largest": largest, "all_files": all_files, "dependencies": imports.listed(edges), "unused_listed": imports.top_unused(unused), "secrets_listed": secrets.top_secrets(leaks),
-        "unused": unused, "secrets": leaks, "cycles": cycles, "ignored": ignored, "findings": all_, "brief": f.brief(all_),
+        "unused": unused, "secrets": leaks, "cycles": cycles, "ignored": ignored, "findings": all_, "brief": f.brief(all_), "commands": commands,
         **({} if log is None else forensics(log, table, int(time.time()) if now is None else now)),
     }

@@ -7,7 +7,7 @@ from lodestrata import queries
 from lodestrata.functions import text as t
 from lodestrata.functions.views import view
 from lodestrata.operators import duplication, files, git, graph
-from lodestrata.plans import findings, history, report, scoring, wording
+from lodestrata.plans import document, findings, history, report, scoring, wording
 from lodestrata.plans.analysis import analyse
 from lodestrata.sources import tables
 
@@ -49,6 +49,16 @@ def test_analysis(analysis):
     assert analysis["brief"].first().primary.startswith("security — src/key.ts")
 
 
+def test_document(analysis):
+    row = document.documents(analysis, 5).first()
+    d = json.loads(row.document)
+    assert (row.project, d["projectName"], d["generatedAt"], d["analyzedFiles"], d["ignoredFiles"], d["cycleCount"], d["securityHigh"]) == ("p", "p", 5, 6, 1, 1, 1)
+    assert d["cycles"] == [["src/a.ts", "src/b.ts"]] and d["verifyCommands"] == ["npm run typecheck", "npm run build"]
+    assert [f["path"] for f in d["largestFiles"]][0] == "src/big.ts" and d["ignoredLargest"][0]["noiseReason"] == "lockfile" and d["largestFiles"][0]["noiseReason"] is None
+    assert {"from": "src/a.ts", "to": "src/b.ts"} in d["dependencies"] and d["unusedImports"][0]["name"] == "y" and len(d["allFiles"]) == 6
+    assert d["duplication"][0]["sample"].startswith("const shared_line_0") and d["longFunctions"][0]["startLine"] == 1 and d["securityFindings"][0]["kind"] == "GitHub token"
+
+
 def test_report(analysis, spark, tmp_path):
     text = report.markdown(analysis, "p")
     assert "### [P0][confidence: high] Secret in the source — `src/key.ts:1` _(shared)_" in text
