@@ -5,8 +5,8 @@ it. Representatives that share a band's minima are candidates. First each bucket
 smallest member is compared with the others, which joins a large group of near
 copies in as many comparisons as it has members. Buckets whose members are then in
 one component are done, since no further link could change the components. Those
-still open that hang together form a family. If few members are outside its largest
-component, these are compared with all of it, block by block inside tasks. Of other
+still open that hang together form a family. If a bounded number of members is outside
+its largest component, these are compared with all of it, block by block inside tasks. Of other
 families (documents that share boilerplate only, say) each bucket is compared by itself; a bucket beyond that size is dealt anew by bands of
 further hashes, its smallest members first, until all its parts are small. So no
 step compares all of a large group with all of it, and pairs are made in a task's
@@ -29,6 +29,7 @@ from .shingles import WordHashes, mixed, shingle_set
 
 BANDS, ROWS = 32, 4
 LEVELS = 3  # times that a bucket may be dealt anew
+MINOR_BLOCKS = 8
 
 
 def _hashes(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +190,19 @@ def _families(placed: DataFrame) -> DataFrame:
 
 
 def _family_blocks(placed: DataFrame, most: int) -> DataFrame:
-    """Groups (key, node, component) of families with at most ``most`` members outside the largest component: all of these with each block of the others."""
-    rows = placed.join(_families(placed).where(F.col("minors") <= most), "family").withColumn("blocks", F.ceil(F.col("n") / most).cast("long"))
-    own = F.array(F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks"))
-    block = F.when(F.col("component") == F.col("major"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return rows.select("family", "node", "component", F.explode(block).alias("block")).select(F.xxhash64("family", "block").alias("key"), "node", "component")
+    """Groups (key, node, component) of families whose members outside the largest component fill at most MINOR_BLOCKS blocks.
+
+    Each block of these meets each block of all members. So a member is copied at most
+    MINOR_BLOCKS times, and one outside once for each block of the family.
+    """
+    of = _families(placed).where(F.col("minors") <= most * MINOR_BLOCKS)
+    blocks, outside = F.ceil(F.col("n") / most).cast("long").alias("blocks"), F.ceil(F.col("minors") / most).cast("long").alias("outside")
+    rows = placed.join(of.where("minors > 0").select("family", "major", blocks, outside), "family")
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks")
+    among = rows.select("family", "node", "component", own.alias("j"), F.explode(all_of("outside")).alias("i"))
+    apart = rows.where("component <> major").select("family", "node", "component", F.explode(all_of("blocks")).alias("j"), F.pmod(F.xxhash64(F.lit("outside"), "node"), "outside").alias("i"))
+    return among.unionByName(apart).select(F.xxhash64("family", "i", "j").alias("key"), "node", "component").distinct()
 
 
 def _dealt_anew(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
@@ -254,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
     family = components(open_.where("node <> a"), "a", "node").select("node", F.col("component").alias("family"))
     placed = stored(open_.select("node", "component").distinct().join(family, "node"), "families")
     links = _group_links(_family_blocks(placed, most), sets, percent)
-    wide = placed.join(_families(placed).where(F.col("minors") > most), "family").select("node")
+    wide = placed.join(_families(placed).where(F.col("minors") > most * MINOR_BLOCKS), "family").select("node")
     if some_wide := not wide.isEmpty():
         wide = stored(open_.join(wide, "node"), "wide-families")
         links = links.unionByName(_group_links(wide.where(F.col("size") <= most), sets, percent, own_band=True))
