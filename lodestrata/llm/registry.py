@@ -8,6 +8,7 @@ from .near_dedup import op2_minhash_dedup
 from .packing import op3_open_window_packing
 from .quality import op8_byte_cnn
 from .sharding import op4_sampled_splitters
+from .target_resampling import OP11_SQL, op11_feature_dictionary
 from .topk import OP10_SQL, op10_uniform_threshold
 from .warc import OP9_SQL, op9_warc_segments
 
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_warc_segments": op9_warc_segments,
     "op10_uniform_threshold": op10_uniform_threshold,
+    "op11_feature_dictionary": op11_feature_dictionary,
 }
-ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_line_runs": OP7_SQL, "op9_warc_segments": OP9_SQL, "op10_uniform_threshold": OP10_SQL}
+ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_line_runs": OP7_SQL, "op9_warc_segments": OP9_SQL, "op10_uniform_threshold": OP10_SQL, "op11_feature_dictionary": OP11_SQL}
