@@ -1,11 +1,13 @@
 """Queries of the subpackage and their SQL."""
 
 from .ann_curves import op6_hilbert_neighbours
+from .byte_bpe import op12_recursive_bpe
 from .line_dedup import OP7_SQL, op7_line_runs
 from .lm_scoring import op1_deleted_interpolation
 from .mixing import OP5_SQL, op5_source_mixing
 from .near_dedup import op2_minhash_dedup
 from .packing import op3_open_window_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op8_byte_cnn
 from .sharding import op4_sampled_splitters
 from .target_resampling import OP11_SQL, op11_feature_dictionary
@@ -24,5 +26,10 @@ QUERIES = {
     "op9_warc_segments": op9_warc_segments,
     "op10_uniform_threshold": op10_uniform_threshold,
     "op11_feature_dictionary": op11_feature_dictionary,
+    "op12_recursive_bpe": op12_recursive_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL = {"op5_source_mixing": OP5_SQL, "op7_line_runs": OP7_SQL, "op9_warc_segments": OP9_SQL, "op10_uniform_threshold": OP10_SQL, "op11_feature_dictionary": OP11_SQL}
+ORACLE_SQL = {
+    "op5_source_mixing": OP5_SQL, "op7_line_runs": OP7_SQL, "op9_warc_segments": OP9_SQL,
+    "op10_uniform_threshold": OP10_SQL, "op11_feature_dictionary": OP11_SQL, "op13_prefix_trie": OP13_SQL,
+}
