@@ -62,23 +62,6 @@ def _fields(**kinds: T.DataType) -> T.StructType:
 TEXT, INT = T.StringType(), T.IntegerType()
 
 
-@F.pandas_udf(_fields(code=TEXT, evidence=TEXT, decisions=TEXT))
-def views(content: pd.Series, language: pd.Series) -> pd.DataFrame:
-    """code: for functions of Lua and runtime tokens; evidence: for responsibilities; decisions: for complexity."""
-    out = []
-    counted = {x for row in rules.DECISIONS for x in row[0]}
-    for text, name in zip(content.fillna(""), language.fillna(""), strict=True):
-        if name == "Lua":
-            comments, both = view(text, name, False), view(text, name, True)
-            out.append((comments, comments, both))
-        elif name in rules.JS:
-            both = view(text, name, True)
-            out.append((view(text, name, False), both, both))
-        else:
-            out.append((text, text, view(text, name, True) if name in counted else text))
-    return pd.DataFrame(out, columns=["code", "evidence", "decisions"])
-
-
 # Functions. The patterns are fixed values.
 _FUNCTIONS = {
     "Rust": [r"\bfn\s+([A-Za-z_][A-Za-z0-9_]*)"],
@@ -157,11 +140,6 @@ def functions_in(text: str, language: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(_fields(ord=INT, name=TEXT, start=INT, expression_length=INT)))
-def functions_of(content: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([functions_in(t, n) for t, n in zip(content.fillna(""), language.fillna(""), strict=True)])
-
-
 # Imports. The patterns are fixed values.
 _TS_IMPORT = re.compile(r"import\s+(?:type\s+)?([\s\S]*?)\s+from\s*['\"]([^'\"]+)['\"]")
 _PY_FROM = re.compile(r"(?m)^\s*from\s+(\S+)\s+import\s+(.+)$")

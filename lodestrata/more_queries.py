@@ -195,7 +195,7 @@ def git_status(spark, d):
     o = _orders(spark, d).select(F.concat(F.lit("p"), c.cast("string")).alias("project"), "c", "k")
     header = F.concat(F.lpad(F.hex("k"), 40, "0"), F.lit("\tA\t1700000000"))
     value = F.when(c % 4 < 2, header).when(c % 4 == 2, "not a git work tree").when(c % 8 == 3, "rubbish").otherwise("")
-    log = o.select("project", F.when(c % 4 == 2, 0).otherwise(num()).alias("line_no"), value.alias("value"))
+    log = o.select("project", F.when(c % 4 == 2, 0).otherwise(num() + 1).alias("line_no"), value.alias("value"))
     return git.status(git.commits_of(git.parsed_log(log)), o.select("project").distinct(), log)
 
 

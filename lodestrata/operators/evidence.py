@@ -7,42 +7,45 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as t
-from ..functions.views import views
+from ..functions.tokens import ROLES, tokens_of
 
 NONE = "array<struct<kind:string,evidence:string,label:string,token:string,line:int,snippet:string>>"
 
 
-def responsibilities(view: Column, language: Column) -> Column:
-    """For each kind in order the first token of its strongest tier that is found, with line and snippet."""
-    found = []
-    for kind, tiers in rules.RESPONSIBILITIES:
-        rows = [
-            F.struct(F.lit(evidence).alias("evidence"), F.lit(label).alias("label"), F.lit(token).alias("token"), t.token_at(view, token).alias("at"))
-            for evidence, label, tokens in tiers
-            for token in tokens
-        ]
-        first = F.get(F.filter(F.array(*rows), lambda r: r["at"] > 0), F.lit(0))
-        able = language.isin(*rules.JS, "Lua") if kind.startswith("fivem_") else language.isin(rules.JS)
-        found.append(F.when(able, F.struct(F.lit(kind).alias("kind"), first.alias("r"))))
-
-    def out(x: Column) -> Column:
-        r = x["r"]
-        line = t.line_of(view, r["at"])
-        return F.struct(
-            x["kind"].alias("kind"), r["evidence"].alias("evidence"), r["label"].alias("label"), r["token"].alias("token"), line.cast("int").alias("line"),
-            t.snippet(F.get(F.split(view, "\n", -1), line - 1)).alias("snippet"),
-        )
-
-    return F.transform(F.filter(F.array(*found), lambda x: x.isNotNull() & x["r"].isNotNull()), out)
-
-
-def runtime(path: Column, language: Column, code: Column) -> Column:
-    """server, client or shared. ``code`` is the text without comments."""
+def _between(low: int, high: int):
+    return lambda r: r["role"].between(low, high)
+
+
+def responsibilities(found: Column, language: Column) -> Column:
+    """For each kind in order the first token of its strongest tier that is found, with line and snippet.
+
+    ``found`` holds (role, line, snippet) of the tokens found; roles are numbered in the
+    order of kinds, tiers and tokens, so a kind's lowest role is the one that counts.
+    """
+    names = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(e).alias("evidence"), F.lit(label).alias("label"), F.lit(token).alias("token")) for k, e, label, token in ROLES))
+    first = {}
+    for n, (kind, *_) in enumerate(ROLES):
+        first.setdefault(kind, [n, n])[1] = n
+    own = []
+    for kind, (low, high) in first.items():
+        hit = F.array_min(F.filter(found, _between(low, high)))
+        own.append(hit if kind.startswith("fivem_") else F.when(language.isin(rules.JS), hit))
+
+    def out(r: Column) -> Column:
+        role = F.get(names, r["role"])
+        return F.struct(*(role[c].alias(c) for c in ("kind", "evidence", "label", "token")), r["line"].alias("line"), r["snippet"].alias("snippet"))
+
+    return F.transform(F.array_compact(F.array(*own)), out)
+
+
+def runtime(path: Column, language: Column, told: Column) -> Column:
+    """server, client or shared; ``told`` are the groups of runtime tokens in the text without comments."""
     lower = t.ascii_lower(path)
+    has = lambda group: F.array_contains(told, group)
     server_path = t.any_of(lower, rules.SERVER_PATHS) | F.startswith(lower, F.lit(rules.SERVER_PATH_START))
-    react = t.any_of(code, rules.REACT_TOKENS)
+    react = has("react")
     script = (
-        F.when(server_path | (t.any_of(code, rules.NODE_TOKENS) & ~react), "server")
+        F.when(server_path | (has("node") & ~react), "server")
         .when(t.any_of(lower, rules.CLIENT_PATHS) | react, "client")
         .otherwise("shared")
     )
@@ -51,14 +54,14 @@ def runtime(path: Column, language: Column, code: Column) -> Column:
         .when(F.contains(lower, F.lit("client")), "client")
         .when(F.contains(lower, F.lit("server")), "server")
         .when(F.contains(lower, F.lit("shared")), "shared")
-        .when(t.any_of(code, rules.LUA_SERVER_TOKENS, t.token_at), "server")
-        .when(t.any_of(code, rules.LUA_CLIENT_TOKENS, t.token_at), "client")
+        .when(has("lua_server"), "server")
+        .when(has("lua_client"), "client")
         .otherwise("shared")
     )
     return F.when(language.isin(rules.JS), script).when(language == "Lua", lua).otherwise("shared")
 
 
-def file_type(path: Column, language: Column, ext: Column, where: Column, resp: Column, content: Column) -> Column:
+def file_type(path: Column, language: Column, ext: Column, where: Column, resp: Column, content: Column, told: Column) -> Column:
     """Kind of file, by name, then by what it does."""
     name = t.ascii_lower(t.base_name(path))
     stem = t.stem(path)
@@ -83,7 +86,7 @@ def file_type(path: Column, language: Column, ext: Column, where: Column, resp:
         .when(has("admin") | has("data_fetching") | has("state_machine"), "react_feature")
         .otherwise("react_component")
     )
-    fivem = F.exists(resp, lambda r: F.startswith(r["kind"], F.lit("fivem_"))) | t.any_of(content, rules.LUA_SERVER_TOKENS + rules.LUA_CLIENT_TOKENS, t.token_at)
+    fivem = F.exists(resp, lambda r: F.startswith(r["kind"], F.lit("fivem_"))) | F.arrays_overlap(told, F.array(F.lit("lua_server"), F.lit("lua_client")))
     lua = (
         F.when(name.isin(rules.LUA_MANIFESTS), "fivem_manifest")
         .when(fivem & where.isin("client", "server"), F.concat(F.lit("fivem_"), where, F.lit("_script")))
@@ -116,10 +119,10 @@ def classified(files: DataFrame, longest: DataFrame | None = None) -> DataFrame:
     if longest is not None:
         files = files.join(longest.select("project", "path", "longest_name", "longest_line"), ["project", "path"], "left")
     own = F.col("noise_reason").isNull()
-    seen = files.withColumn("v", views("content", "language"))
-    seen = seen.withColumn("responsibilities", F.when(own, responsibilities(F.col("v.evidence"), F.col("language"))).otherwise(F.array().cast(NONE)))
-    seen = seen.withColumn("runtime", F.when(own, runtime(F.col("path"), F.col("language"), F.col("v.code"))).otherwise("shared"))
-    kind = file_type(F.col("path"), F.col("language"), F.col("ext"), F.col("runtime"), F.col("responsibilities"), F.col("v.code"))
+    seen = files.withColumn("v", tokens_of("content", "language"))
+    seen = seen.withColumn("responsibilities", F.when(own, responsibilities(F.col("v.roles"), F.col("language"))).otherwise(F.array().cast(NONE)))
+    seen = seen.withColumn("runtime", F.when(own, runtime(F.col("path"), F.col("language"), F.col("v.runtimes"))).otherwise("shared"))
+    kind = file_type(F.col("path"), F.col("language"), F.col("ext"), F.col("runtime"), F.col("responsibilities"), F.col("v.code"), F.col("v.runtimes"))
     seen = seen.withColumn("file_type", F.when(own, kind).otherwise(F.col("noise_reason")))
     if longest is not None:
         seen = seen.withColumn("symbol", primary_symbol(F.col("path"), F.col("longest_name")))

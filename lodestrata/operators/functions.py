@@ -2,137 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import text as t
-from ..functions.views import functions_of, views
+from ..functions.spans import functions_of
 from .files import top_of_project
 
-GIVE_UP = 3000  # lines
-
-
-def _fold(lines: Column, start: Column, state: list[tuple[str, Column]], step) -> Column:
-    """A fold over the lines from ``start`` that counts them in ``n`` until ``done``."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("done"), *(v.alias(k) for k, v in state))
-
-    def next_(acc: Column, line: Column) -> Column:
-        new = step(acc, line)
-        keep = lambda name, value: F.when(acc["done"], acc[name]).otherwise(value).alias(name)
-        return F.struct(
-            F.when(acc["done"], acc["n"]).otherwise(acc["n"] + 1).alias("n"), (acc["done"] | new.pop("done")).alias("done"), *(keep(k, new[k]) for k, _ in state)
-        )
-
-    return F.aggregate(F.slice(lines, start + 1, F.lit(GIVE_UP + 2)), zero, next_)
-
-
-def _count(line: Column, sign: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
-
-
-def brace_length(lines: Column, start: Column) -> Column:
-    """Lines up to the one on which the braces are balanced again; 1 if none."""
-
-    def step(acc, line):
-        opens = _count(line, "{")
-        depth = acc["depth"] + opens - _count(line, "}")
-        seen = acc["seen"] | (opens > 0)
-        return {"depth": depth, "seen": seen, "done": seen & (depth <= 0)}
-
-    out = _fold(lines, start, [("depth", F.lit(0)), ("seen", F.lit(False))], step)
-    return F.when(out["done"], out["n"]).otherwise(1)
-
-
-def indent_of(line: Column) -> Column:
-    """A space is one wide, a tab four."""
-    return F.length(F.replace(F.regexp_extract(line, r"^[ \t]*", 0), F.lit("\t"), F.lit("    ")))
-
-
-def indent_length(lines: Column, start: Column) -> Column:
-    """Lines up to the last one that is not blank and deeper than the first."""
-    own = indent_of(F.get(lines, start))
-    rest = F.slice(lines, start + 2, F.greatest(F.size(lines), F.lit(1)))
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), F.lit(False).alias("done"))
-
-    def step(acc, line):
-        full = t.trimmed(line) != ""
-        ends = full & (indent_of(line) <= own)
-        at = acc["at"] + 1
-        return F.struct(at.alias("at"), F.when(full & ~ends & ~acc["done"], at).otherwise(acc["last"]).alias("last"), (acc["done"] | ends).alias("done"))
-
-    return F.aggregate(rest, state, step)["last"] + 1
-
-
-def keyword_length(lines: Column, start: Column) -> Column:
-    """Lua: lines until opening and closing keywords are balanced; a loop takes the next ``do`` with it."""
-
-    def over_words(acc, line):
-        words = F.filter(F.split(line, "[^A-Za-z0-9_]+"), lambda w: F.rlike(w, F.lit("^[A-Za-z_]")))
-        start_ = F.struct(acc["depth"].alias("depth"), acc["seen"].alias("seen"), acc["loop"].alias("loop"), F.lit(False).alias("done"))
-
-        def word(a, w):
-            loops, do = w.isin("for", "while"), w == "do"
-            opens = w.isin("function", "if", "repeat") | loops | (do & ~a["loop"])
-            closes = w.isin("end", "until")
-            depth = a["depth"] + opens.cast("int") - closes.cast("int")
-            stay = lambda k, v: F.when(a["done"], a[k]).otherwise(v).alias(k)
-            return F.struct(
-                stay("depth", depth), stay("seen", a["seen"] | opens), stay("loop", F.when(loops, True).when(do, False).otherwise(a["loop"])),
-                (a["done"] | (closes & a["seen"] & (depth <= 0))).alias("done"),
-            )
-
-        out = F.aggregate(words, start_, word)
-        return {k: out[k] for k in ("depth", "seen", "loop", "done")}
-
-    out = _fold(lines, start, [("depth", F.lit(0)), ("seen", F.lit(False)), ("loop", F.lit(False))], over_words)
-    return F.when(out["done"], out["n"]).otherwise(1)
-
-
-def complexity(lines: Column, start: Column, length: Column, language: Column) -> Column:
-    """1 + decisions in a span of lines without comments and literals."""
-    span = F.array_join(F.slice(lines, start + 1, F.greatest(length, F.lit(1))), "\n")
-    out = F.lit(1)
-    for languages, keywords, symbols, ternary in rules.DECISIONS:
-        n = F.regexp_count(span, F.lit(f"{t.NOT_BEFORE}(?:{'|'.join(keywords.split())}){t.NOT_AFTER}"))
-        if symbols:
-            n = n + F.regexp_count(span, F.lit(r"&&|\|\|"))
-        if ternary:
-            n = n + F.regexp_count(span, F.lit(r"(?<!\?)\?(?![.?:])"))
-        out = F.when(language.isin(languages), n + 1).otherwise(out)
-    return out
-
 
 def functions(files: DataFrame) -> DataFrame:
     """(project, path, language, ord, name, start, length, complexity) of the functions of files that are not noise.
 
     ``start`` is 0-based. Functions are looked for in the raw text, in Lua in the
-    text without comments. The decisions are counted in a view whose lines are those
-    of the text.
+    text without comments; a file is read in one pass, however many it has.
     """
-    rows = files.where("noise_reason is null").select("project", "path", "language", "content", views("content", "language").alias("v"))
-    lua = F.col("language") == "Lua"
-    source = F.when(lua, F.col("v.decisions")).otherwise(F.col("content"))
-    rows = rows.select(
-        "project", "path", "language", t.lines_of(source).alias("lines"), t.lines_of(F.col("v.decisions")).alias("decisions"),
-        functions_of(source, "language").alias("found"),
-    )
-    # Measured in the file's row, so that its lines are not copied to each function.
-    def measured(f: Column) -> Column:
-        lines, start = F.col("lines"), f["start"]
-        length = (
-            F.when(f["expression_length"].isNotNull(), f["expression_length"])
-            .when(F.col("language") == "Python", indent_length(lines, start))
-            .when(lua, keyword_length(lines, start))
-            .otherwise(brace_length(lines, start))
-        )
-        return F.struct(f["ord"].alias("ord"), f["name"].alias("name"), start.alias("start"), length.alias("length"))
-
-    def judged(f: Column) -> Column:
-        return F.struct(*(f[k].alias(k) for k in ("ord", "name", "start", "length")), complexity(F.col("decisions"), f["start"], f["length"], F.col("language")).alias("complexity"))
-
-    hits = rows.where(F.size("found") > 0).select("project", "path", "language", "decisions", F.transform("found", measured).alias("found"))
-    return hits.select("project", "path", "language", F.inline(F.transform("found", judged)).alias("ord", "name", "start", "length", "complexity"))
+    rows = files.where("noise_reason is null").select("project", "path", "language", functions_of("content", "language").alias("found"))
+    return rows.select("project", "path", "language", F.inline("found"))
 
 
 def longest_of_file(found: DataFrame) -> DataFrame:

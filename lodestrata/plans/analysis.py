@@ -15,7 +15,7 @@ from .scoring import scores
 
 
 def forensics(log: DataFrame, table: DataFrame, now: int) -> dict[str, DataFrame]:
-    """Tables git_*: what logs (project, line_no, value) tell of the files that exist; ``now`` in unix seconds."""
+    """Tables git_*: what logs (project, line_no, value) tell of the paths (project, path) that exist; ``now`` in unix seconds."""
     parsed = stored(git.parsed_log(log), "parsed-log")
     commits, changes = git.commits_of(parsed), stored(git.changes_of(parsed, table), "changes")
     return {
@@ -24,10 +24,11 @@ def forensics(log: DataFrame, table: DataFrame, now: int) -> dict[str, DataFrame
     }
 
 
-def analyse(table: DataFrame, log: DataFrame | None = None, now: int | None = None) -> dict[str, DataFrame]:
+def analyse(table: DataFrame, log: DataFrame | None = None, now: int | None = None, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables by name: files, totals (with scores), languages, functions, blocks, unused, secrets, cycles, findings, brief and others.
 
-    With version-control logs also those of ``forensics``. Files are read three times at most: for their lines, for what they do and for
+    With version-control logs also those of ``forensics``, over the paths of ``inventory``: all that exists, as ``TreeListing``
+    reads it, be it of a known language or not. Without it the table's own paths count. Files are read three times at most: for their lines, for what they do and for
     their functions; what is used again is stored in the shared folder.
     """
     counted = files.with_line_counts(table)
@@ -71,5 +72,5 @@ def analyse(table: DataFrame, log: DataFrame | None = None, now: int | None = No
         "complex_functions": functions.complex_functions(found), "imports": items, "edges": edges, "top_imported": imports.top_imported(edges), "blocks": blocks,
         "largest": largest, "all_files": all_files, "dependencies": imports.listed(edges), "unused_listed": imports.top_unused(unused), "secrets_listed": secrets.top_secrets(leaks),
         "unused": unused, "secrets": leaks, "cycles": cycles, "ignored": ignored, "findings": all_, "brief": f.brief(all_), "commands": commands,
-        **({} if log is None else forensics(log, table, int(time.time()) if now is None else now)),
+        **({} if log is None else forensics(log, table if inventory is None else inventory, int(time.time()) if now is None else now)),
     }

@@ -642,3 +642,4 @@ def formats(spark, d):
 
 
 from . import more_queries  # noqa: E402, F401  registers its queries here
+from . import source_queries  # noqa: E402, F401

@@ -71,3 +71,68 @@ def test_stream(spark, tmp_path):
     assert table.count() == 2
     assert rescan.latest(table).count() == 1
     assert rescan.activity(stream).isStreaming
+
+
+PATTERNS = {
+    ".gitignore": [
+        "logs/", "!logs/keep.ts", "*.gen.ts", "!keep.gen.ts", "/top", "mid/**/deep.ts", "**/any.ts", "all/**", "!all/in.ts", "q?.ts", "[ab]c.ts", "[!x]d.ts", r"\!odd.ts", r"\#odd.ts", r"star\*.ts", "trail.ts   ", r"space\ ",
+        "a.b+c(d)$.ts", "[", "[]].ts", "folder/", "!folder", "one/two", r"[\]z]e.ts", "*", "!*", "!*/", "ü*.ts",
+    ],
+    "sub/.gitignore": ["deep.ts", "!logs", "/only.ts", "in/"], "sub/in/.gitignore": ["!x.ts", "*"], "mid/.gitignore": ["!deep.ts", "!c/deep.ts"],
+}
+PATHS = """logs/l.ts logs/keep.ts logs/in/x.ts sub/logs/l.ts a.gen.ts keep.gen.ts sub/keep.gen.ts top sub/top mid/deep.ts mid/c/deep.ts mid/c/d/deep.ts any.ts x/any.ts all/in.ts all/b/c.ts q1.ts q12.ts ac.ts bc.ts cc.ts
+xd.ts yd.ts !odd.ts #odd.ts star*.ts star1.ts trail.ts a.b+c(d)$.ts [ ].ts folder/x.ts sub/folder sub/deep.ts sub/x/deep.ts sub/only.ts sub/x/only.ts sub/in/x.ts sub/in/y.ts one/two/x.ts sub/one/two plain.ts ]e.ts ze.ts üa.ts""".split()
+
+
+def test_ignored_as_git_does(spark, tmp_path):
+    """What git itself lists as untracked, for each pattern alone and for several together."""
+    import random
+
+    r, rows, want = random.Random(3), [], set()
+    trials = [{f: [p]} for f, ps in PATTERNS.items() for p in ps] + [{f: r.sample(ps, min(len(ps), r.randint(1, 6))) for f, ps in PATTERNS.items()} for _ in range(25)]
+    for n, trial in enumerate(trials):
+        root = tmp_path / str(n)
+        root.mkdir()
+        subprocess.run(["git", "init", "-q", root], check=True)
+        for path in PATHS:
+            write(root, path, "x")
+        for path, patterns in trial.items():
+            write(root, path, "\n".join(patterns) + "\n")
+        listed = subprocess.run(["git", "-C", root, "ls-files", "-z", "--others", "--exclude-standard"], check=True, capture_output=True).stdout.decode().split("\0")
+        want |= {(str(n), p) for p in listed if p and not p.endswith(".gitignore")}
+        rows += [(str(n), p, "x") for p in PATHS] + [(str(n), p, "\n".join(ps)) for p, ps in trial.items()]
+    table = spark.createDataFrame(rows, "project string, path string, content string")
+    rules = tree.ignored_by(table.where("endswith(path, '.gitignore')"))
+    got = tree.not_ignored(table.where("not endswith(path, '.gitignore')"), rules)
+    assert {(x.project, x.path) for x in got.collect()} == want
+
+
+def test_ignored_folders_are_never_entered(spark, tmp_path):
+    for path in ("logs/a.ts", "logs/keep.ts", "src/a.ts"):
+        write(tmp_path, path, "x")
+    write(tmp_path, ".gitignore", "logs/\n!logs/keep.ts\n")
+    write(tmp_path, ".git", "gitdir: /elsewhere\n")  # as in a work tree or a submodule
+    spark.dataSource.register(tree.SourceTree)
+    found, _ = tree.scan(spark.read.format("sourcetree").option("path", str(tmp_path)).option("project", "p").load())
+    assert {x.path for x in found.collect()} == {"src/a.ts"}
+
+
+def test_history_of_all_that_exists(spark, tmp_path):
+    """A file without an ending, a picture, a large file and a folder of links keep their history; what is gone does not."""
+    from lodestrata.plans.analysis import analyse
+
+    for path in ("Dockerfile", "img/a.png", "big.ts", "node_modules/x.js", ".ci/run", "src/a.ts"):
+        write(tmp_path, path, "x" * (2_000_001 if path == "big.ts" else 9))
+    (tmp_path / "link").symlink_to(tmp_path / "src")
+    (tmp_path / "broken").symlink_to(tmp_path / "nowhere")
+    write(tmp_path, ".git/HEAD", "ref: x\n")
+    for source in (tree.SourceTree, tree.TreeListing):
+        spark.dataSource.register(source)
+    load = lambda kind: spark.read.format(kind).option("path", str(tmp_path)).option("project", "p").load()
+    listed = load("treelisting")
+    assert sorted(x.path for x in listed.collect()) == sorted("Dockerfile img img/a.png big.ts node_modules node_modules/x.js .ci .ci/run src src/a.ts link".split())
+    lines = [f"{'a' * 40}\tAnn\t5", *(f"1\t2\t{p}" for p in ("Dockerfile", "img/a.png", "big.ts", "gone.ts", "link", "broken", "src/a.ts"))]
+    log = spark.createDataFrame([("p", n, x) for n, x in enumerate(lines, 1)], "project string, line_no bigint, value string")
+    files, _ = tree.scan(load("sourcetree"))
+    out = analyse(files, log, now=10, inventory=listed)
+    assert {x.path for x in out["git_files"].collect()} == {"Dockerfile", "img/a.png", "big.ts", "link", "src/a.ts"}
