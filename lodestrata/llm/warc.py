@@ -81,12 +81,14 @@ def write_archives(
     is an empty payload, a null url has no target header. An archive holds at most
     ``records_per_file`` records of ``segment`` bytes and their headers.
     """
+    # Written once: a row's number must be the same where marks are made and where they are joined.
     rows = pages.select(
         pages["page_id"].cast("long").alias("page_id"),
         F.coalesce(pages["url"], F.lit("")).alias("url"),
         F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8").alias("payload"),
         F.monotonically_increasing_id().alias("row"),
-    ).withColumn("digest", F.sha1("payload"))
+    )
+    rows = stored(rows.withColumn("digest", F.sha1("payload")), "warc-rows")
     # Marks are made on narrow rows; payloads are dealt once, by the row, so a large group of copies stays spread.
     narrow = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "row", "digest")
     kept = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"))
