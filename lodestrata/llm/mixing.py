@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import broadcast_if_small, stored
+from .columns import as_row, unfolded
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,35 +53,37 @@ def source_targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame
     )
 
 
+KEY = ["origin", "id", "digest"]
+
+
 def _named(docs: DataFrame, *columns: Column) -> DataFrame:
-    """(by, id, digest) of each row: its source, its doc_id as text, and the MD5 of its text; and ``columns``."""
-    return docs.select(
-        docs["source"].alias("by"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("id"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("digest"), *columns
-    )
+    """(by, origin, id, digest) of each row: its source, that as text which tells null from all others, its doc_id as text, and the MD5 of its text; and ``columns``."""
+    source, text = docs["source"], F.md5(F.coalesce(docs["text"], F.lit("")))
+    return docs.select(source.alias("by"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("origin"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).alias("id"), text.alias("digest"), *columns)
 
 
 def _numbered(rows: DataFrame, repeated: DataFrame, salts: int = 64) -> DataFrame:
-    """``rows`` with nth: 0, 1, ... among those that share id and digest.
+    """``rows`` with nth: 0, 1, ... among those that share source, id and digest, in the order of ``same``, a hash of all that tells rows apart.
 
-    ``repeated`` holds the (id, digest) of more than one row; all others are 0 at once.
-    A large group is numbered in ``salts`` parts. Which of equal rows gets which number
-    does not matter, since they are equal.
+    ``repeated`` holds the keys of more than one row; all others are 0 at once. A large
+    group is numbered in ``salts`` parts of its equal rows. Which of equal rows gets
+    which number does not matter, so partitions are no part of the result.
     """
-    key = ["id", "digest"]
-    once = rows.join(repeated, key, "left_anti").withColumn("nth", F.lit(0).cast("long"))
-    again = rows.join(repeated, key, "left_semi").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
-    again = stored(again.withColumn("nth", F.row_number().over(W.partitionBy(*key, "salt").orderBy(F.lit(0))).cast("long") - 1), "mix-repeats")
-    before = W.partitionBy(*key).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    starts = again.groupBy(*key, "salt").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    again = again.join(starts, [*key, "salt"]).withColumn("nth", F.col("nth") + F.col("start"))
+    once = rows.join(repeated, KEY, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    again = rows.join(repeated, KEY, "left_semi").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    part = [*KEY, "same", "salt"]
+    again = stored(again.withColumn("nth", F.row_number().over(W.partitionBy(*part).orderBy(F.lit(0))).cast("long") - 1), "mix-repeats")
+    before = W.partitionBy(*KEY).orderBy("same", "salt").rowsBetween(W.unboundedPreceding, -1)
+    starts = again.groupBy(*part).agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    again = again.join(starts, part).withColumn("nth", F.col("nth") + F.col("start"))
     return once.unionByName(again.select(*once.columns))
 
 
 def _planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Narrow rows with sizes, written once; the targets of the sources; and the (id, digest) of repeated rows."""
-    sized = stored(_named(docs, docs["doc_id"].alias("doc_id"), words(docs["text"]).alias("size")), "mix-sizes")
+    """Narrow rows with sizes, written once; the targets of the sources; and the keys of repeated rows."""
+    sized = stored(_named(docs, docs["doc_id"].alias("doc_id"), words(docs["text"]).alias("size"), F.lit(0).cast("long").alias("same")), "mix-sizes")
     targets = broadcast_if_small(stored(source_targets(sized.groupBy(F.col("by").alias("source")).agg(F.sum("size").alias("source_size"))), "targets"))
-    repeated = stored(sized.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"), "repeated")
+    repeated = stored(sized.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated")
     return sized, targets, broadcast_if_small(repeated, 100_000)
 
 
@@ -97,8 +100,8 @@ def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """(doc_id, text, source) -> (doc_id, size, source_size, target, copies), one row per row.
 
     Null text has size 0, null source is a source of its own. A source without words
-    has target 0 and no copies. Rows that repeat a doc_id and its text are numbered,
-    so that each is decided by itself. Other columns are not read. A hot source costs
+    has target 0 and no copies. Rows of a source that repeat a doc_id and its text are
+    numbered, so that each is decided by itself. Other columns are not read. A hot source costs
     nothing: sources are summed before the shuffle and joined by broadcast up to a
     counted number of them. One task orders the sources (not their documents).
     """
@@ -109,9 +112,9 @@ def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """``docs`` with each row emitted as often as the plan says, all columns kept."""
     _, targets, repeated = _planned(docs)
-    rows = _named(docs, F.struct(*docs.columns).alias("row"))
+    rows = _named(docs, as_row(docs).alias("row")).withColumn("same", F.xxhash64("row"))
     emitted = _with_copies(_numbered(rows, repeated), targets, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return emitted.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return emitted.select(*unfolded(F.col("row"), docs.columns))
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
@@ -124,7 +127,7 @@ OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')),
-                       row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1)) AS code
+                       row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '') ORDER BY doc_id) - 1)) AS code
   FROM documents),
 weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n
