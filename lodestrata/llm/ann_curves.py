@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import stored
-from .vectors import candidates, nearest_of_queries, query_classes, valid
+from .vectors import candidates, nearest_of_queries, query_classes, valid, vectors_of_an_id
 
 BLOCK = 65536  # most places compared at once
 SAMPLE = 4096  # vectors from which the grids are made
@@ -87,15 +87,17 @@ def search(
 
     Null or zero vectors, and those with null or non-finite components, take no
     part; neither do rows with null vec_id. Shorter vectors count as filled up with
-    zeros. Repeated rows count once. Ties go to the smaller vec_id. Other columns are
-    not read. Near means a large inner product: lengths are cut into steps of half
+    zeros. Repeated rows count once; a vec_id with several vectors is one candidate with
+    its best score, and as a query has one list. Ties go to the smaller vec_id. Other
+    columns are not read. Near means a large inner product: lengths are cut into steps of half
     an octave, steps of few candidates share a band, and each band is searched by
     direction. In every lane a query sees ``window`` places to either side, or the
     part ``share`` of its band's candidates if that is more; a band of at most
     ``window`` candidates is seen whole, by one lane.
     """
     rows = valid(vectors).where(F.exists("v", lambda x: x != 0))
-    found = candidates(rows, k + 1)
+    keep = (k + 1) * vectors_of_an_id(rows)
+    found = candidates(rows, keep)
     queries = query_classes(rows, found, F.col("vec_id") % every == 0)
     spark = found.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -177,17 +179,17 @@ def search(
                 scores[np.abs(places[None] - some["place"].to_numpy()[:, None]) > some["reach"].to_numpy()[:, None]] = -np.inf
                 for n, cid in enumerate(some["cid"]):
                     s = scores[n]
-                    least = -np.inf if len(s) <= k + 1 else np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                    least = -np.inf if len(s) <= keep else np.partition(s, len(s) - keep)[len(s) - keep]
                     at = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least) if np.isfinite(least) else 0)) & np.isfinite(s))
                     exact = (x[at] * y[n]).sum(1)  # equal vectors, equal sums
-                    best = np.lexsort((ids[at], -exact))[: k + 1]
+                    best = np.lexsort((ids[at], -exact))[:keep]
                     out += [(cid, ids[at][j], exact[j]) for j in best]
         return pd.DataFrame(out, columns=["class", "vec_id", "score"])
 
     best = spread.groupBy("lane", "block").applyInPandas(rank, "class long, vec_id long, score double")
-    # At most k + 1 entries for each class and block in its reach.
+    # At most ``keep`` entries for each class and block in its reach.
     lists = best.groupBy("class").agg(F.collect_set(F.struct((-F.col("score")).alias("less"), "vec_id")).alias("all"))
-    lists = lists.select("class", F.transform(F.slice(F.array_sort("all"), 1, k + 1), lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"))).alias("list"))
+    lists = lists.select("class", F.transform(F.slice(F.array_sort("all"), 1, keep), lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"))).alias("list"))
     return nearest_of_queries(queries, lists, k)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import stored
-from .vectors import candidates, nearest_of_queries, query_classes, valid
+from .vectors import candidates, nearest_of_queries, query_classes, valid, vectors_of_an_id
 
 ENTRY = "class long, node int, cid long, part double"
 
@@ -62,13 +62,14 @@ def search(vectors: DataFrame, k: int, every: int, nodes: int = 2, depth: int =
     A component x counts as floor(scale * x). Null vectors and those with null or
     non-finite components take no part; neither do rows with null vec_id. An empty
     vector has score 0 with all. Shorter vectors count as filled up with zeros.
-    Repeated rows count once. Ties go to the smaller vec_id. Other columns are not read.
+    Repeated rows count once; a vec_id with several vectors is one candidate with its best
+    score, and as a query has one list. Ties go to the smaller vec_id. Other columns are not read.
 
     Queries meet all candidates block by block, which is the stated set of queries
     against all rows.
     """
-    k1 = k + 1
     rows = valid(vectors, empty=True).select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    k1 = (k + 1) * vectors_of_an_id(rows)
     found = candidates(rows, k1)
     queries = query_classes(rows, found, F.col("vec_id") % every == 0)
     count, width = found.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -148,8 +149,8 @@ WITH valid AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM valid q JOIN valid c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v, c.v)::BIGINT) AS score
+  FROM valid q JOIN valid c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10

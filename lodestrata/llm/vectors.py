@@ -34,11 +34,20 @@ def query_classes(rows: DataFrame, found: DataFrame, which: Column) -> DataFrame
     return stored(asked.join(reps, "v").select("query_id", "class"), "queries")
 
 
+def vectors_of_an_id(rows: DataFrame) -> int:
+    """The largest number of different vectors under one vec_id, 1 unless ids repeat."""
+    counts = rows.select("vec_id", F.xxhash64("v").alias("h")).distinct().groupBy("vec_id").agg(F.count("*").alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 1
+
+
 def nearest_of_queries(queries: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (class, list of (score, vec_id), best first, of k + 1 at least if there are so many)."""
-    own = queries.join(lists, "class").select(
-        "query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list")
-    )
-    return own.select("query_id", F.posexplode("list").alias("pos", "x")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
-    )
+    """(query_id, rank, vec_id, score) from (class, list of (score, vec_id)), the best of each class.
+
+    A query_id with several vectors has one list of the best of all; a vec_id with
+    several is one candidate, with its best score. For that, lists hold at least
+    (k + 1) * ``vectors_of_an_id`` entries if there are so many.
+    """
+    own = queries.join(lists, "class").select("query_id", F.explode(F.filter("list", lambda x: x["vec_id"] != F.col("query_id"))).alias("x"))
+    best = own.groupBy("query_id", F.col("x.vec_id").alias("vec_id")).agg(F.max("x.score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
