@@ -15,10 +15,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import stored
+from .columns import named
 from .memory import give_back
 
 CHUNK, STEP, PAD = 256, 192, 256
@@ -196,12 +195,25 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
+def _fitting(rows: list, sample_bytes: int, share: int = 16) -> list:
+    """Rows in order of place as long as their sizes fit together; one over 1 / ``share`` of the bound is passed over, unless it is the smallest of its label and fits."""
+    smallest = {y: min((r["size"], r["place"], r["id"]) for r in rows if r["y"] == y) for y in {r["y"] for r in rows}}
+    must = [r for r in rows if (r["size"], r["place"], r["id"]) == smallest[r["y"]]]
+    left, out = sample_bytes, []
+    for r in sorted(must, key=lambda r: r["size"]) + sorted((r for r in rows if r not in must and r["size"] <= sample_bytes // share), key=lambda r: (r["place"], r["id"])):
+        if r["size"] <= left:
+            out.append(r)
+            left -= r["size"]
+    return out
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, per_label: int = 3000, sample_bytes: int = 96 << 20, skip_fold: tuple[int, int] | None = (5, 0)) -> Network | None:
     """Fits the network to labels.quality on whole texts.
 
     The sample is bounded: at most ``per_label`` rows of either label, chosen by a
-    hash of doc_id; of these, in that order, as many as have ``sample_bytes`` bytes
-    together. ``skip_fold`` (folds, remainder) leaves those doc_ids out. Rows with
+    hash of doc_id; of these, in that order, those that fit into ``sample_bytes`` bytes
+    together, a text over a sixteenth of that only if its label has no smaller one. Of
+    rows that repeat a doc_id one text is learned from. ``skip_fold`` (folds, remainder) leaves those doc_ids out. Rows with
     null doc_id or label are not used. None if either label is missing.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"))
@@ -209,13 +221,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_label: int = 3000, sam
         usable = usable.where(fold(F.col("id"), skip_fold[0]) != skip_fold[1])
     order = F.xxhash64(F.lit("train"), "id")
     picked = usable.where("y = 0").orderBy(order, "id").limit(per_label).unionByName(usable.where("y = 1").orderBy(order, "id").limit(per_label))
-    # At most 2 * per_label rows are broadcast; of their texts, sample_bytes are collected.
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")
-    sample = docs.select(F.col("doc_id").alias("id"), data).join(F.broadcast(picked), "id").withColumn("row", F.monotonically_increasing_id())
-    sample = stored(sample, "labelled")
-    so_far = F.sum("size").over(W.orderBy(order, "id", "row").rowsBetween(W.unboundedPreceding, 0))
-    fits = sample.select("id", "row", F.octet_length("data").alias("size")).withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes)
-    rows = sorted(sample.join(F.broadcast(fits.select("row")), "row").select("id", "data", "y").collect())
+    # One text of each labelled id, told by its hash: at most 2 * per_label narrow rows, of whose texts those that fit are collected.
+    text = F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")
+    told = docs.select(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size")).join(F.broadcast(picked), "id")
+    one = told.groupBy("id", "y").agg(F.min(F.struct("h", "size")).alias("t")).select("id", "y", "t.h", "t.size", order.alias("place"))
+    fits = _fitting(one.collect(), sample_bytes)
+    chosen = docs.sparkSession.createDataFrame([(r["id"], r["h"], r["y"]) for r in fits], "id long, h long, y int")
+    data = docs.select(docs["doc_id"].alias("id"), F.xxhash64(text).alias("h"), text.alias("data")).join(F.broadcast(chosen), ["id", "h"])
+    rows = sorted(data.dropDuplicates(["id", "y"]).select("id", "data", "y").collect(), key=lambda r: (r["id"], r["y"]))
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
@@ -231,7 +244,7 @@ def score_quality(docs: DataFrame, model: Network | None) -> DataFrame:
     Null and empty texts are scored as a chunk without bytes. The text is the only
     input. Other columns are kept as they are; one named score is replaced.
     """
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [named(docs, c) for c in docs.columns if c != "score"]
     if model is None:
         return docs.select(*keep, F.lit(0.5).alias("score"))
 
@@ -241,7 +254,7 @@ def score_quality(docs: DataFrame, model: Network | None) -> DataFrame:
             yield pd.Series(model.scores(texts), dtype="float64")
         give_back()
 
-    return docs.select(*keep, score(F.col("text")).alias("score"))
+    return docs.select(*keep, score(docs["text"]).alias("score"))
 
 
 def op8_byte_cnn(spark, sf_dir: str) -> DataFrame:
