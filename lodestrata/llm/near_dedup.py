@@ -29,7 +29,8 @@ from .shingles import WordHashes, mixed, shingle_set
 
 BANDS, ROWS = 32, 4
 LEVELS = 3  # times that a bucket may be dealt anew
-MINOR_BLOCKS = 8
+SLOT = 2048  # shingles: a member takes so many slots of a group as its set fills
+MINOR_BLOCKS, FAMILY_BLOCK = 8, 4
 
 
 def _hashes(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +127,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(similar("am", "bm", "ax", "bx")).select("a", "b")
 
 
+def _slots() -> Column:
+    """How many slots a member of ``n`` shingles takes, so that groups are bounded in bytes and not in members only."""
+    return F.ceil(F.col("n") / SLOT).cast("long")
+
+
 def _open_members(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (key, node, n) of buckets with several components, with their component, the bucket's smallest member and its size."""
+    """Members (key, node, n) of buckets with several components, with their component, the bucket's smallest member and its size in slots."""
     at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = (
         at.groupBy("key")
-        .agg(F.min(F.struct("node", "component", "n")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        .agg(F.min(F.struct("node", "component", "n")).alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(_slots()).alias("size"))
         .where("low <> high")
         .select("key", F.col("pivot.node").alias("a"), F.col("pivot.component").alias("a_component"), F.col("pivot.n").alias("a_n"), "size")
     )
@@ -184,19 +190,20 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int, own_band: boo
 
 
 def _families(placed: DataFrame) -> DataFrame:
-    """(family, n, major, minors): members, the largest component, how many are outside it."""
-    parts = placed.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    """(family, n, major, minors): slots of the members, the largest component, slots of those outside it."""
+    parts = placed.groupBy("family", "component").agg(F.sum(_slots()).alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
     return parts.select("family", "n", F.col("top.component").alias("major"), (F.col("n") - F.col("top.n")).alias("minors"))
 
 
 def _family_blocks(placed: DataFrame, most: int) -> DataFrame:
     """Groups (key, node, component) of families whose members outside the largest component fill at most MINOR_BLOCKS blocks.
 
-    Each block of these meets each block of all members. So a member is copied at most
-    MINOR_BLOCKS times, and one outside once for each block of the family.
+    Each block of these meets each block of all members; a block is FAMILY_BLOCK * ``most``
+    slots. So a member is copied at most MINOR_BLOCKS / FAMILY_BLOCK times, and one
+    outside once for each block of the family.
     """
     of = _families(placed).where(F.col("minors") <= most * MINOR_BLOCKS)
-    blocks, outside = F.ceil(F.col("n") / most).cast("long").alias("blocks"), F.ceil(F.col("minors") / most).cast("long").alias("outside")
+    blocks, outside = (F.ceil(F.col(c) / (most * FAMILY_BLOCK)).cast("long").alias(to) for c, to in (("n", "blocks"), ("minors", "outside")))
     rows = placed.join(of.where("minors > 0").select("family", "major", blocks, outside), "family")
     all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks")
@@ -237,7 +244,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
     ``kept`` tells that it is the row's own. ``stays`` marks exactly one row of each
     component, that of the smallest doc_id (nulls last), then of the least text hash
     (h1, h2), and each row without words. An empty table gives no rows; other columns
-    are not read. ``most`` bounds what is compared inside one task at once.
+    are not read. ``most`` bounds what is compared inside one task at once: in members,
+    or where sets are long, in slots of SLOT shingles.
     """
     signed = stored(signatures(docs), "signatures")
     linked = signed.where("same is not null")
@@ -261,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
     # then the large buckets level by level.
     open_ = _open_members(members, found)
     family = components(open_.where("node <> a"), "a", "node").select("node", F.col("component").alias("family"))
-    placed = stored(open_.select("node", "component").distinct().join(family, "node"), "families")
+    placed = stored(open_.select("node", "component", "n").distinct().join(family, "node"), "families")
     links = _group_links(_family_blocks(placed, most), sets, percent)
     wide = placed.join(_families(placed).where(F.col("minors") > most * MINOR_BLOCKS), "family").select("node")
     if some_wide := not wide.isEmpty():
