@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import broadcast_if_small, shared_path, stored
+from .columns import as_row
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,14 +93,15 @@ def long_lines(docs: DataFrame, min_length: int, batches: int) -> DataFrame:
     """(doc_id, t1, t2, h1, h2, pos, first, batch) of the lines whose key has at least ``min_length`` code points.
 
     t1 and t2 tell the text, h1 and h2 the key, pos the line; ``first`` marks the
-    first line of each key in its row. A task's lines are in one batch.
+    first line of each key in its row. A row's lines are in one batch, by a hash of its
+    doc_id and text.
     """
     keys = F.transform(F.transform(_lines(docs["text"]), line_key), lambda k, i: F.struct(k.alias("k"), i.alias("pos")))
     hashed = F.transform(
         F.filter(keys, lambda x: F.char_length(x["k"]) >= min_length),
         lambda x: F.struct(F.xxhash64(x["k"]).alias("h1"), F.xxhash64(F.lit("line"), x["k"]).alias("h2"), x["pos"].alias("pos")),
     )
-    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_text_hash(docs["text"]), F.array_sort(hashed).alias("lines"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_text_hash(docs["text"]), F.array_sort(hashed).alias("lines"), F.pmod(F.xxhash64(F.lit("batch"), docs["doc_id"].cast("long"), docs["text"]), F.lit(batches)).alias("batch"))
     before = lambda i: F.get("lines", i - 1)
     marked = F.transform("lines", lambda x, i: F.struct(x["h1"], x["h2"], x["pos"], ((i == 0) | (before(i)["h1"] != x["h1"]) | (before(i)["h2"] != x["h2"])).alias("first")))
     return named.select("doc_id", "t1", "t2", F.inline(marked).alias("h1", "h2", "pos", "first"), "batch")
@@ -134,7 +136,7 @@ def drop_common_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5,
     drops = lines.join(common, ["h1", "h2"]).where("last is not null and not (doc_id <=> last)").groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
 
     rest = [c for c in docs.columns if c not in ADDED and c != "text"]
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), *_text_hash(docs["text"]), docs["text"].alias("text"), F.struct(*(docs[c] for c in rest)).alias("row"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), *_text_hash(docs["text"]), docs["text"].alias("text"), as_row(docs, rest).alias("row"))
     met = rows["id"].eqNullSafe(drops["doc_id"]) & (rows["t1"] == drops["t1"]) & (rows["t2"] == drops["t2"])
     split = rows.join(drops, met, "left").select("row", "text", "gone", _lines(F.col("text")).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
