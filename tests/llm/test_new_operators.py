@@ -214,3 +214,90 @@ def test_digests_of_many_ids(spark):
         want[s].append(i)
     assert {r.sequence: r.ends_sha256 for r in got} == {s: hashlib.sha256(",".join(map(str, sorted(x))).encode()).hexdigest() for s, x in want.items()}
     assert len(got) == len(want)
+
+
+# Odd tables of the earlier operators
+
+
+def test_archives_of_shuffled_pages(spark):
+    """Rows that are dealt anew each time they are read keep their names."""
+    from lodestrata.llm import warc
+
+    html = lambda n: f"<p>{n % 7}</p>" * 300
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url").toPandas().assign(html=[html(n) for n in range(400)])
+    got = warc.read_archives(spark, warc.write_archives(spark.createDataFrame(pages).repartition(7))).collect()
+    last = {n % 7: n for n in range(400)}
+    want = {(n, "response", None) if last[n % 7] == n else (n, "revisit", last[n % 7]) for n in range(400)}
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == want and len(got) == 400
+
+
+def test_mixing_of_one_text_in_several_sources(spark):
+    from lodestrata.llm import mixing
+
+    rows = [(1, "a b c", s, n) for s in ("x", "y", None) for n in range(40)] + [(n, "w " * (n % 5), "z", 0) for n in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int")
+    plans, mixes = set(), set()
+    for n in (1, 3, 5):
+        table = docs.repartition(n)
+        plans.add(tuple(sorted(map(str, mixing.mix_plan(table).collect()))))
+        mixes.add(tuple(sorted(map(str, mixing.mix(table).collect()))))
+        assert mixing.mix(table).columns == docs.columns
+    assert len(plans) == len(mixes) == 1
+
+
+@pytest.mark.parametrize("op", ["op6", "op10"])
+def test_neighbours_of_repeated_ids(spark, op):
+    """One list for a query with several vectors, one row for a candidate with several."""
+    from lodestrata.llm import ann_curves, topk
+
+    r = np.random.default_rng(8)
+    rows = [(n, [float(x) for x in r.normal(size=6)]) for n in range(0, 60)] + [(n, [float(x) for x in r.normal(size=6)]) for n in (0, 0, 7, 7, 20)]
+    search, whole = (ann_curves.search, lambda v: np.array(v)) if op == "op6" else (topk.search, lambda v: np.floor(1024 * np.array(v)))
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 20).collect()
+    want = set()
+    for q in (0, 20, 40):
+        best = {}
+        for c, v in rows:
+            for i, x in rows:
+                if i == q and c != q:
+                    best[c] = max(best.get(c, -np.inf), float(whole(x) @ whole(v)))
+        want |= {(q, n, c) for n, (c, _) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    assert {(x.query_id, x["rank"], x.vec_id) for x in got} == want and len(got) == len(want)
+
+
+def test_training_passes_over_a_giant_text(spark):
+    from lodestrata.llm import quality
+
+    rows = [(n, "word " * 30 if n % 2 else "%% && " * 30) for n in range(60)] + [(60, "giant " * 50_000), (61, "giant " * 50_000)]
+    labels = spark.createDataFrame([(n, n % 2) for n in range(62)], "doc_id long, quality int")
+    assert quality.train_quality(documents(spark, *rows), labels, sample_bytes=100_000) is not None
+    fit = lambda *sizes: [r["id"] for r in quality._fitting([{"id": n, "size": s, "place": n, "y": n % 2} for n, s in enumerate(sizes)], 100)]
+    assert fit(90, 3, 5, 4, 6) == [1, 2, 3, 4] and fit(50, 40, 70) == [1, 0] and fit(200, 1) == [1] and fit() == []
+
+
+def test_groups_of_long_texts_are_bounded_in_bytes(spark):
+    """Near copies of long texts, which fill many slots each, against brute force."""
+    from lodestrata.llm import near_dedup
+
+    from .test_operators import classes
+
+    r, rows = np.random.default_rng(2), []
+    base = [f"w{k}" for k in range(3000)]
+    for n in range(12):
+        words = list(base)
+        for at in r.integers(0, 3000, 30 * (n % 6)):
+            words[at] = f"x{n}_{at}"
+        rows.append((n, " ".join(words)))
+    got = near_dedup.near_duplicates(documents(spark, *rows), most=4).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == classes(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    import corpus_pipeline
+
+    rows = [(n, f"some words of a text {n} " * 5 + "\nA line that is common and long enough to be dropped", f"s{n % 2}", n, "x") for n in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, `a.b ``c` string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert all(x[4] == "x" for x in out.collect())
