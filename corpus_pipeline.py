@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.llm.columns import as_row, unfolded
 from lodestrata.llm.line_dedup import drop_common_lines
 from lodestrata.llm.mixing import mix
 from lodestrata.llm.near_dedup import near_duplicates, text_hash
@@ -24,13 +25,13 @@ REJECT_BELOW = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least REJECT_BELOW; trained on all labels of the folder."""
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), skip_fold=None)
-    scored = score_quality(docs.select("text", F.struct(*docs.columns).alias("row")), model)
-    return scored.where(F.col("score") >= REJECT_BELOW).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    scored = score_quality(docs.select("text", as_row(docs).alias("row")), model)
+    return scored.where(F.col("score") >= REJECT_BELOW).select(*unfolded(F.col("row"), docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without common lines; n_chars is counted anew. A document that loses every line stays, empty."""
-    kept = drop_common_lines(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row")))
+    kept = drop_common_lines(docs.select("doc_id", "text", as_row(docs, [c for c in docs.columns if c != "text"]).alias("row")))
     text = F.when(F.col("text").isNotNull(), F.col("_kept"))
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return kept.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
@@ -44,10 +45,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key, name = ["name", "h1", "h2"], F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("name")
     stays = near_duplicates(docs).where("stays").select(name, "h1", "h2").groupBy(*key).agg(F.count("*").alias("many"))
-    rows = docs.select(name, *text_hash(F.col("text")), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(name, *text_hash(F.col("text")), as_row(docs).alias("row"))
     nth = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("row")))
     left = rows.join(stays, key).withColumn("nth", nth).where("nth <= many")
-    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return left.select(*unfolded(F.col("row"), docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
