@@ -160,7 +160,12 @@ def number(c: Column) -> Column:
 
 
 def bytes_text(c: Column) -> Column:
-    unit = lambda n, name: F.concat(F.format_string("%.1f", c / F.lit(float(n))), F.lit(f" {name}"))
+    """One decimal below a hundred of a unit, none from there on."""
+
+    def unit(n: int, name: str) -> Column:
+        v = c / F.lit(float(n))
+        return F.concat(F.when(v >= 100, F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v)), F.lit(f" {name}"))
+
     return (
         F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
         .when(c < 1 << 20, unit(1 << 10, "KB"))
@@ -169,11 +174,19 @@ def bytes_text(c: Column) -> Column:
     )
 
 
-def time_ago(seconds: Column) -> Column:
+def date_text(at: Column) -> Column:
+    """Unix seconds as a date and time in American English, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(at), "MMM dd, yyyy, hh:mm a")
+
+
+def time_ago(seconds: Column, at: Column | None = None) -> Column:
+    """How long ago; with ``at`` (unix seconds) what is a week old or older is a date."""
+
     def text(n: int, sign: str) -> Column:
         return F.concat(F.floor(seconds / n).cast("string"), F.lit(f"{sign} ago"))
 
-    return F.when(seconds < 60, F.lit("just now")).when(seconds < 3600, text(60, "m")).when(seconds < 86400, text(3600, "h")).otherwise(text(86400, "d"))
+    out = F.when(seconds < 60, F.lit("just now")).when(seconds < 3600, text(60, "m")).when(seconds < 86400, text(3600, "h"))
+    return out.otherwise(text(86400, "d")) if at is None else out.when(seconds < 604800, text(86400, "d")).otherwise(date_text(at))
 
 
 def case_number(prefix: str, created_at: Column, id_: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as t
-from ..scratch import stored
+from ..scratch import broadcast_if_small, stored
 from .files import top_of_project
 
 FILE = ["project", "path"]
@@ -26,14 +26,37 @@ def _run(start: Column, size: int) -> Column:
     return F.array_join(F.slice("lines", start + 1, F.lit(size)), "\n")
 
 
-def windows(lines: DataFrame, size: int = rules.DUP_WINDOW) -> DataFrame:
-    """(project, path, start, fp) of every run of ``size`` lines; made inside a file's row, without a shuffle."""
-    runs = F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda n: F.struct(n.alias("start"), F.sha2(_run(n, size), 256).alias("fp")))
-    return lines.where(F.size("lines") >= size).select(*FILE, F.inline(runs).alias("start", "fp"))
+def windows(lines: DataFrame, size: int = rules.DUP_WINDOW, mix=F.xxhash64) -> DataFrame:
+    """(project, path, start, fp) of every run of ``size`` lines; made inside a file's row, without a shuffle.
 
+    ``fp`` is a 64-bit fingerprint of the hashes of the lines, each of which is taken once.
+    """
+    rows = lines.where(F.size("lines") >= size).select(*FILE, F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("h") - size), lambda n: F.struct(n.alias("start"), mix(*(F.get("h", n + k) for k in range(size))).alias("fp")))
+    return rows.select(*FILE, F.inline(runs).alias("start", "fp"))
+
+
+def suspected(found: DataFrame) -> DataFrame:
+    """Windows whose fingerprint occurs twice at least in their project."""
+    twice = found.groupBy("project", "fp").agg(F.count("*").alias("n")).where("n > 1").select("project", "fp")
+    return found.join(twice, ["project", "fp"], "left_semi").select(*FILE, "start", "fp")
+
+
+def confirmed(found: DataFrame, lines: DataFrame, size: int = rules.DUP_WINDOW) -> DataFrame:
+    """``found`` with the SHA-256 of the text as ``fp``, so that windows of one fingerprint and different texts part."""
+    starts = found.groupBy(*FILE).agg(F.collect_set("start").alias("starts")).join(lines, FILE)
+    runs = F.transform("starts", lambda n: F.struct(n.alias("start"), F.sha2(_run(n, size), 256).alias("fp")))
+    return starts.select(*FILE, F.inline(runs).alias("start", "fp"))
 
-def repeated(found: DataFrame) -> DataFrame:
-    """Windows that occur twice at least, with occurrences and whether it is the first of its project."""
+
+def repeated(found: DataFrame, lines: DataFrame | None = None, size: int = rules.DUP_WINDOW) -> DataFrame:
+    """Windows that occur twice at least, with occurrences and whether it is the first of its project.
+
+    With the lines that the windows were made of, equal fingerprints are confirmed on the
+    text, of the windows that have a like only.
+    """
+    if lines is not None:
+        found = stored(confirmed(suspected(found), lines, size), "confirmed")
     place = F.struct("path", "start")
     groups = found.groupBy("project", "fp").agg(F.count("*").alias("occurrences"), F.min(place).alias("first")).where("occurrences > 1")
     return found.join(groups, ["project", "fp"]).withColumn("canonical", (F.col("path") == F.col("first.path")) & (F.col("start") == F.col("first.start"))).drop("first")
@@ -66,7 +89,8 @@ def blocks(again: DataFrame, n: int = rules.TOP["blocks"], size: int = rules.DUP
     counts = rows.groupBy("project").agg(F.count("*").alias("blocks"))
     top = top_of_project(rows, n, (F.col("occurrences") * F.col("line_count")).desc(), F.col("path"), F.col("start"))
     # Files of a block in the order in which they come up: by window, then by path.
-    files = seen.join(F.broadcast(top.select(*block)), block).groupBy(*block).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("files"))
+    top = stored(top, "top-blocks")
+    files = seen.join(broadcast_if_small(top.select(*block)), block).groupBy(*block).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("files"))
     top = top.join(files, block).join(counts, "project")
     sample = F.lit(None).cast("string")
     if lines is not None:

@@ -21,11 +21,13 @@ def new_path(path: Column) -> Column:
 
     The first braces count if an arrow is in them, else what is after the first arrow.
     """
-    path = F.regexp_replace(t.trimmed(path), r'(?s)^"(.*)"$', "$1")
+    path = t.trimmed(path)
+    path = F.when(F.startswith(path, F.lit('"')) & F.endswith(path, F.lit('"')) & (F.length(path) > 1), F.substr(path, F.lit(2), F.length(path) - 2)).otherwise(path)
     braces = r"(?s)^([^{}]*)\{([^}]*?) => ([^}]*)\}(.*)$"
     braced = F.replace(F.regexp_replace(path, braces, "$1$3$4"), F.lit("//"), F.lit("/"))
     plain = F.regexp_replace(path, r"(?s)^.*? => ", "")
-    return F.translate(F.when(F.rlike(path, F.lit(braces)), braced).otherwise(plain), "\\", "/")
+    # Most paths hold no arrow and meet no pattern.
+    return F.translate(F.when(~F.contains(path, F.lit(" => ")), path).when(F.rlike(path, F.lit(braces)), braced).otherwise(plain), "\\", "/")
 
 
 def parsed_log(log: DataFrame) -> DataFrame:
@@ -100,15 +102,25 @@ def hotspots(changes: DataFrame, n: int = rules.TOP["hotspots"]) -> DataFrame:
     return top_of_project(rows, n, F.col("score").desc(), F.col("path"))
 
 
+def pair_sets(changes: DataFrame, least: int = rules.MIN_COCHANGE) -> DataFrame:
+    """(project, commit, paths) of the commits that say something, without paths that no pair can need.
+
+    A pair cannot reach ``least`` commits unless both its paths do, so rarer ones go before pairs are made.
+    """
+    paths = stored(per_commit(changes).select("project", "commit", "path"), "commit-paths")
+    counts = paths.groupBy("project", "commit").agg(F.count("*").alias("n"))
+    usable = paths.join(counts.where(F.col("n").between(rules.MIN_PAIR_FILES, rules.MAX_PAIR_FILES)).select("project", "commit"), ["project", "commit"])
+    frequent = usable.groupBy("project", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("project", "path")
+    sets = usable.join(frequent, ["project", "path"], "left_semi").groupBy("project", "commit").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return sets.where(F.size("paths") > 1)
+
+
 def cochanges(changes: DataFrame, n: int = rules.TOP["cochange"], least: int = rules.MIN_COCHANGE) -> DataFrame:
     """Pairs of paths that change together; commits of one path or of very many say nothing.
 
     Paths are gathered for each commit, 30 at most by rule, so the pairs of a commit are bounded.
     """
-    paths = stored(per_commit(changes).select("project", "commit", "path"), "commit-paths")
-    counts = paths.groupBy("project", "commit").agg(F.count("*").alias("n"))
-    usable = counts.where(F.col("n").between(rules.MIN_PAIR_FILES, rules.MAX_PAIR_FILES)).select("project", "commit")
-    sets = paths.join(usable, ["project", "commit"]).groupBy("project", "commit").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    sets = pair_sets(changes, least)
     pairs = F.flatten(F.transform("paths", lambda a, i: F.transform(F.slice("paths", i + 2, F.size("paths")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     counts = sets.select("project", F.explode(pairs).alias("p")).groupBy("project", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
     return top_of_project(counts.where(F.col("count") >= least), n, F.col("count").desc(), F.col("a"), F.col("b"))

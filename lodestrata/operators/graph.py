@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..scratch import stored
+from ..scratch import broadcast_if_small, stored
 from .files import top_of_project
 
 
@@ -31,17 +31,36 @@ def _spread(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         colors = stored(met.select("project", "node", F.least("color", "before", "further").alias("color")), "colors")
 
 
+def _core(edges: DataFrame, share: float = 0.1) -> DataFrame:
+    """Edges without those of nodes that nothing leads to or that lead nowhere, which are in no cycle.
+
+    They are peeled off in waves, as long as a wave takes a tenth of the edges that are
+    left; a long thin way is left to the colors, which are through with it in fewer rounds.
+    """
+    n = edges.count()
+    while n:
+        into = edges.select("project", F.col("dst").alias("src")).distinct()
+        out_of = edges.select("project", F.col("src").alias("dst")).distinct()
+        edges = stored(edges.join(into, ["project", "src"], "left_semi").join(out_of, ["project", "dst"], "left_semi").select("project", "src", "dst"), "core")
+        left = edges.count()
+        if n - left < share * n:
+            break
+        n = left
+    return edges
+
+
 def cycles_of(edges: DataFrame) -> DataFrame:
     """(project, component, node) of components of two nodes at least; a component is named by its least node.
 
-    Parallel edges and loops say nothing. For each node the least that leads to it and
+    Parallel edges and loops say nothing, nor do ways into and out of cycles, most of
+    which go first. For each node the least that leads to it and
     the least that it leads to are found. Where they are the same, it is the node's
     component; an edge whose ends differ in either is in none and goes; the rest
     repeats. Every step is a join; the driver sees counts.
     """
     edges = stored(edges.where("src <> dst").select("project", "src", "dst").distinct(), "edges")
     found = edges.select("project", F.col("src").alias("component"), F.col("dst").alias("node")).where(F.lit(False))
-    while not edges.isEmpty():
+    while not (edges := _core(edges)).isEmpty():
         nodes = edges.select("project", F.col("src").alias("node")).union(edges.select("project", "dst")).distinct()
         back = edges.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
         both = stored(_spread(nodes, edges).join(_spread(nodes, back).withColumnRenamed("color", "end"), ["project", "node"]), "colored")
@@ -60,6 +79,7 @@ def cycle_report(cycles: DataFrame, n: int = rules.TOP["cycles"], files: int = r
     sizes = cycles.groupBy(*own).agg(F.count("*").alias("size"))
     counts = sizes.groupBy("project").agg(F.count("*").alias("cycles"))
     top = top_of_project(sizes, n, F.col("size").desc(), F.col("component"))
-    first = cycles.join(F.broadcast(top.select(*own)), own).withColumn("nth", F.row_number().over(W.partitionBy(*own).orderBy("node"))).where(F.col("nth") <= files)
+    top = stored(top, "top-cycles")
+    first = cycles.join(broadcast_if_small(top.select(*own)), own).withColumn("nth", F.row_number().over(W.partitionBy(*own).orderBy("node"))).where(F.col("nth") <= files)
     names = first.groupBy(*own).agg(F.array_sort(F.collect_list("node")).alias("files"))  # ``files`` at most
     return top.join(names, own).join(counts, "project").select(*own, "size", "files", "cycles", "rank")

@@ -47,15 +47,29 @@ ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".vue", ".svelte", "/index.
 LUA_ENDINGS = [".lua", "/init.lua"]
 
 
+def stem_index(paths: DataFrame) -> DataFrame:
+    """(project, lua, stem, dst): for every stem that an import can name the file it stands for, of those the ending tried first."""
+
+    def stems(endings: list[str], lua: bool) -> list[Column]:
+        return [
+            F.when(F.endswith("path", F.lit(e)), F.struct(F.lit(lua).alias("lua"), F.lit(n).alias("nth"), F.substr("path", F.lit(1), F.length("path") - len(e)).alias("stem")))
+            for n, e in enumerate(endings)
+        ]
+
+    each = F.array_compact(F.array(*stems(ENDINGS, False), *stems(LUA_ENDINGS, True)))
+    rows = paths.select("project", "path", F.inline(each))
+    return rows.groupBy("project", "lua", "stem").agg(F.min_by("path", "nth").alias("dst"))
+
+
 def resolved_imports(found: DataFrame, paths: DataFrame) -> DataFrame:
-    """(project, src, ord, dst) of relative imports: the first candidate that is a file of the project."""
+    """(project, src, ord, dst) of relative imports: the first candidate that is a file of the project.
+
+    Files are indexed by their stems once, so an import is one row with one key.
+    """
     lua = F.col("language") == "Lua"
     base = F.when(lua, F.replace("source", F.lit("."), F.lit("/"))).otherwise(joined_path(F.col("path"), F.col("source")))
-    tries = F.when(lua, F.array(*map(F.lit, LUA_ENDINGS))).otherwise(F.array(*map(F.lit, ENDINGS)))
-    rows = found.where("relative").select("project", F.col("path").alias("src"), "ord", base.alias("base"), F.posexplode(tries).alias("nth", "ending"))
-    there = paths.select("project", F.col("path").alias("dst"))
-    hits = rows.withColumn("dst", F.concat("base", "ending")).join(there, ["project", "dst"])
-    return hits.groupBy("project", "src", "ord").agg(F.min_by("dst", "nth").alias("dst"))
+    rows = found.where("relative").select("project", F.col("path").alias("src"), "ord", lua.alias("lua"), base.alias("stem"))
+    return rows.join(stem_index(paths), ["project", "lua", "stem"]).select("project", "src", "ord", "dst")
 
 
 def fan_in(edges: DataFrame, paths: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def analyse(table: DataFrame, log: DataFrame | None = None, now: int | None = No
     info = stored(info, "files")
 
     normal = stored(duplication.normal_lines(table), "normal-lines")
-    again = stored(duplication.repeated(duplication.windows(normal)), "repeated")
+    again = stored(duplication.repeated(duplication.windows(normal), normal), "repeated")
     blocks = stored(duplication.blocks(again, lines=normal), "blocks")
     unused = stored(imports.unused_imports(table), "unused")
     leaks = stored(secrets.secrets(table), "secrets")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as t
 from ..operators.files import top_of_project
+from .wording import message
 
 c = F.col
 RESP = "responsibilities"
@@ -208,6 +209,19 @@ def evidence_lines() -> Column:
     return F.concat(head, each)
 
 
+def said_lines() -> Column:
+    """The same as messages, to be worded."""
+    place = lambda line: F.when(line > 0, F.concat(F.lit(":"), line.cast("string"))).otherwise("")
+    head = F.array_compact(F.array(
+        message("ev.lines", lines=c("lines")),
+        F.when((c("symbol_line") > 0) & (c("symbol") != ""), message("ev.startsAt", name=c("symbol"), n=c("symbol_line"))),
+        F.when((c("longest") > 40) & (c("longest_name") != ""), message("ev.longest", name=c("longest_name"), place=place(c("longest_line")), len=c("longest"))),
+    ))
+    shown = lambda r: F.when(r["snippet"] != "", F.concat(F.lit(" — `"), r["snippet"], F.lit("`"))).otherwise("")
+    each = F.transform(RESP, lambda r: message("ev.found", resp=F.concat(F.lit("resp."), r["label"]), how=F.concat(F.lit("ev."), r["evidence"]), token=r["token"], place=place(r["line"]), snippet=shown(r)))
+    return F.concat(head, each)
+
+
 def notes() -> Column:
     """What is inconsistent in a finding."""
     step_has = lambda p: F.exists("refactor", lambda s: F.rlike(s["path"], F.lit(p)))
@@ -223,7 +237,7 @@ def notes() -> Column:
 
 
 COLUMNS = (
-    "project emit id priority confidence category kind file line symbol runtime evidence why next refactor score blast direct_io state_machine prs notes".split()
+    "project emit id priority confidence category kind file line symbol runtime evidence why next refactor score blast direct_io state_machine prs notes said".split()
 )
 
 
@@ -243,7 +257,7 @@ def file_findings(files: DataFrame) -> DataFrame:
         F.when(doubt, "needs-verification").when(c("score") < rules.SCORE_FLOOR, "informational").otherwise("actionable").alias("category"),
         "kind", F.when(c("symbol_line") > 0, F.concat_ws(":", "path", c("symbol_line").cast("string"))).otherwise(c("path")).alias("file"),
         c("symbol_line").cast("int").alias("line"), "symbol", "runtime", evidence_lines().alias("evidence"), c("k.why").alias("why"), c("k.next").alias("next"),
-        "refactor", "score", "blast", c("io").alias("direct_io"), c("state").alias("state_machine"), "prs", "notes",
+        "refactor", "score", "blast", c("io").alias("direct_io"), c("state").alias("state_machine"), "prs", "notes", said_lines().alias("said"),
     )
 
 
@@ -269,6 +283,7 @@ def security_findings(ranked: DataFrame) -> DataFrame:
     return _plain(
         ranked.where(c("rank") <= rules.TOP["security_findings"]), 1, c("rank"), id=F.concat(F.lit("security:"), place), kind="security", file=place, line=c("line"),
         priority=by("P0", "P1", "P2"), score=by(90, 60, 40), evidence=F.array("kind", "snippet"), why="why.security", next="next.rotate",
+        said=F.array(message("ev.secret", kind=c("kind"), snippet=c("snippet"))),
     )
 
 
@@ -281,6 +296,7 @@ def duplication_findings(ranked: DataFrame) -> DataFrame:
         first, 2, c("rank"), id=F.concat(F.lit("dup:"), c("fingerprint")), kind="duplication", priority="P2", score=F.lit(50), file=F.get("files", F.lit(0)),
         blast=F.when(F.size("files") >= 3, "medium").otherwise("low"), why="why.duplication", next="next.dedupe",
         evidence=F.array(F.format_string("%d× · %d lines", "occurrences", "line_count"), F.array_join("files", ", ")),
+        said=F.array(message("ev.copies", n=c("occurrences"), lines=c("line_count")), message("ev.files", files=F.array_join("files", ", "))),
     )
 
 
@@ -289,7 +305,7 @@ def unused_findings(unused: DataFrame) -> DataFrame:
     rows = unused.groupBy("project").agg(F.count("*").alias("n"), F.min(F.struct("path", "ord", "pos", "line")).alias("first"))
     return _plain(
         rows, 3, F.lit(1), id="unused:all", kind="unused", score=F.lit(20), file=c("first.path"), line=c("first.line"), evidence=F.array(F.format_string("%d unused imports", "n")),
-        why="why.unused", next="next.lint",
+        why="why.unused", next="next.lint", said=F.array(message("ev.unused", n=c("n"))),
     )
 
 
@@ -298,6 +314,7 @@ def noise_findings(ignored: DataFrame) -> DataFrame:
     return _plain(
         ignored, 4, c("rank"), id=F.concat(F.lit("noise:"), c("path")), kind="noise", category="noise", file=c("path"), why="find.noiseNote",
         evidence=F.array(F.concat(c("lines").cast("string"), F.lit(" lines")), F.coalesce("noise_reason", F.lit("noise"))),
+        said=F.array(message("ev.lines", lines=c("lines")), message("ev.reason", reason=F.coalesce("noise_reason", F.lit("noise")))),
     )
 
 

@@ -20,7 +20,10 @@ def _of(analysis: dict[str, DataFrame], name: str, project: str, order: str | No
 def _finding(f, say: Say) -> list[str]:
     out = [f"### [{f.priority}][confidence: {f.confidence}] {say('ftitle.' + f.kind)} — `{f.file}` _({f.runtime})_"]
     out.append(f"_risk {f.score}/100 · reach {f.blast} · I/O {'yes' if f.direct_io else 'no'} · state machine {'yes' if f.state_machine else 'no'}_")
-    out += [f"- {e}" for e in f.evidence] + [f"**Why:** {say(f.why)}"] * bool(f.why) + [f"**Next:** {say(f.next)}"] * bool(f.next)
+    values = {m["key"]: m["values"] for m in f.said}
+    given = {"lines": values.get("ev.lines", {}).get("lines", ""), "len": values.get("ev.longest", {}).get("len", ""), "n": len(f.said)}
+    given["resp"] = ", ".join(say(m["values"]["resp"]) for m in f.said if m["key"] == "ev.found")
+    out += [f"- {say(m['key'], **m['values'])}" for m in f.said] + [f"**Why:** {say(f.why, **given)}"] * bool(f.why) + [f"**Next:** {say(f.next, **given)}"] * bool(f.next)
     out += [f"- `{s.path}` — {say(s.note)}" for s in f.refactor] + [f"{n}. {say(p)}" for n, p in enumerate(f.prs, 1)]
     return [*out, ""]
 
@@ -44,12 +47,22 @@ def _history(analysis: dict[str, DataFrame], project: str, say: Say) -> list[str
     return out
 
 
+def _named(text: str, say: Say) -> str:
+    """A text that begins with a kind of finding, the kind put in words."""
+    kind, dash, rest = text.partition(" — ")
+    return f"{say('ftitle.' + kind)}{dash}{rest}" if dash else say(text)
+
+
+def _primary(b, say: Say) -> str:
+    return _named(b.primary, say)
+
+
 def _brief(analysis: dict[str, DataFrame], project: str, say: Say) -> list[str]:
     rows = _of(analysis, "brief", project)
     if not rows:
         return []
     b = rows[0]
-    out = ["## Review brief", f"**Primary risk:** {b.primary}", "", "**Order of inspection:**"]
+    out = ["## Review brief", f"**Primary risk:** {_primary(b, say)}", "", "**Order of inspection:**"]
     out += [f"{n}. `{i.file}` — {say('ftitle.' + i.reason)} — {i.priority} — {i.confidence}" for n, i in enumerate(b.inspect, 1)]
     if b.doubtful:
         out += ["", "**Likely false positives:**", *(f"- `{d.file}` — {say(d.why)}" for d in b.doubtful)]
@@ -63,7 +76,7 @@ def markdown(analysis: dict[str, DataFrame], project: str, say: Say | None = Non
     t = _of(analysis, "totals", project)[0]
     found = _of(analysis, "findings", project, "rank")
     of = lambda c: [f for f in found if f.category == c]
-    out = [f"# Health report — {project}", "", f"> Grade **{t.grade}** ({VERDICTS[t.grade]}) · **{t.project_score}/100**", "", "## Scores"]
+    out = [f"# Health report — {project}", "", f"> Grade **{t.grade}** ({VERDICTS[t.grade]}) · **{t.project_score}/100** — {say('blurb.' + t.grade)}", "", "## Scores"]
     names = ("project_score", "technical_debt", "architecture_health", "security_risk", "maintainability")
     out += table(["Metric", "Score"], [[n.replace("_", " ").capitalize(), t[n]] for n in names])
     out += ["", "## Overview", f"- Files: **{t.files:,}** · ignored: **{t.ignored:,}**", f"- Lines of code: **{t.code:,}** · functions: **{t.functions:,}** · average file: **{t.average_lines:.0f}** lines"]
@@ -115,12 +128,12 @@ def fix_prompt(analysis: dict[str, DataFrame], project: str, say: Say | None = N
     """Findings with evidence and steps, order of inspection and warnings as a task for whoever mends the project."""
     say = say or speaker()
     b = _of(analysis, "brief", project)[0]
-    out = [summary(analysis, project), "", f"Primary risk: {b.primary}", "", "Inspect in this order:"]
+    out = [summary(analysis, project), "", f"Primary risk: {_primary(b, say)}", "", "Inspect in this order:"]
     out += [f"{n}. [{i.priority}] {i.file} — {say('ftitle.' + i.reason)} ({i.confidence})" for n, i in enumerate(b.inspect, 1)]
     out += ["", "Findings:", "", *(x for f in _of(analysis, "findings", project, "rank") if f.category == "actionable" for x in _finding(f, say))]
     out += ["Likely false positives:", *(f"- {d.file}: {say(d.why)}" for d in b.doubtful), "", "Ignored:", *(f"- {x}" for x in b.ignored)]
     for n, p in enumerate(b.prs, 1):
-        out += ["", f"Pull request {n}: {p.scope} — {say(p.why)}", *(f"- {x}" for x in p.files)]
+        out += ["", f"Pull request {n}: {_named(p.scope, say)} — {say(p.why)}", *(f"- {x}" for x in p.files)]
     return "\n".join([*out, "", *map(say, b.warnings), ""])
 
 

@@ -12,6 +12,7 @@ from . import rules
 from .functions import text as t
 from .operators import duplication, evidence, files, functions, git, graph, imports, secrets
 from .plans import findings, history, scoring
+from .scratch import stored
 from .sources import tables
 
 NOW = 1_700_000_000
@@ -92,7 +93,7 @@ def gitlog_parse(spark, d):
     change = line.select(at.alias("line_no"), F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.format_string("src/{old => new}/%d.rs", F.col("l_partkey"))).alias("value"))
     binary = line.select((at + 1).alias("line_no"), F.lit("-\t-\tlogo.png").alias("value"))
     log = head.unionByName(change).unionByName(binary).withColumn("project", F.pmod(F.floor(F.col("line_no") / 100), F.lit(16)).cast("string"))
-    parsed = git.parsed_log(log)
+    parsed = stored(git.parsed_log(log), "parsed-log")
     n = git.changes_of(parsed).groupBy("project", "commit").agg(F.count_if(F.rlike("path", F.lit(r"^src/new/\d+\.rs$"))).alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
     rows = git.commits_of(parsed).join(n, ["project", "commit"], "left").fillna(0)
     return rows.select(F.expr("commit div 100").alias("id"), "author", "files", "additions", "deletions")
@@ -217,9 +218,14 @@ g AS (SELECT *, count(*) OVER (PARTITION BY project, fp) AS occurrences, row_num
 
 @query(DUPLICATES + "SELECT project, count(*)::BIGINT AS windows, count(DISTINCT fp)::BIGINT AS different, count(*) FILTER (occurrences > 1)::BIGINT AS repeated FROM g GROUP BY 1")
 def dup_windows(spark, d):
-    w = duplication.windows(duplication.normal_lines(tables.documents(spark, d)))
-    again = duplication.repeated(w).groupBy("project").agg(F.count("*").alias("repeated"))
-    return w.groupBy("project").agg(F.count("*").alias("windows"), F.countDistinct("fp").alias("different")).join(again, "project", "left").fillna(0)
+    lines = stored(duplication.normal_lines(tables.documents(spark, d)), "normal-lines")
+    w = duplication.windows(lines)
+    like = stored(duplication.confirmed(duplication.suspected(w), lines), "confirmed")
+    again = duplication.repeated(like).groupBy("project").agg(F.count("*").alias("repeated"))
+    # A window without a like has a text of its own.
+    texts = like.groupBy("project").agg((F.count("*") - F.countDistinct("fp")).alias("less"))
+    rows = w.groupBy("project").agg(F.count("*").alias("windows")).join(again, "project", "left").join(texts, "project", "left").fillna(0)
+    return rows.select("project", "windows", (F.col("windows") - F.col("less")).alias("different"), "repeated")
 
 
 @query(DUPLICATES + """, m AS (SELECT DISTINCT project, path, unnest(range(start, start + 6)) AS pos FROM g WHERE occurrences > 1 AND nth > 1),
@@ -229,7 +235,8 @@ SELECT project, coalesce(masked, 0) AS masked, round(least(1.0, coalesce(masked,
 def dup_ratio(spark, d):
     docs = tables.documents(spark, d)
     code = files.with_line_counts(docs).groupBy("project").agg(F.sum("code").alias("code"))
-    again = duplication.repeated(duplication.windows(duplication.normal_lines(docs)))
+    lines = stored(duplication.normal_lines(docs), "normal-lines")
+    again = duplication.repeated(duplication.windows(lines), lines)
     return duplication.duplicate_ratio(again, code).withColumn("ratio", F.round("ratio", 9))
 
 
@@ -240,8 +247,8 @@ SELECT project, line_count::BIGINT AS line_count, occurrences::BIGINT AS occurre
        row_number() OVER (PARTITION BY project ORDER BY occurrences * line_count DESC, path, start)::INTEGER AS rank
 FROM b JOIN p USING (project, path, run) WHERE files >= 2 OR line_count >= 12 QUALIFY rank <= 20""")
 def dup_blocks(spark, d):
-    again = duplication.repeated(duplication.windows(duplication.normal_lines(tables.documents(spark, d))))
-    rows = duplication.blocks(again)
+    lines = stored(duplication.normal_lines(tables.documents(spark, d)), "normal-lines")
+    rows = duplication.blocks(duplication.repeated(duplication.windows(lines), lines))
     return rows.select("project", F.col("line_count").cast("long").alias("line_count"), "occurrences", F.size("files").cast("long").alias("files"), "fingerprint", "rank")
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .more_queries import NOW, ORDERS, _by, _orders, num
+from . import rules
+from .functions import text as t
 from .functions.tokens import ROLES
-from .operators import evidence, files, functions, git
+from .more_queries import FOREIGN, NOW, ORDERS, _by, _orders, _sized, num
+from .operators import evidence, files, functions, git, imports
+from .plans import findings, wording
 from .queries import CHANGES, _values, query
 from .sources import tables, tree
 
@@ -72,8 +75,7 @@ b AS (SELECT shape, kind, place, arg_min(evidence || ':' || label, n) AS best FR
 """
 
 
-@query(ROLE_SQL + f"""SELECT k, coalesce(string_agg(kind || ':' || best || ':' || (2 + k % 3), ' ' ORDER BY place), '') AS does FROM o LEFT JOIN b ON shape = k % {len(ROLES)} GROUP BY k""")
-def responsibilities_of_tokens(spark, d):
+def _token_files(spark, d):
     """A file for each order that holds the token of one role in code and that of the next in a comment."""
     role, next_ = num() % len(ROLES), (num() + 1) % len(ROLES)
     script = _by(role, [not k.startswith("fivem_") for k, *_ in ROLES])
@@ -81,6 +83,59 @@ def responsibilities_of_tokens(spark, d):
     comment = F.concat(F.when(script, "// ").otherwise("-- "), _by(next_, tokens), F.lit("\n"))
     content = F.concat(comment, F.repeat(F.lit("\n"), (num() % 3).cast("int")), F.lit("  "), _by(role, tokens), F.lit(" \n"))
     path = F.concat(F.lit("x/f"), num().cast("string"), F.when(script, ".ts").otherwise(".lua"))
-    rows = evidence.classified(files.as_files(_orders(spark, d).select("project", path.alias("path"), content.alias("content"))))
+    return _orders(spark, d).select("project", path.alias("path"), content.alias("content"))
+
+
+@query(ROLE_SQL + f"""SELECT k, coalesce(string_agg(kind || ':' || best || ':' || (2 + k % 3), ' ' ORDER BY place), '') AS does FROM o LEFT JOIN b ON shape = k % {len(ROLES)} GROUP BY k""")
+def responsibilities_of_tokens(spark, d):
+    rows = evidence.classified(files.as_files(_token_files(spark, d)))
     one = lambda r: F.concat_ws(":", r["kind"], r["evidence"], r["label"], r["line"].cast("string"))
     return rows.select(F.regexp_extract("path", r"f(\d+)\.", 1).cast("long").alias("k"), F.array_join(F.transform("responsibilities", one), " ").alias("does"))
+
+
+FORMAT_SQL = ORDERS + """, n AS (SELECT k, k * k * 37 % 5000000000 AS n, 1577836800 + k * 9001 AS since, k * k % 900000 AS ago FROM o),
+v AS (SELECT *, CASE WHEN n < 1024 THEN NULL WHEN n < 1048576 THEN n / 1024.0::DOUBLE WHEN n < 1073741824 THEN n / 1048576.0::DOUBLE ELSE n / 1073741824.0::DOUBLE END AS v,
+  CASE WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END AS unit FROM n)
+"""
+
+
+@query(FORMAT_SQL + r"""SELECT k, CASE WHEN v IS NULL THEN n || ' B' WHEN v >= 100 THEN floor(v + 0.5)::BIGINT || unit ELSE printf('%.1f', floor(v * 10 + 0.5) / 10) || unit END AS bytes,
+CASE WHEN ago < 60 THEN 'just now' WHEN ago < 3600 THEN ago // 60 || 'm ago' WHEN ago < 86400 THEN ago // 3600 || 'h ago' WHEN ago < 604800 THEN ago // 86400 || 'd ago' ELSE strftime(make_timestamp(since * 1000000), '%b %d, %Y, %I:%M %p') END AS ago,
+strftime(make_timestamp(since * 1000000), '%b %d, %Y, %I:%M %p') AS date, 'CASE-' || strftime(make_timestamp(since * 1000000), '%Y') || '-' || CASE WHEN k < 10000 THEN lpad(k::VARCHAR, 4, '0') ELSE k::VARCHAR END AS number,
+n::VARCHAR AS plain FROM v""")
+def formats_of_orders(spark, d):
+    """Sizes, ages, dates and numbers of reports, from the keys of orders."""
+    n, at, ago = num() * num() * 37 % 5_000_000_000, F.lit(1_577_836_800) + num() * 9001, num() * num() % 900_000
+    rows = _orders(spark, d).select("k", t.bytes_text(n).alias("bytes"), t.time_ago(ago, at).alias("ago"), t.date_text(at).alias("date"), t.case_number("CASE", at, num()).alias("number"), t.number(n).alias("n"))
+    return rows.select("k", "bytes", "ago", "date", "number", F.replace("n", F.lit(","), F.lit("")).alias("plain"))
+
+
+@query(ORDERS + FOREIGN + """SELECT project, path, lines || ' Zeilen' AS first, 'Left out as generated' AS second FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY lines DESC, path) AS rank FROM f WHERE noise) WHERE rank <= 8""")
+def worded_noise(spark, d):
+    """Messages worded by a dictionary that has one of their keys."""
+    rows = _sized(spark, d)
+    ignored = files.top_of_project(rows.where("noise_reason is not null"), rules.TOP["ignored"], F.col("lines").desc(), F.col("path"))
+    found = findings.noise_findings(ignored).withColumn("text", wording.worded(F.col("said"), {"ev.lines": "{lines} Zeilen"}))
+    return found.select("project", F.col("file").alias("path"), F.get("text", F.lit(0)).alias("first"), F.get("text", F.lit(1)).alias("second"))
+
+
+@query(ROLE_SQL + f"""SELECT k, coalesce(string_agg('seen ' || evidence || ' ' || label, '; ' ORDER BY place), '') AS said
+FROM o LEFT JOIN (SELECT shape, place, split_part(best, ':', 1) AS evidence, split_part(best, ':', 2) AS label FROM b) ON shape = k % {len(ROLES)} GROUP BY k""")
+def worded_evidence(spark, d):
+    """What files do, in words of a dictionary for all of it."""
+    rows = evidence.classified(files.as_files(_token_files(spark, d)))
+    said = F.transform("responsibilities", lambda r: wording.message("ev.found", resp=F.concat(F.lit("resp."), r["label"]), how=F.concat(F.lit("ev."), r["evidence"])))
+    words = {"ev.found": "seen {how} {resp}"} | {f"ev.{e}": e for e in ("direct", "indirect", "supporting")} | {f"resp.{label}": label for *_, label, _ in ROLES}
+    return rows.select(F.regexp_extract("path", r"f(\d+)\.", 1).cast("long").alias("k"), F.array_join(wording.worded(said, words), "; ").alias("said"))
+
+
+LUA_SQL = ORDERS + """, f AS (SELECT project, k, 'm/' || CASE WHEN k % 3 = 0 THEN 'd' || k || '/init.lua' ELSE 'd' || k || '.lua' END AS path FROM o)"""
+
+
+@query(LUA_SQL + " SELECT f.project, f.path AS src, g.path AS dst FROM f JOIN f g ON g.project = f.project AND g.k = f.k - 1")
+def resolved_lua_imports(spark, d):
+    """Modules by dotted names, as files of their own or as folders."""
+    name = F.concat(F.lit("m/d"), num().cast("string"), F.when(num() % 3 == 0, "/init.lua").otherwise(".lua"))
+    content = F.concat(F.lit("local x = require('m.d"), (num() - 1).cast("string"), F.lit("')\nrequire 'none.such'\n"))
+    rows = files.as_files(_orders(spark, d).select("project", name.alias("path"), content.alias("content")))
+    return imports.resolved_imports(imports.imports(rows), rows).select("project", "src", "dst")

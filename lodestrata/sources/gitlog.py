@@ -1,4 +1,8 @@
-"""Version-control logs as a data source: ``spark.read.format("gitlog").option("path", repo)``."""
+"""Version-control logs as a data source: ``spark.read.format("gitlog").option("path", repo)``.
+
+``spark.readStream`` gives the commits since the last batch; offsets are the commits
+that repositories were at.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .. import rules
 
@@ -24,7 +28,20 @@ class GitLog(DataSource):
         return "project string, line_no bigint, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options["path"].split(",") if p], int(self.options.get("commits", rules.TOP["commits"])))
+        return _Reader(self._paths(), self._commits())
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self._paths(), self._commits())
+
+    def _paths(self) -> list[str]:
+        return [p for p in self.options["path"].split(",") if p]
+
+    def _commits(self) -> int:
+        return int(self.options.get("commits", rules.TOP["commits"]))
+
+
+def _git(path: str, *arguments: str) -> str:
+    return subprocess.run(["git", "-C", path, *arguments], capture_output=True, text=True, errors="replace", check=True).stdout
 
 
 class _Reader(DataSourceReader):
@@ -35,14 +52,11 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        def git(*arguments: str) -> str:
-            return subprocess.run(["git", "-C", partition.value, *arguments], capture_output=True, text=True, errors="replace", check=True).stdout
-
         reason = "not a git work tree"
         try:
-            if git("rev-parse", "--is-inside-work-tree").strip() == "true":
+            if _git(partition.value, "rev-parse", "--is-inside-work-tree").strip() == "true":
                 reason = "git log failed"
-                log = git("log", "--no-merges", FORMAT, "--numstat", "-n", str(self.commits), "--", ".")
+                log = _git(partition.value, "log", "--no-merges", FORMAT, "--numstat", "-n", str(self.commits), "--", ".")
                 for n, line in enumerate(log.split("\n") if log.strip() else [], 1):
                     yield partition.value, n, line
                 reason = None if log.strip() else "no commits found"
@@ -54,6 +68,36 @@ class _Reader(DataSourceReader):
             yield partition.value, 0, reason  # line 0 tells why there is no log
 
 
+class _StreamReader(DataSourceStreamReader):
+    """Commits between the heads of two offsets, {path: head}; a path without commits has an empty head."""
+
+    def __init__(self, paths: list[str], commits: int):
+        self.paths, self.commits = paths, commits
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.paths, "")
+
+    def latestOffset(self) -> dict:
+        return {p: self._head(p) for p in self.paths}
+
+    @staticmethod
+    def _head(path: str) -> str:
+        try:
+            return _git(path, "rev-parse", "--verify", "--quiet", "HEAD").strip()
+        except (OSError, subprocess.CalledProcessError):
+            return ""
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition((p, start.get(p, ""), head)) for p, head in end.items() if head and head != start.get(p, "")]
+
+    def read(self, partition):
+        path, before, head = partition.value
+        # The newest of the new ones; a head that was rewritten is left out of what is walked, not an error.
+        log = _git(path, "log", "--no-merges", FORMAT, "--numstat", "-n", str(self.commits), head, *([f"^{before}"] if before else []), "--", ".")
+        for n, line in enumerate(log.split("\n") if log.strip() else [], 1):
+            yield path, n, line
+
+
 def captured_log(spark: SparkSession, path: str, project: str) -> DataFrame:
     """A log that was saved as one text file, read in parts; ``line_no`` grows with the place in the file.
 

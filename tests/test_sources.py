@@ -136,3 +136,33 @@ def test_history_of_all_that_exists(spark, tmp_path):
     files, _ = tree.scan(load("sourcetree"))
     out = analyse(files, log, now=10, inventory=listed)
     assert {x.path for x in out["git_files"].collect()} == {"Dockerfile", "img/a.png", "big.ts", "link", "src/a.ts"}
+
+
+def test_a_log_that_grows(spark, tmp_path):
+    """Two runs over a growing repository give what one run over all of it gives; the newest commits are kept."""
+    from lodestrata.streaming import history
+
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=Ann", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+
+    def commit(n):
+        write(repo, f"f{n % 3}.py", f"x = {n}\n" * n)
+        run("add", ".")
+        run("commit", "-m", str(n), "--date", f"2024-01-0{n}T00:00:00Z")
+
+    run("init")
+    spark.dataSource.register(gitlog.GitLog)
+    none = str(tmp_path / "none")
+    for first, last in ((1, 3), (4, 5), (6, 5)):  # the last batch has nothing new
+        for n in range(first, last + 1):
+            commit(n)
+        stream = spark.readStream.format("gitlog").option("path", f"{repo},{none}").load()
+        history.keep_log(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    key = lambda rows: sorted((r.author or "", r.ts or 0, r.path or "", r.additions or 0, r.deletions or 0) for r in rows)
+    for n in (4, 100):
+        whole = git.parsed_log(spark.read.format("gitlog").option("path", str(repo)).option("commits", n).load())
+        kept = history.newest_log(spark, str(tmp_path / "out"), n)
+        assert key(kept.collect()) == key(whole.collect())
+        assert git.totals(git.commits_of(kept)).first().commits == min(n, 5)
+    assert [r.commit for r in git.commits_of(history.newest_log(spark, str(tmp_path / "out"), 2)).orderBy("ts").collect()] == [2, 1]
