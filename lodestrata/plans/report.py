@@ -54,7 +54,8 @@ def _named(text: str, say: Say) -> str:
 
 
 def _primary(b, say: Say) -> str:
-    return _named(b.primary, say)
+    """Kind and file of the first finding to inspect, or that there is none."""
+    return b.primary if b.inspect else say(b.primary)
 
 
 def _brief(analysis: dict[str, DataFrame], project: str, say: Say) -> list[str]:

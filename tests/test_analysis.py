@@ -231,3 +231,27 @@ def test_severity_counts_all_kinds(spark, tmp_path):
     assert (row.high, row.medium, row.low, row.total) == (3, 2, 0, 5)
     row = queries.secrets_assigned(spark, str(tmp_path)).first()
     assert row.random + row.plain == 2
+
+
+def test_findings_show_words_and_no_keys(spark):
+    """A server by direct and indirect evidence, line by line; then with a dictionary that takes values."""
+    resp = "array<struct<kind:string,evidence:string,label:string,token:string,line:int,snippet:string>>"
+    ddl = f"project string, path string, ext string, language string, noise_reason string, lines int, file_type string, runtime string, responsibilities {resp}, fan_in int, longest int, longest_name string, longest_line int, long_functions int, symbol string, symbol_line int"
+    seen = [("websocket", "direct", "ws_server", "new WebSocketServer", 3, "new WebSocketServer({"), ("http_server", "direct", "http_listen", "createServer(", 9, ""), ("chat", "indirect", "chat_consumer", "chatMessages", 0, "x")]
+    rows = [("p", "server/index.ts", "ts", "TypeScript", None, 900, "node_server", "server", seen, 4, 200, "handle", 20, 3, "index", 5), ("p", "lib/large.rs", "rs", "Rust", None, 1200, "other", "shared", [], 0, 10, "f", 1, 0, "", 0)]
+    found = findings.findings([findings.file_findings(spark.createDataFrame(rows, ddl))], findings.noise_findings(spark.createDataFrame([("p", "a.min.js", 7, "generated", 1)], "project string, path string, lines int, noise_reason string, rank int")), spark.createDataFrame([("p", ["npm run build"])], "project string, commands array<string>"))
+    rows = {r.file: r for r in found.collect()}
+    shown = report._finding(rows["server/index.ts:5"], wording.speaker())
+    assert shown[2:7] == [
+        "- 900 lines", "- index begins on line 5", "- handle():20 takes 200 lines", "- serves web sockets, seen at work (new WebSocketServer):3 — `new WebSocketServer({`", "- listens for requests, seen at work (createServer():9",
+    ]
+    assert shown[7] == "- shows messages, used through others (chatMessages) — `x`" and shown[-2].endswith("Check it with npm run build")
+    import re
+
+    for r in rows.values():
+        text = "\n".join(report._finding(r, wording.speaker()))
+        assert not re.search(r"\b(resp|ev|rstep|pr|why|next|ftitle|vrf|find)\.[a-z]", text), text
+    german = wording.speaker({"why.node_server": "{lines} Zeilen, {len} am Stück, {resp}", "resp.ws_server": "Sockets"})
+    assert "**Why:** 900 Zeilen, 200 am Stück, Sockets, listens for requests, shows messages" in report._finding(rows["server/index.ts:5"], german)
+    words = {r.file: r.w for r in found.select("file", wording.worded(F.col("said")).alias("w")).collect()}
+    assert words["a.min.js"] == ["7 lines", "Left out as generated"] and [f"- {w}" for w in words["server/index.ts:5"]] == shown[2:8]
