@@ -39,24 +39,37 @@ def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, ["h1", "h2"], "full").select("h1", "h2", docs.alias("docs"), F.greatest("last", "later").alias("last"), fresh.alias("fresh"))
 
 
+RUN = "h1 BIGINT, h2 BIGINT, docs BIGINT, last BIGINT, fresh BOOLEAN"
+LISTED = "level int, path string, buckets int, fanout int"
+
+
 class LineRuns:
-    """Runs of (h1, h2, docs, last, fresh): hash, documents with the line, largest doc_id among them, and whether no older run has the key."""
+    """Runs of (h1, h2, docs, last, fresh): hash, documents with the line, largest doc_id among them, and whether no older run has the key.
+
+    Runs are files in the shared folder. ``save`` writes a list of them, with which
+    ``opened`` goes on another day, in another session: a later batch meets them then.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.names: list[str] = []
+        self.levels: list[list[str]] = [[]]  # names of tables
+        self.paths: dict[str, str] = {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _run(self, rows: DataFrame) -> DataFrame:
+    def _named(self, path: str | None = None) -> str:
+        name = f"line_run_{uuid.uuid4().hex[:12]}"
+        self.paths[name] = path or shared_path(self.spark, name)
+        return name
+
+    def _run(self, rows: DataFrame) -> str:
         """Writes a sorted run; the rows are clustered by the hash already, so each bucket is one file."""
-        self.names.append(name := f"line_run_{uuid.uuid4().hex[:12]}")
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", shared_path(self.spark, name)).format("parquet").saveAsTable(name)
-        return self.spark.table(name)
+        name = self._named()
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).format("parquet").saveAsTable(name)
+        return name
 
     @property
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Adds a batch of (doc_id, h1, h2); returns what of it no run had before."""
@@ -67,12 +80,12 @@ class LineRuns:
             counted = counted.join(run.where("fresh").select("h1", "h2", F.lit(1).alias(f"run_{n}")), ["h1", "h2"], "left")
             fresh &= F.col(f"run_{n}").isNull()
         self.levels[0].append(new := self._run(counted.select("h1", "h2", "docs", "last", fresh.alias("fresh"))))
-        return new.where("fresh").select("h1", "h2", "docs", "last")
+        return self.spark.table(new).where("fresh").select("h1", "h2", "docs", "last")
 
     def _compact(self) -> None:
         for n in range(len(self.levels)):
             if len(self.levels[n]) >= self.fanout:
-                merged = reduce(_merged, self.levels[n])
+                merged = reduce(_merged, map(self.spark.table, self.levels[n]))
                 self.levels[n] = []
                 if n + 1 == len(self.levels):
                     self.levels.append([])
@@ -82,11 +95,27 @@ class LineRuns:
         """(h1, h2, docs, last) over all that was ingested."""
         return reduce(_merged, self.runs).select("h1", "h2", "docs", "last")
 
+    def save(self, path: str) -> None:
+        """Writes a list of the runs, by which ``opened`` finds their files."""
+        rows = [(level, self.paths[name], self.buckets, self.fanout) for level, names in enumerate(self.levels) for name in names]
+        self.spark.createDataFrame(rows, LISTED).coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str) -> LineRuns:
+        """The runs of such a list, under new names in this session's catalog."""
+        rows = spark.read.schema(LISTED).json(path).orderBy("level", "path").collect()
+        out = cls(spark)
+        for r in rows:
+            out.buckets, out.fanout = r["buckets"], r["fanout"]
+            out.levels += [[] for _ in range(len(out.levels), r["level"] + 1)]
+            out.levels[r["level"]].append(name := out._named(r["path"]))
+            spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {r['buckets']} BUCKETS LOCATION '{r['path']}'")
+        return out
+
     def close(self) -> None:
         """Takes the runs out of the catalog; their files stay in the shared folder."""
-        for name in self.names:
+        for name in self.paths:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.names = []
 
 
 def long_lines(docs: DataFrame, min_length: int, batches: int) -> DataFrame:
@@ -128,11 +157,13 @@ def drop_common_lines(docs: DataFrame, min_length: int = 40, min_docs: int = 5,
     lines = spark.read.schema("doc_id long, t1 long, t2 long, h1 long, h2 long, pos int, first boolean, batch int").parquet(path)
 
     runs = LineRuns(spark, fanout)
-    for n in range(batches):
-        runs.ingest(lines.where((F.col("batch") == n) & F.col("first")))
-    # Common lines are few; where they are not, the join shuffles and a very common line's rows can be split.
-    common = broadcast_if_small(stored(runs.totals().where(F.col("docs") >= min_docs), "common-lines"), 100_000)
-    runs.close()
+    try:
+        for n in range(batches):
+            runs.ingest(lines.where((F.col("batch") == n) & F.col("first")))
+        # Common lines are few; where they are not, the join shuffles and a very common line's rows can be split.
+        common = broadcast_if_small(stored(runs.totals().where(F.col("docs") >= min_docs), "common-lines"), 100_000)
+    finally:
+        runs.close()
     drops = lines.join(common, ["h1", "h2"]).where("last is not null and not (doc_id <=> last)").groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
 
     rest = [c for c in docs.columns if c not in ADDED and c != "text"]

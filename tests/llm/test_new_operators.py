@@ -301,3 +301,25 @@ def test_stages_keep_columns_of_any_name(spark, folder):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns
         assert all(x[4] == "x" for x in out.collect())
+
+
+def test_line_runs_go_on_another_day(spark, tmp_path):
+    """Runs that were saved, closed and opened again meet later batches as if nothing had happened."""
+    from lodestrata.llm.line_dedup import LineRuns
+
+    r = np.random.default_rng(4)
+    batches = [spark.createDataFrame([(int(d), int(h), int(h) + 1) for d, h in r.integers(0, 90, (120, 2))], "doc_id long, h1 long, h2 long") for _ in range(5)]
+    whole, fresh = LineRuns(spark, 2), []
+    for b in batches:
+        fresh.append(sorted(map(tuple, whole.ingest(b).collect())))
+    want = sorted(map(tuple, whole.totals().collect()))
+    whole.close()
+    runs = LineRuns(spark, 2)
+    for n, b in enumerate(batches):
+        if n in (1, 3):
+            runs.save(path := (tmp_path / str(n)).as_uri())
+            runs.close()
+            runs = LineRuns.opened(spark, path)
+        assert sorted(map(tuple, runs.ingest(b).collect())) == fresh[n]
+    assert sorted(map(tuple, runs.totals().collect())) == want and len(runs.levels) > 1
+    runs.close()
