@@ -139,3 +139,66 @@ def resolved_lua_imports(spark, d):
     content = F.concat(F.lit("local x = require('m.d"), (num() - 1).cast("string"), F.lit("')\nrequire 'none.such'\n"))
     rows = files.as_files(_orders(spark, d).select("project", name.alias("path"), content.alias("content")))
     return imports.resolved_imports(imports.imports(rows), rows).select("project", "src", "dst")
+
+
+LANGUAGE_SQL = ORDERS + """, n AS (SELECT *, k % 7 AS n, k % 5 AS shape FROM o)"""
+
+
+@query(LANGUAGE_SQL + """SELECT k, 'f' || k AS name, CASE shape WHEN 3 THEN 1 ELSE 0 END AS start, CASE shape WHEN 0 THEN 2 + 2 * n WHEN 1 THEN 3 + 2 * n WHEN 2 THEN 2 + n WHEN 3 THEN 3 + n ELSE 2 + 2 * n END AS length,
+CASE shape WHEN 2 THEN 1 ELSE 1 + 2 * n END AS complexity FROM n""")
+def functions_of_languages(spark, d):
+    """A function for each order in Python, Lua, TypeScript, Java or Go: by indentation, keywords, expression and braces, with comments and literals that count for nothing."""
+    many = lambda text: F.repeat(F.lit(text), (num() % 7).cast("int"))
+    named = lambda before, after: F.concat(F.lit(before), num().cast("string"), F.lit(after))
+    bodies = [
+        F.concat(named("def f", "(a):\n"), many("    if a and b:\n        c('if')\n"), F.lit("    return 1\n\n# if\nx = 1\n")),
+        F.concat(named("local function f", "(a)\n"), many("  if a then b() end\n  for i = 1, 2 do c('end') end\n"), F.lit("  -- end if\nend\nlocal x = 1\n")),
+        F.concat(named("const f", " = (x) =>\n  x"), many("\n    .map((y) => y)"), F.lit(";\nlet z;\n")),
+        F.concat(F.lit("class A {\n"), named("  public int f", "(int x) {\n"), many("    if (x > 1 || x < 0) { return 1; } // if\n"), F.lit("    return 2;\n  }\n}\n")),
+        F.concat(named("func f", "() {\n"), many('  for a && b {\n  } // for\n'), F.lit("}\n")),
+    ]
+    path = F.concat(F.lit("f"), num().cast("string"), F.lit("."), _by(num() % 5, ["py", "lua", "ts", "java", "go"]))
+    rows = functions.functions(files.as_files(_orders(spark, d).select("project", path.alias("path"), _by(num() % 5, bodies).alias("content"))))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k"), "name", whole("start"), whole("length"), whole("complexity"))
+
+
+SCRIPTS = ["typecheck", "type-check", "tsc", "build", "lint", "test"]
+SCRIPT_SQL = ORDERS + """, b AS (SELECT k, list_filter(['typecheck', 'type-check', 'tsc', 'build', 'lint', 'test'], lambda x, i: (k >> (i - 1)) % 2 = 1) AS s FROM o),
+c AS (SELECT k, s, list_filter([list_filter(['typecheck', 'type-check', 'tsc'], lambda x: list_contains(s, x))[1], CASE WHEN list_contains(s, 'build') THEN 'build' END], lambda x: x IS NOT NULL) AS main,
+  list_filter(['lint', 'test'], lambda x: list_contains(s, x)) AS rest FROM b)"""
+
+
+@query(SCRIPT_SQL + """SELECT k, array_to_string(list_transform(CASE WHEN len(main) > 0 THEN main WHEN len(rest) > 0 THEN rest ELSE ['build'] END, lambda x: 'npm run ' || x), ' && ') AS commands FROM c""")
+def commands_of_packages(spark, d):
+    """A package file for each order, with the scripts that the bits of its key name, and one further down that does not count."""
+    scripts = F.array_join(F.array_compact(F.array(*(F.when(F.shiftright(num(), i) % 2 == 1, F.lit(f'"{x}": "x"')) for i, x in enumerate(SCRIPTS)))), ", ")
+    top = F.concat(F.lit('{"scripts": {'), scripts, F.lit("}}"))
+    project = F.concat(F.lit("p"), num().cast("string")).alias("project")
+    raw = _orders(spark, d).select(project, F.lit("package.json").alias("path"), top.alias("content")).unionByName(_orders(spark, d).select(project, F.lit("a/package.json").alias("path"), F.lit('{"scripts": {"tsc": "x"}}').alias("content")))
+    rows = imports.verify_commands(files.as_files(raw))
+    return rows.select(F.substring("project", 2, 20).cast("long").alias("k"), F.array_join("commands", " && ").alias("commands"))
+
+
+@query(ORDERS + """SELECT k, CASE k % 6 WHEN 0 THEN 'b' || k || ' c D' WHEN 1 THEN 'ns' || k WHEN 2 THEN 'T' || k WHEN 3 THEN 'b' || k || ' c' WHEN 4 THEN 'q' || k || ' os' ELSE '' END AS names,
+CASE k % 6 WHEN 4 THEN 'a.b as q' || k WHEN 3 THEN 'm' ELSE './x' END AS source, CASE WHEN k % 6 IN (3, 4) THEN 1 ELSE 1 + k % 3 END AS line, k % 6 NOT IN (3, 4) AS relative FROM o WHERE k % 6 <> 5""")
+def bindings_of_imports(spark, d):
+    """Names bound by six shapes of imports; the last binds none and is listed nowhere. In Python blank lines before an import belong to it."""
+    key = num().cast("string")
+    shapes = [
+        F.concat(F.lit("import D, { a as b"), key, F.lit(", c } from './x';")), F.concat(F.lit("import * as ns"), key, F.lit(" from \"./x\";")), F.concat(F.lit("import type { T"), key, F.lit(" } from './x';")),
+        F.concat(F.lit("from m import a as b"), key, F.lit(", c")), F.concat(F.lit("import a.b as q"), key, F.lit(", os.path")), F.lit("from m import *"),
+    ]
+    path = F.concat(F.lit("f"), key, F.when(num() % 6 < 3, ".ts").otherwise(".py"))
+    content = F.concat(F.repeat(F.lit("\n"), (num() % 3).cast("int")), _by(num() % 6, shapes))
+    rows = imports.imports(files.as_files(_orders(spark, d).select("project", path.alias("path"), content.alias("content"))))
+    first = rows.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "names"))), lambda x: x["names"])).alias("names"), F.min_by("source", "ord").alias("source"), F.min("line").alias("line"), F.min("relative").alias("relative"))
+    return first.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("k"), F.array_join("names", " ").alias("names"), "source", "line", "relative")
+
+
+@query(ORDERS + """SELECT k, concat_ws('/', CASE WHEN k % 5 < 3 THEN array_to_string(list_slice(['a', 'b' || c, 'd'], 1, 3 - k % 5), '/') END, 'x' || k) AS joined FROM o""")
+def joined_sources(spark, d):
+    """Sources that climb none to four folders from a file three folders deep, over empty and single dots."""
+    path = F.concat(F.lit("a/b"), F.col("c").cast("string"), F.lit("/d/f.ts"))
+    source = F.concat(F.lit("./"), F.repeat(F.lit("../"), (num() % 5).cast("int")), F.lit(".//x"), num().cast("string"))
+    return _orders(spark, d).select("k", imports.joined_path(path, source).alias("joined"))
