@@ -91,6 +91,11 @@ def top_of_project(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("project").orderBy(*order))).where(F.col("rank") <= n)
 
 
+def list_of_project(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The same with ``total``: how many rows the list was cut from."""
+    return top_of_project(rows, n, *order).join(rows.groupBy("project").agg(F.count("*").alias("total")), "project")
+
+
 def largest_files(counted: DataFrame, n: int = rules.TOP["largest"], noise: bool = False) -> DataFrame:
     rows = counted.where(F.col("noise_reason").isNotNull() if noise else F.col("noise_reason").isNull())
     return top_of_project(rows.select("project", "path", "lines"), n, F.col("lines").desc(), F.col("path"))

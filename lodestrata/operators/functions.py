@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.spans import functions_of
-from .files import top_of_project
+from .files import list_of_project
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -33,11 +33,11 @@ def longest_of_file(found: DataFrame) -> DataFrame:
 
 
 def long_functions(found: DataFrame, n: int = rules.TOP["long_functions"]) -> DataFrame:
-    return top_of_project(found.where(F.col("length") > rules.LONG_FUNCTION), n, F.col("length").desc(), F.col("path"), F.col("ord"))
+    return list_of_project(found.where(F.col("length") > rules.LONG_FUNCTION), n, F.col("length").desc(), F.col("path"), F.col("ord"))
 
 
 def complex_functions(found: DataFrame, n: int = rules.TOP["complex"]) -> DataFrame:
-    return top_of_project(found.where(F.col("complexity") >= rules.LISTED_CC), n, F.col("complexity").desc(), F.col("path"), F.col("ord"))
+    return list_of_project(found.where(F.col("complexity") >= rules.LISTED_CC), n, F.col("complexity").desc(), F.col("path"), F.col("ord"))
 
 
 def function_totals(found: DataFrame) -> DataFrame:

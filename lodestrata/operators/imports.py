@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as t
 from ..functions.views import imports_of
-from .files import top_of_project
+from .files import list_of_project, top_of_project
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -80,17 +80,17 @@ def fan_in(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def top_unused(unused: DataFrame, n: int = rules.TOP["unused"]) -> DataFrame:
     """The first unused names of each project."""
-    return top_of_project(unused, n, F.col("path"), F.col("ord"), F.col("pos"))
+    return list_of_project(unused, n, F.col("path"), F.col("ord"), F.col("pos"))
 
 
 def listed(edges: DataFrame, n: int = rules.TOP["dependencies"]) -> DataFrame:
     """The first dependencies of each project."""
-    return top_of_project(edges, n, F.col("src"), F.col("ord"), F.col("dst"))
+    return list_of_project(edges, n, F.col("src"), F.col("ord"), F.col("dst"))
 
 
 def top_imported(edges: DataFrame, n: int = rules.TOP["imported"], first: int = rules.TOP["dependencies"]) -> DataFrame:
     """The files that most of the first imports of a project name."""
-    counts = listed(edges, first).groupBy("project", F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
+    counts = top_of_project(edges, first, F.col("src"), F.col("ord"), F.col("dst")).groupBy("project", F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
     return top_of_project(counts, n, F.col("fan_in").desc(), F.col("path"))
 
 

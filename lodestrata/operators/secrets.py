@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as t
-from .files import top_of_project
+from .files import list_of_project
 
 REDACTED = "«redacted»"
 
@@ -64,4 +64,4 @@ def severity_counts(found: DataFrame) -> DataFrame:
 
 def top_secrets(found: DataFrame, n: int = rules.TOP["security"]) -> DataFrame:
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return top_of_project(found, n, rank, F.col("path"), F.col("line"))
+    return list_of_project(found, n, rank, F.col("path"), F.col("line"))

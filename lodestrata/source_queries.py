@@ -10,7 +10,7 @@ from .functions.tokens import ROLES
 from .more_queries import FOREIGN, NOW, ORDERS, _by, _orders, _sized, num
 from .operators import evidence, files, functions, git, imports
 from .plans import findings, wording
-from .queries import CHANGES, _values, query
+from .queries import CHANGES, FUNCTIONS, RENDERED, _values, query
 from .sources import tables, tree
 
 # Each customer's project has rules of its own; each order is a path, whose folder and name follow from its keys.
@@ -202,3 +202,19 @@ def joined_sources(spark, d):
     path = F.concat(F.lit("a/b"), F.col("c").cast("string"), F.lit("/d/f.ts"))
     source = F.concat(F.lit("./"), F.repeat(F.lit("../"), (num() % 5).cast("int")), F.lit(".//x"), num().cast("string"))
     return _orders(spark, d).select("k", imports.joined_path(path, source).alias("joined"))
+
+
+@query(RENDERED + FUNCTIONS + """ SELECT project, 'complex' AS list, least(count(*), 30)::BIGINT AS shown, count(*)::BIGINT AS total FROM f WHERE complexity >= 8 GROUP BY 1
+UNION ALL SELECT project, 'long', least(count(*), 30)::BIGINT, count(*)::BIGINT FROM f WHERE length > 50 GROUP BY 1
+UNION ALL SELECT project, 'unused', least(count(*), 60)::BIGINT, count(*)::BIGINT FROM r GROUP BY 1
+UNION ALL SELECT r.project, 'dependencies', least(count(*), 600)::BIGINT, count(*)::BIGINT FROM r JOIN r p ON p.project = r.project AND p.k = r.k - 1 GROUP BY 1""")
+def totals_of_lists(spark, d):
+    """Lists of a project say how many rows they were cut from."""
+    rows = tables.rendered(spark, d)
+    found = functions.functions(rows)
+    lists = {
+        "complex": functions.complex_functions(found), "long": functions.long_functions(found), "unused": imports.top_unused(imports.unused_imports(rows)),
+        "dependencies": imports.listed(imports.resolved_imports(imports.imports(rows), rows)),
+    }
+    parts = [x.groupBy("project").agg(F.lit(name).alias("list"), F.count("*").alias("shown"), F.max("total").alias("total")) for name, x in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("project", "list", "shown", "total")
