@@ -119,7 +119,7 @@ def test_ignored_folders_are_never_entered(spark, tmp_path):
 
 def test_history_of_all_that_exists(spark, tmp_path):
     """A file without an ending, a picture, a large file and a folder of links keep their history; what is gone does not."""
-    from lodestrata.plans.analysis import analyse
+    from lodestrata.plans.analysis import forensics
 
     for path in ("Dockerfile", "img/a.png", "big.ts", "node_modules/x.js", ".ci/run", "src/a.ts"):
         write(tmp_path, path, "x" * (2_000_001 if path == "big.ts" else 9))
@@ -133,9 +133,7 @@ def test_history_of_all_that_exists(spark, tmp_path):
     assert sorted(x.path for x in listed.collect()) == sorted("Dockerfile img img/a.png big.ts node_modules node_modules/x.js .ci .ci/run src src/a.ts link".split())
     lines = [f"{'a' * 40}\tAnn\t5", *(f"1\t2\t{p}" for p in ("Dockerfile", "img/a.png", "big.ts", "gone.ts", "link", "broken", "src/a.ts"))]
     log = spark.createDataFrame([("p", n, x) for n, x in enumerate(lines, 1)], "project string, line_no bigint, value string")
-    files, _ = tree.scan(load("sourcetree"))
-    out = analyse(files, log, now=10, inventory=listed)
-    assert {x.path for x in out["git_files"].collect()} == {"Dockerfile", "img/a.png", "big.ts", "link", "src/a.ts"}
+    assert {x.path for x in forensics(log, listed, 10)["git_files"].collect()} == {"Dockerfile", "img/a.png", "big.ts", "link", "src/a.ts"}
 
 
 def test_a_log_that_grows(spark, tmp_path):
