@@ -294,11 +294,12 @@ def test_groups_of_long_texts_are_bounded_in_bytes(spark):
 
 def test_stages_keep_columns_of_any_name(spark, folder):
     import corpus_pipeline
+    from lodestrata.llm import quality
 
     rows = [(n, f"some words of a text {n} " * 5 + "\nA line that is common and long enough to be dropped", f"s{n % 2}", n, "x") for n in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, `a.b ``c` string")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, folder)
+    outs = [stage(spark, docs, folder) for _, stage in corpus_pipeline.STAGES[1:-1]] + [quality.score_quality(docs, quality.Network()).drop("score")]
+    for out in outs:
         assert out.columns == docs.columns
         assert all(x[4] == "x" for x in out.collect())
 
