@@ -144,7 +144,7 @@ def resolved_lua_imports(spark, d):
 LANGUAGE_SQL = ORDERS + """, n AS (SELECT *, k % 7 AS n, k % 5 AS shape FROM o)"""
 
 
-@query(LANGUAGE_SQL + """SELECT k, 'f' || k AS name, CASE shape WHEN 3 THEN 1 ELSE 0 END AS start, CASE shape WHEN 0 THEN 2 + 2 * n WHEN 1 THEN 3 + 2 * n WHEN 2 THEN 2 + n WHEN 3 THEN 3 + n ELSE 2 + 2 * n END AS length,
+@query(LANGUAGE_SQL + """SELECT k, 'f' || k AS name, CASE shape WHEN 3 THEN 1 ELSE 0 END::BIGINT AS start, CASE shape WHEN 0 THEN 2 + 2 * n WHEN 1 THEN 3 + 2 * n WHEN 2 THEN 2 + n WHEN 3 THEN 3 + n ELSE 2 + 2 * n END AS length,
 CASE shape WHEN 2 THEN 1 ELSE 1 + 2 * n END AS complexity FROM n""")
 def functions_of_languages(spark, d):
     """A function for each order in Python, Lua, TypeScript, Java or Go: by indentation, keywords, expression and braces, with comments and literals that count for nothing."""
@@ -181,7 +181,7 @@ def commands_of_packages(spark, d):
 
 
 @query(ORDERS + """SELECT k, CASE k % 6 WHEN 0 THEN 'b' || k || ' c D' WHEN 1 THEN 'ns' || k WHEN 2 THEN 'T' || k WHEN 3 THEN 'b' || k || ' c' WHEN 4 THEN 'q' || k || ' os' ELSE '' END AS names,
-CASE k % 6 WHEN 4 THEN 'a.b as q' || k WHEN 3 THEN 'm' ELSE './x' END AS source, CASE WHEN k % 6 IN (3, 4) THEN 1 ELSE 1 + k % 3 END AS line, k % 6 NOT IN (3, 4) AS relative FROM o WHERE k % 6 <> 5""")
+CASE k % 6 WHEN 4 THEN 'a.b as q' || k WHEN 3 THEN 'm' ELSE './x' END AS source, CASE WHEN k % 6 IN (3, 4) THEN 1 ELSE 1 + k % 3 END::INTEGER AS line, k % 6 NOT IN (3, 4) AS relative FROM o WHERE k % 6 <> 5""")
 def bindings_of_imports(spark, d):
     """Names bound by six shapes of imports; the last binds none and is listed nowhere. In Python blank lines before an import belong to it."""
     key = num().cast("string")
