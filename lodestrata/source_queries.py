@@ -218,3 +218,26 @@ def totals_of_lists(spark, d):
     }
     parts = [x.groupBy("project").agg(F.lit(name).alias("list"), F.count("*").alias("shown"), F.max("total").alias("total")) for name, x in lists.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("project", "list", "shown", "total")
+
+
+NAME_SQL = ORDERS + r""", t AS (SELECT k, c, '/srv/r' || (c % 3) || CASE WHEN k % 2 = 0 THEN '\a\' ELSE '/a/' END || CASE k % 4 WHEN 0 THEN 'Möbel x.' WHEN 1 THEN 'plain.' WHEN 2 THEN 'a.b.' ELSE '' END || 'n' || k || CASE WHEN k % 5 = 0 THEN '' ELSE '.d.ts' END AS path,
+  CASE k % 3 WHEN 0 THEN ' sk-' WHEN 1 THEN chr(160) || 'é key' || chr(9) ELSE '' END || k || chr(8195) AS key FROM o),
+p AS (SELECT *, replace(path, '\', '/') AS slashed FROM t), b AS (SELECT *, regexp_extract(slashed, '[^/]*$') AS base FROM p)
+"""
+
+
+@query(NAME_SQL + r"""SELECT k, regexp_replace(key, '[^\x21-\x7E]', '', 'g') AS printable, regexp_replace(key, '[^A-Za-z0-9_.-]+', '_', 'g') AS file_name, trim(key, chr(160) || chr(8195) || chr(9) || ' ') AS trimmed,
+length(regexp_replace(key, '[^\p{L}\p{N}]', '', 'g'))::INTEGER AS letters, CASE WHEN starts_with(slashed, '/srv/r1/') THEN substr(slashed, 9) ELSE slashed END AS normal,
+CASE WHEN contains(base, '.') THEN regexp_replace(base, '\.[^.]*$', '') ELSE base END AS stem, split_part(base, '.', 1) AS first, regexp_replace(slashed, '/[^/]*$', '') AS folder, upper(left(base, 1)) || substr(base, 2) AS capital FROM b""")
+def names_of_orders(spark, d):
+    """Names, stems, folders and keys of paths and texts that hold other scripts, blanks of all kinds and backslashes."""
+    path = F.concat(
+        F.lit("/srv/r"), (F.col("c") % 3).cast("string"), F.when(num() % 2 == 0, "\\a\\").otherwise("/a/"), F.when(num() % 4 == 0, "Möbel x.").when(num() % 4 == 1, "plain.").when(num() % 4 == 2, "a.b.").otherwise(""),
+        F.lit("n"), num().cast("string"), F.when(num() % 5 == 0, "").otherwise(".d.ts"),
+    )
+    key = F.concat(F.when(num() % 3 == 0, " sk-").when(num() % 3 == 1, "\xa0é key\t").otherwise(""), num().cast("string"), F.lit(" "))
+    slashed = files.normal_path(path)
+    return _orders(spark, d).select(
+        "k", t.printable(key).alias("printable"), t.file_name(key).alias("file_name"), t.trimmed(key).alias("trimmed"), t.alphanumerics(key).alias("letters"), files.normal_path(path, "/srv/r1/").alias("normal"),
+        t.stem(slashed).alias("stem"), t.first_name(slashed).alias("first"), t.directory(slashed).alias("folder"), t.capitalized(t.base_name(slashed)).alias("capital"),
+    )
