@@ -81,7 +81,7 @@ def bands_of(counts: dict[int, int], least: int) -> dict[int, int]:
 
 
 def search(
-    vectors: DataFrame, k: int, every: int, curves: int = 6, window: int = 8192, axes: int = 4, bits: int = 8, seed: int = 11, share: float = 0.1
+    vectors: DataFrame, k: int, every: int, curves: int = 6, window: int = 8192, axes: int = 4, bits: int = 8, seed: int = 11, share: float = 0.1, query_set: int = 8192
 ) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score), the k nearest found of each vec_id divisible by ``every``.
 
@@ -160,11 +160,18 @@ def search(
     starts = ordered.where("not asks").groupBy("lane", "part").agg(F.count("*").alias("n"))
     # One row for each lane and partition.
     starts = ordered.select("lane", "part").distinct().join(starts, ["lane", "part"], "left").select("lane", "part", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0)).alias("start"))
-    widths = spark.createDataFrame([(band * curves + n, reach[band], min(reach[band], BLOCK)) for band in lanes for n in range(lanes[band])], "lane int, reach long, size long")
+    # Queries that reach a block are cut into sets by hash, so that a group is bounded as the table grows.
+    asked = queries.select("class").distinct().count()
+    met = {band: asked * min(1.0, (2 * reach[band] + min(reach[band], BLOCK)) / max(n, 1)) for band, n in sizes.items()}
+    widths = spark.createDataFrame(
+        [(band * curves + n, reach[band], min(reach[band], BLOCK), math.ceil(met[band] / query_set) or 1) for band in lanes for n in range(lanes[band])], "lane int, reach long, size long, sets int"
+    )
     ranked = ordered.join(F.broadcast(starts), ["lane", "part"]).join(F.broadcast(widths), "lane").withColumn("place", F.col("start") + F.col("nth"))
     # A candidate lies in one block; a query, of which there are fewer, goes to all blocks that it reaches.
     blocks = F.when(F.col("asks"), F.expr("sequence(greatest(place - reach, 0) div size, (place + reach) div size)")).otherwise(F.array(F.expr("place div size")))
-    spread = ranked.select("cid", "vec_id", "v", "asks", "lane", "place", "reach", F.explode(blocks).alias("block"))
+    in_sets = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("cid"), F.col("sets")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("sets") - 1))
+    spread = ranked.select("cid", "vec_id", "v", "asks", "lane", "place", "reach", in_sets.alias("in_sets"), F.explode(blocks).alias("block"))
+    spread = spread.select(*(c for c in spread.columns if c != "in_sets"), F.explode("in_sets").alias("set"))
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(bool)
@@ -186,7 +193,7 @@ def search(
                     out += [(cid, ids[at][j], exact[j]) for j in best]
         return pd.DataFrame(out, columns=["class", "vec_id", "score"])
 
-    best = spread.groupBy("lane", "block").applyInPandas(rank, "class long, vec_id long, score double")
+    best = spread.groupBy("lane", "block", "set").applyInPandas(rank, "class long, vec_id long, score double")
     # At most ``keep`` entries for each class and block in its reach.
     lists = best.groupBy("class").agg(F.collect_set(F.struct((-F.col("score")).alias("less"), "vec_id")).alias("all"))
     lists = lists.select("class", F.transform(F.slice(F.array_sort("all"), 1, keep), lambda x: F.struct((-x["less"]).alias("score"), x["vec_id"].alias("vec_id"))).alias("list"))

@@ -324,3 +324,12 @@ def test_line_runs_go_on_another_day(spark, tmp_path):
         assert sorted(map(tuple, runs.ingest(b).collect())) == fresh[n]
     assert sorted(map(tuple, runs.totals().collect())) == want and len(runs.levels) > 1
     runs.close()
+
+
+def test_sets_of_queries_are_no_part_of_the_result(spark):
+    from lodestrata.llm import ann_curves
+
+    r = np.random.default_rng(1)
+    table = spark.createDataFrame([(n, [float(x) for x in r.normal(size=8)]) for n in range(400)], "vec_id long, embedding array<double>")
+    key = lambda **law: sorted(map(tuple, ann_curves.search(table, 5, 10, window=40, curves=3, **law).collect()))
+    assert key(query_set=3) == key() and len(key()) == 200
