@@ -334,7 +334,7 @@ def test_pipeline_of_nothing(spark, folder, edges):
 CONTRACT = {
     "op1": "doc_id held_out n_tokens n_known train_tokens base_score score", "op2": "doc_id n_shingles component_id kept",
     "op3": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op4": "doc_id size text_crc32 law shard slot grown_shard",
-    "op6": "query_id rank vec_id score", "op8": "doc_id held_out score predicted",
+    "op6": "query_id rank vec_id score", "op8": "doc_id held_out score predicted", "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
