@@ -18,7 +18,8 @@ def num() -> Column:
 
 
 def _orders(spark, d):
-    return tables.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"), F.format_string("p%02d", F.col("o_custkey") % 20).alias("project"))
+    o = tables.dealt(tables.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c")), "k")
+    return o.select("k", "c", F.format_string("p%02d", F.col("c") % 20).alias("project"))
 
 
 def _by(n: Column, values: list) -> Column:

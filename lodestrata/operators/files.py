@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as t
+from ..scratch import stored
 
 
 def language_of(ext: Column) -> Column:
@@ -92,7 +93,8 @@ def top_of_project(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def list_of_project(rows: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The same with ``total``: how many rows the list was cut from."""
+    """The same with ``total``: how many rows the list was cut from. The rows are written first, so that both are read off them and made once."""
+    rows = stored(rows, "list")
     return top_of_project(rows, n, *order).join(rows.groupBy("project").agg(F.count("*").alias("total")), "project")
 
 

@@ -13,14 +13,14 @@ from .files import list_of_project, top_of_project
 
 def imports(files: DataFrame) -> DataFrame:
     """(project, path, language, ord, names, source, line, relative) of files that are not noise."""
-    found = files.where("noise_reason is null").select("project", "path", "language", F.explode(imports_of("content", "language")).alias("i"))
-    return found.select("project", "path", "language", "i.ord", "i.names", "i.source", "i.line", "i.relative")
+    found = files.where("noise_reason is null").select("project", "path", "language", imports_of("content", "language").alias("found"))
+    return found.select("project", "path", "language", F.inline("found"))
 
 
 def unused_imports(files: DataFrame) -> DataFrame:
     """Imported names that occur once at most in the raw text; Lua has none."""
     able = files.where(F.col("noise_reason").isNull() & F.col("language").isin(*rules.JS, "Python"))
-    found = able.select("project", "path", "content", imports_of("content", "language").alias("found")).where(F.size("found") > 0)
+    found = able.select("project", "path", "content", imports_of("content", "language").alias("found"))
     # A file's identifiers are listed once; only names go on, without the text.
     found = found.select("project", "path", "content", "found", F.regexp_extract_all("content", F.lit(f"({t.IDENT}+)"), 1).alias("words"))
     count = lambda n: F.when(F.rlike(n, F.lit(f"^{t.IDENT}+$")), F.size(F.filter("words", lambda w: w == n))).otherwise(t.identifier_count(F.col("content"), n))

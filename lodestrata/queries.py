@@ -365,7 +365,7 @@ def fn_fixtures(spark, d):
 
 @query("""SELECT printf('p%02d', o_custkey % 20) AS project, count(*)::BIGINT AS long_functions FROM orders WHERE o_orderkey % 120 > 48 GROUP BY 1""")
 def long_functions(spark, d):
-    o = tables.table(spark, d, "orders")
+    o = tables.dealt(tables.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     body = F.repeat(F.lit("  a();\n"), (F.col("o_orderkey") % 120).cast("int"))
     raw = o.select(F.format_string("p%02d", F.col("o_custkey") % 20).alias("project"), F.format_string("o%d.go", F.col("o_orderkey")).alias("path"), F.concat(F.lit("func f() {\n"), body, F.lit("}\n")).alias("content"))
     rows = functions.longest_of_file(functions.functions(files.as_files(raw)))

@@ -11,6 +11,7 @@ from .more_queries import FOREIGN, NOW, ORDERS, _by, _orders, _sized, num
 from .operators import evidence, files, functions, git, imports
 from .plans import findings, wording
 from .queries import CHANGES, FUNCTIONS, RENDERED, _values, query
+from .scratch import stored
 from .sources import tables, tree
 
 # Each customer's project has rules of its own; each order is a path, whose folder and name follow from its keys.
@@ -211,7 +212,7 @@ UNION ALL SELECT r.project, 'dependencies', least(count(*), 600)::BIGINT, count(
 def totals_of_lists(spark, d):
     """Lists of a project say how many rows they were cut from."""
     rows = tables.rendered(spark, d)
-    found = functions.functions(rows)
+    found = stored(functions.functions(rows), "functions")
     lists = {
         "complex": functions.complex_functions(found), "long": functions.long_functions(found), "unused": imports.top_unused(imports.unused_imports(rows)),
         "dependencies": imports.listed(imports.resolved_imports(imports.imports(rows), rows)),
