@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as t
-from ..functions.views import imports_of
+from ..functions.views import imports_of, unused_of
 from .files import list_of_project, top_of_project
 
 
@@ -20,16 +20,8 @@ def imports(files: DataFrame) -> DataFrame:
 def unused_imports(files: DataFrame) -> DataFrame:
     """Imported names that occur once at most in the raw text; Lua has none."""
     able = files.where(F.col("noise_reason").isNull() & F.col("language").isin(*rules.JS, "Python"))
-    found = able.select("project", "path", "content", imports_of("content", "language").alias("found"))
-    # A file's identifiers are listed once; only names go on, without the text.
-    found = found.select("project", "path", "content", "found", F.regexp_extract_all("content", F.lit(f"({t.IDENT}+)"), 1).alias("words"))
-    count = lambda n: F.when(F.rlike(n, F.lit(f"^{t.IDENT}+$")), F.size(F.filter("words", lambda w: w == n))).otherwise(t.identifier_count(F.col("content"), n))
-    unused = lambda i: F.struct(
-        i["ord"].alias("ord"), i["source"].alias("source"), i["line"].alias("line"),
-        F.filter(F.transform(i["names"], lambda n, pos: F.struct(pos.alias("pos"), n.alias("name"))), lambda x: count(x["name"]) <= 1).alias("names"),
-    )
-    rows = found.select("project", "path", F.inline(F.transform("found", unused)).alias("ord", "source", "line", "names"))
-    return rows.select("project", "path", "ord", "source", "line", F.inline("names").alias("pos", "name")).select("project", "path", "ord", "pos", "name", "source", "line")
+    rows = able.select("project", "path", unused_of("content", "language").alias("found"))
+    return rows.select("project", "path", F.inline("found")).select("project", "path", "ord", "pos", "name", "source", "line")
 
 
 def joined_path(path: Column, source: Column) -> Column:

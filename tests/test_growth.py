@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import files, functions, imports
+from lodestrata import rules
+from lodestrata.functions.views import occurs_again
+from lodestrata.operators import files, functions, git, imports, secrets
 from lodestrata.sources import tables
 
 
@@ -32,3 +34,33 @@ def test_lists_keep_their_order_and_totals(spark):
     rows = spark.createDataFrame([("p", i) for i in range(50)] + [("q", 3)], "project string, n int")
     got = files.list_of_project(rows, 2, F.col("n").desc()).orderBy("project", "rank").select("project", "n", "rank", "total").collect()
     assert [tuple(r) for r in got] == [("p", 49, 1, 50), ("p", 48, 2, 50), ("q", 3, 1, 1)]
+
+
+def test_names_that_occur_again():
+    for text, name, again in [("a a", "a", True), ("a ab $a a_", "a", False), ("b", "a", False), ("aa", "a", False), ("a.a", "a", True), ("\u00e9a a", "a", True), ("a", "a", False), ("x$ x$", "x$", True)]:
+        assert occurs_again(text, name) is again, text
+
+
+def test_unused_names_leave_the_text_behind(spark, folder):
+    assert "regexp_extract_all" not in _plan(imports.unused_imports(tables.rendered(spark, folder)))
+
+
+def test_lines_meet_the_rules_for_secrets_once(spark, folder):
+    plan = secrets.secrets(tables.documents(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(rules.PLACEHOLDER) == 1
+
+
+def test_a_log_is_cut_before_it_is_written(spark, monkeypatch):
+    """A header counts for the blocks behind it; lines that say nothing are not written."""
+    head = "a" * 40 + "\tme\t1700000000"
+    rows = [("p", n, x) for n, x in [(1, head), (2, "rubbish"), (3, "-\t-\tlogo.png"), (3 * git.PLACES_OF_BLOCK, "1\t2\tx"), (9 * git.PLACES_OF_BLOCK, "3\t4\t{a => b}/y\r")]]
+    written, stored = [], git.stored
+    monkeypatch.setattr(git, "stored", lambda df, name: (written.append(df.count()), stored(df, name))[1])
+    got = git.parsed_log(spark.createDataFrame(rows, "project string, line_no long, value string")).where("not is_header").select("commit", "path", "deletions").collect()
+    assert written == [3] and sorted(map(tuple, got)) == [(1, "b/y", 4), (1, "x", 2)]
+
+
+def test_pairs_are_made_of_numbers(spark):
+    changes = spark.createDataFrame([("p", c, f"f{x}", 1, 1) for c in range(4) for x in (10, 9)], "project string, commit long, path string, additions long, deletions long")
+    assert git.pair_sets(changes).schema["paths"].dataType.elementType.typeName() == "long"
+    assert [(r.a, r.b, r["count"]) for r in git.cochanges(changes).collect()] == [("f10", "f9", 4)]
