@@ -29,9 +29,9 @@ def secrets(files: DataFrame, assigned_only: bool = False) -> DataFrame:
     Under test paths the severity is low. The snippet shows none of the line's
     secrets. All assigned values count if only they are asked for.
     """
-    lines = files.where("noise_reason is null").select("project", "path", "language", F.posexplode(t.lines_of(F.col("content"))).alias("n", "text"))
+    lines = files.where("noise_reason is null").select("project", "path", "language", F.posexplode_outer(t.lines_of(F.col("content"))).alias("n", "text"))
     text = F.col("text")
-    # Few lines hold any of the marks that every rule asks for; only these meet the rules, once.
+    # Outer lists are asked by no filter below, which would make them twice. Few lines hold any of the marks that every rule asks for; only these meet the rules, once.
     lines = lines.where(F.rlike(text, F.lit(rules.SECRET_MARKS)))
     rows = [
         F.when(F.rlike(text, F.lit(p)), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.regexp_extract(text, p, 0).alias("value")))
@@ -42,14 +42,15 @@ def secrets(files: DataFrame, assigned_only: bool = False) -> DataFrame:
         for k, s, p in rules.CONFIG_SECRETS
     ]
     value = F.regexp_extract(text, rules.ASSIGNED_SECRET, 2)
+    told = lambda kind, severity, v: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), v.alias("value"))
     random = (F.length(value) >= rules.ENTROPY_LENGTH) & (t.entropy(value) >= rules.ENTROPY_BITS)
     assigned = F.when(
         F.rlike(text, F.lit(rules.ASSIGNED_SECRET)),
-        F.struct(F.when(random, "High-entropy secret").otherwise("Hardcoded secret").alias("kind"), F.when(random, "high").otherwise("medium").alias("severity"), value.alias("value")),
+        F.when(random, told("High-entropy secret", "high", value)).otherwise(told("Hardcoded secret", "medium", value)),
     )
     found = F.array(*([] if assigned_only else rows + config), assigned)
     real = F.filter(found, lambda h: h.isNotNull() & ~F.rlike(h["value"], F.lit(rules.PLACEHOLDER)))
-    hits = lines.select("project", "path", "n", "text", F.explode(F.slice(real, 1, 1)).alias("hit"))
+    hits = lines.select("project", "path", "n", "text", F.explode_outer(F.slice(real, 1, 1)).alias("hit")).where("hit is not null")
     severity = F.when(F.rlike("path", F.lit(rules.TEST_PATH)), "low").otherwise(F.col("hit.severity"))
     return hits.select(
         "project", "path", (F.col("n") + 1).alias("line"), F.col("hit.kind").alias("kind"), severity.alias("severity"),
