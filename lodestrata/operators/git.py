@@ -16,18 +16,22 @@ from ..scratch import stored
 from .files import git_noise, top_of_project
 
 
+PLACES_OF_BLOCK, ROWS_OF_TASK = 1 << 20, 250_000
+
+
 def new_path(path: Column) -> Column:
     """The name that a rename ends with, trimmed, without a pair of quotes around it, with forward slashes.
 
     The first braces count if an arrow is in them, else what is after the first arrow.
     """
-    path = t.trimmed(path)
-    path = F.when(F.startswith(path, F.lit('"')) & F.endswith(path, F.lit('"')) & (F.length(path) > 1), F.substr(path, F.lit(2), F.length(path) - 2)).otherwise(path)
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  a value that is named several times is made once
+    quote, arrow = F.lit('"'), F.lit(" => ")
+    bare = once(t.trimmed(path), lambda p: F.when(F.startswith(p, quote) & F.endswith(p, quote) & (F.length(p) > 1), F.substr(p, F.lit(2), F.length(p) - 2)).otherwise(p))
     braces = r"(?s)^([^{}]*)\{([^}]*?) => ([^}]*)\}(.*)$"
-    braced = F.replace(F.regexp_replace(path, braces, "$1$3$4"), F.lit("//"), F.lit("/"))
-    plain = F.regexp_replace(path, r"(?s)^.*? => ", "")
+    braced = lambda p: F.replace(F.regexp_replace(p, braces, "$1$3$4"), F.lit("//"), F.lit("/"))
+    plain = lambda p: F.regexp_replace(p, r"(?s)^.*? => ", "")
     # Most paths hold no arrow and meet no pattern.
-    return F.translate(F.when(~F.contains(path, F.lit(" => ")), path).when(F.rlike(path, F.lit(braces)), braced).otherwise(plain), "\\", "/")
+    return F.translate(once(bare, lambda p: F.when(~F.contains(p, arrow), p).when(F.rlike(p, F.lit(braces)), braced(p)).otherwise(plain(p))), "\\", "/")
 
 
 def parsed_log(log: DataFrame) -> DataFrame:
@@ -35,29 +39,33 @@ def parsed_log(log: DataFrame) -> DataFrame:
 
     A header has a hash of 20 hexadecimal digits at least, an author, who may hold
     tabs, and unix seconds. Changes of binary files, other lines and those before
-    the first header are left out. Lines are dealt by their place, so that a long log is
-    no single task; the last header of each part is carried to the next.
+    the first header are left out, before anything is shuffled. Lines are dealt by blocks
+    of places, so that a long log is no single task; the last header of each block is
+    carried to the next.
     """
-    fields = F.split(F.regexp_replace("value", r"\r+$", ""), "\t", -1)
-    rows = log.select("project", "line_no", fields.alias("f")).withColumn("ts", F.expr("try_cast(element_at(f, -1) as bigint)"))
-    header = (F.size("f") >= 3) & F.rlike(F.get("f", F.lit(0)), F.lit("^[0-9a-fA-F]{20,}$")) & F.col("ts").isNotNull()
-    rows = rows.withColumn("is_header", header).repartitionByRange("project", "line_no").withColumn("part", F.spark_partition_id())
+    bare = F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", r"\r+$", "")).otherwise(F.col("value"))
+
+    def told(f: Column) -> Column:
+        field = lambda n: F.get(f, F.lit(n))
+        ts, added, deleted = (x.try_cast("bigint") for x in (F.element_at(f, -1), field(0), field(1)))
+        is_header = (F.size(f) >= 3) & F.rlike(field(0), F.lit("^[0-9a-fA-F]{20,}$")) & ts.isNotNull()
+        is_change = (F.size(f) == 3) & added.isNotNull() & deleted.isNotNull() & (field(2) != "")
+        none = {"author": "string", "ts": "bigint", "path": "string", "additions": "bigint", "deletions": "bigint"}
+        row = lambda header, **own: F.struct(F.lit(header).alias("is_header"), *(own.get(n, F.lit(None).cast(kind)).alias(n) for n, kind in none.items()))
+        header = row(True, author=F.array_join(F.slice(f, F.lit(2), F.size(f) - 2), "\t"), ts=ts)
+        return F.when(is_header, header).when(is_change, row(False, path=new_path(field(2)), additions=added, deletions=deleted))
+
+    # Lines are told apart in an outer list: a filter does not go below it, so a line is split once.
+    lines = log.select("project", "line_no", F.inline_outer(F.transform(F.array(F.split(bare, "\t", -1)), told)))
+    rows = lines.where("is_header is not null").withColumn("block", F.expr(f"line_no div {PLACES_OF_BLOCK}"))
     rows = stored(rows, "log")
     at = F.when(F.col("is_header"), F.col("line_no"))
-    # One row for each project and part.
-    before = W.partitionBy("project").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    carried = rows.groupBy("project", "part").agg(F.max(at).alias("last")).select("project", "part", F.max("last").over(before).alias("carried"))
-    own = F.max(at).over(W.partitionBy("project", "part").orderBy("line_no"))
-    rows = rows.withColumn("own", own).join(carried, ["project", "part"]).withColumn("commit", F.coalesce("own", "carried"))
-    added, deleted = (F.expr(f"try_cast(get(f, {n}) as bigint)") for n in (0, 1))
-    change = ~F.col("is_header") & (F.size("f") == 3) & added.isNotNull() & deleted.isNotNull() & (F.get("f", F.lit(2)) != "")
-    return rows.where(F.col("commit").isNotNull() & (F.col("is_header") | change)).select(
-        "project", "commit", "is_header",
-        F.when(F.col("is_header"), F.array_join(F.slice("f", F.lit(2), F.size("f") - 2), "\t")).alias("author"),
-        F.when(F.col("is_header"), F.col("ts")).alias("ts"),
-        F.when(~F.col("is_header"), new_path(F.get("f", F.lit(2)))).alias("path"),
-        F.when(~F.col("is_header"), added).alias("additions"), F.when(~F.col("is_header"), deleted).alias("deletions"),
-    )
+    # One row for each project and block.
+    before = W.partitionBy("project").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("project", "block").agg(F.max(at).alias("last")).select("project", "block", F.max("last").over(before).alias("carried"))
+    own = F.max(at).over(W.partitionBy("project", "block").orderBy("line_no"))
+    rows = rows.withColumn("own", own).join(carried, ["project", "block"]).withColumn("commit", F.coalesce("own", "carried"))
+    return rows.where(F.col("commit").isNotNull()).select("project", "commit", "is_header", "author", "ts", "path", "additions", "deletions")
 
 
 def commits_of(parsed: DataFrame) -> DataFrame:
@@ -102,28 +110,43 @@ def hotspots(changes: DataFrame, n: int = rules.TOP["hotspots"]) -> DataFrame:
     return top_of_project(rows, n, F.col("score").desc(), F.col("path"))
 
 
-def pair_sets(changes: DataFrame, least: int = rules.MIN_COCHANGE) -> DataFrame:
-    """(project, commit, paths) of the commits that say something, without paths that no pair can need.
+def _numbered(changes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(project, commit, id) of the commits that say something, without paths that no pair can need; and (project, path, id) of the paths.
 
-    A pair cannot reach ``least`` commits unless both its paths do, so rarer ones go before pairs are made.
+    Ids are numbers in the order of project and path, so that pairs are narrow and
+    sorted as their paths are. A pair cannot reach ``least`` commits unless both its paths do, so rarer ones go before pairs are made.
+    Commits are dealt over tasks of about ROWS_OF_TASK paths: what a task sums is bounded.
     """
     paths = stored(per_commit(changes).select("project", "commit", "path"), "commit-paths")
     counts = paths.groupBy("project", "commit").agg(F.count("*").alias("n"))
-    usable = paths.join(counts.where(F.col("n").between(rules.MIN_PAIR_FILES, rules.MAX_PAIR_FILES)).select("project", "commit"), ["project", "commit"])
-    frequent = usable.groupBy("project", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("project", "path")
-    sets = usable.join(frequent, ["project", "path"], "left_semi").groupBy("project", "commit").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    usable = stored(paths.join(counts.where(F.col("n").between(rules.MIN_PAIR_FILES, rules.MAX_PAIR_FILES)).select("project", "commit"), ["project", "commit"]), "usable-paths")
+    frequent = usable.groupBy("project", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    names = stored(frequent.select("project", "path").orderBy("project", "path").withColumn("id", F.monotonically_increasing_id()), "paths")
+    rows = usable.join(names, ["project", "path"]).select("project", "commit", "id").repartition(usable.count() // ROWS_OF_TASK + 1, "project", "commit")
+    return rows, names
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    sets = rows.groupBy("project", "commit").agg(F.array_sort(F.collect_list("id")).alias("paths"))
     return sets.where(F.size("paths") > 1)
 
 
+def pair_sets(changes: DataFrame, least: int = rules.MIN_COCHANGE) -> DataFrame:
+    """(project, commit, paths) of the commits that say something: numbers of the paths that a pair can need, in order."""
+    return _sets(_numbered(changes, least)[0])
+
+
 def cochanges(changes: DataFrame, n: int = rules.TOP["cochange"], least: int = rules.MIN_COCHANGE) -> DataFrame:
     """Pairs of paths that change together; commits of one path or of very many say nothing.
 
     Paths are gathered for each commit, 30 at most by rule, so the pairs of a commit are bounded.
     """
-    sets = pair_sets(changes, least)
+    rows, names = _numbered(changes, least)
     pairs = F.flatten(F.transform("paths", lambda a, i: F.transform(F.slice("paths", i + 2, F.size("paths")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    counts = sets.select("project", F.explode(pairs).alias("p")).groupBy("project", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("count"))
-    return top_of_project(counts.where(F.col("count") >= least), n, F.col("count").desc(), F.col("a"), F.col("b"))
+    counts = _sets(rows).select(F.inline_outer(pairs)).groupBy("a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    first, second = names.select("project", F.col("id").alias("a"), F.col("path").alias("path_a")), names.select(F.col("id").alias("b"), F.col("path").alias("path_b"))
+    top = top_of_project(counts.join(first, "a"), n, F.col("count").desc(), F.col("a"), F.col("b"))
+    return top.join(second, "b").select("project", F.col("path_a").alias("a"), F.col("path_b").alias("b"), "count", "rank")
 
 
 def bus_factor(changes: DataFrame, commits: DataFrame, n: int = rules.TOP["bus_factor"]) -> DataFrame:
