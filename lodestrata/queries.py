@@ -90,7 +90,7 @@ def gitlog_parse(spark, d):
     )
     line = tables.table(spark, d, "lineitem")
     at = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 3
-    change = line.select(at.alias("line_no"), F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.format_string("src/{old => new}/%d.rs", F.col("l_partkey"))).alias("value"))
+    change = line.select(at.alias("line_no"), F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.concat(F.lit("src/{old => new}/"), tables.whole(F.col("l_partkey")), F.lit(".rs"))).alias("value"))
     binary = line.select((at + 1).alias("line_no"), F.lit("-\t-\tlogo.png").alias("value"))
     log = head.unionByName(change).unionByName(binary).withColumn("project", F.pmod(F.floor(F.col("line_no") / 100), F.lit(16)).cast("string"))
     parsed = stored(git.parsed_log(log), "parsed-log")
