@@ -13,7 +13,9 @@ Tokens are never rows. A task turns its documents into blocks of bounded size, w
 are stored once under an id of their own. Each block counts its distinct n-grams
 and sends them as packed lists of hashes, dealt to buckets by hash. A bucket is
 totalled by one call and answers each block with the counts of what the block asked
-for, in the block's order. Blocks and answers then meet for learning and scoring.
+for, in the block's order. Words and pairs are asked for first, trigrams then, and what
+was shuffled for one is dropped before the other, so that disk never holds all n-grams.
+Blocks and answers then meet for learning and scoring.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -33,6 +36,7 @@ from .shingles import WordHashes, mixed
 
 HELD, DELETED, REST = 2, 3, 0  # remainders of the fold; REST is all others
 ORDERS = (1, 2, 3)
+PASSES = ((1, 2), (3,))  # orders whose n-grams are on disk together
 END = np.frombuffer(xxhash.xxh64_digest(b"\n"), np.uint64)[0]  # no word holds a line end
 BEGIN = np.frombuffer(xxhash.xxh64_digest(b"\n\n"), np.uint64)[0]  # stands before the end that stands before a text
 KEY_BITS = 56  # of an n-gram's hash
@@ -63,6 +67,17 @@ def _wide(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, f"<u{packed[:1].decode()}", offset=1).astype(np.int64)
 
 
+def _pressed(places: np.ndarray) -> bytes:
+    """Places, most of them small, byte by byte of their size, compressed."""
+    planes = places.astype("<u4").view("u1").reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpressed(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), "u1").reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
+
+
 class Block:
     """Documents of one fold in one task: hashes of their tokens, an end after each."""
 
@@ -76,11 +91,17 @@ class Block:
         return cls(role, np.array(ids, np.int64), np.array([len(t) for t in tokens], np.int64), words, word_at)
 
     def packed(self) -> tuple:
-        return self.role, self.ids.tobytes(), self.lengths.astype("<u4").tobytes(), self.words.tobytes(), _narrow(self.word_at)
+        """The frequent words come first, so that the places of most tokens are small."""
+        frequent = np.argsort(-np.bincount(self.word_at, minlength=len(self.words)), kind="stable")
+        place = np.empty_like(frequent)
+        place[frequent] = np.arange(len(frequent))
+        return self.role, self.ids.tobytes(), self.lengths.astype("<u4").tobytes(), self.words[frequent].tobytes(), _pressed(place[self.word_at])
 
     @classmethod
     def unpacked(cls, role, ids, lengths, words, word_at) -> Block:
-        return cls(int(role), np.frombuffer(ids, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(words, np.uint64), _wide(word_at))
+        lengths, frequent = np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(words, np.uint64)
+        words, place = np.unique(frequent, return_inverse=True)
+        return cls(int(role), np.frombuffer(ids, np.int64), lengths, words, place[_unpressed(word_at, int(lengths.sum()))])
 
     def context(self) -> np.ndarray:
         """Place of the word before each token; of the end for the first token of a document."""
@@ -137,13 +158,15 @@ def _unpacked(rows: pd.DataFrame) -> Iterator[tuple[int, Block]]:
         yield row.block, Block.unpacked(row.role, row.ids, row.lengths, row.words, row.word_at)
 
 
-def _asked(blocks: DataFrame, bits: int) -> DataFrame:
-    """Each block's distinct n-grams and their counts, by bucket."""
+def _asked(blocks: DataFrame, bits: int, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """Each block's distinct n-grams of these orders and their counts, by bucket."""
     width = -(-(KEY_BITS - bits) // 8)
 
     def ask(batches):
         for name, block in (x for b in batches for x in _unpacked(b)):
             for order, hashes in zip(ORDERS, block.hashes(), strict=True):
+                if order not in orders:
+                    continue
                 keys, counts = np.unique(hashes >> np.uint64(64 - KEY_BITS), return_counts=True)
                 counts = counts if block.role != HELD else np.zeros_like(counts)
                 buckets = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
@@ -330,9 +353,12 @@ def score_documents(docs: DataFrame, block_tokens: int = 1_000_000, bucket_bytes
     blocks = _stored_blocks(docs, block_tokens)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(8, int(np.ceil(np.log2(max(size // bucket_bytes, 1))))))
-    answered = _asked(blocks, bits).groupBy("order", "bucket").applyInPandas(lambda rows: _answer(rows, bits), COUNTS)
-    counts = stored(answered, "lm-counts")
-    known = stored(_joined(blocks.where(F.col("role") == DELETED), counts.where("rest is not null"), "rest"), "lm-deleted")
+    counts = None
+    for orders in PASSES:
+        answered = _asked(blocks, bits, orders).groupBy("order", "bucket").applyInPandas(lambda rows: _answer(rows, bits), COUNTS)
+        answers = stored(answered, "lm-counts", drop_shuffles=True)
+        counts = answers if counts is None else counts.unionByName(answers)
+    known = stored(_joined(blocks.where(F.col("role") == DELETED), counts.where("rest is not null"), "rest"), "lm-deleted", drop_shuffles=True)
     mixture, train = _learned(known, counts)
 
     def score(batches):

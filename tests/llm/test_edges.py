@@ -1,6 +1,7 @@
 """Brute force and odd inputs: repeats, clashing columns, long texts, shuffled rows, no rows."""
 
 import collections
+import time
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestrata import scratch
 from lodestrata.llm import ann_curves, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, registry, sharding, topk, warc
 from lodestrata.llm.line_dedup import line_key
 
@@ -97,6 +99,45 @@ def test_lm_score_by_brute_force(spark):
     assert [s for _, s in have] == pytest.approx([s for _, s in want], rel=2e-3)
 
 
+def test_lm_blocks_are_small_and_come_back():
+    r = np.random.default_rng(5)
+    places = np.minimum(r.zipf(1.3, 300_000), 90_000)
+    block = lm_scoring.Block.of(lm_scoring.REST, [1, 2], [*np.split(np.append(places, np.arange(90_000)).astype(np.uint64) * lm_scoring.A, [1000])])
+    packed = block.packed()
+    assert len(packed[4]) < 2 * len(block.word_at)  # places of so many words took four bytes each
+    again = lm_scoring.Block.unpacked(*packed)
+    for name in ("ids", "lengths", "words", "word_at", "starts"):
+        assert (getattr(again, name) == getattr(block, name)).all()
+
+
+def test_lm_drops_what_it_shuffled_for_a_table(spark, monkeypatch):
+    """N-grams asked for are not on disk any more when the next are."""
+    asked, dropped = [], []
+    ask, store = lm_scoring._asked, lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "_asked", lambda blocks, bits, orders: (asked.append(orders), ask(blocks, bits, orders))[1])
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, name, drop_shuffles=False: (dropped.append((name, drop_shuffles)), store(df, name, drop_shuffles))[1])
+    docs = spark.createDataFrame([(n, f"a b {n}") for n in range(40)], "doc_id long, text string")
+    assert lm_scoring.score_documents(docs).count() == 40
+    assert asked == [(1, 2), (3,)] and dropped == [("lm-blocks", False), ("lm-counts", True), ("lm-counts", True), ("lm-deleted", True)]
+
+
+def test_shuffles_of_a_stored_table_are_dropped(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        blocks = disk.getAllBlocks()
+        return {b.name() for b in map(blocks.apply, range(blocks.size())) if b.isShuffle()}
+
+    rows, before = spark.range(1000).repartition(3, "id"), shuffled()
+    assert scratch.stored(rows, "kept").count() == 1000 and shuffled() - before
+    before, end = shuffled(), time.time() + 20
+    again = scratch.stored(rows, "dropped", drop_shuffles=True)
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - before and sorted(r.id for r in again.collect()) == list(range(1000))
+    assert spark.conf.get(scratch.DROP_SHUFFLES) == "false"
+
+
 def test_lm_of_repeats_in_other_partitions_and_of_a_long_text(spark):
     rows = [(1, "same text here")] * 40 + [(None, "")] * 40 + [(2, sentence(5, 300_000))]
     got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), block_tokens=50_000).collect()
