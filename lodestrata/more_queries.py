@@ -352,7 +352,6 @@ def symbol_lines(spark, d):
     body = F.when(num() % 3 == 0, _line("// function f", num().cast("string"), "(\n\nfunction f", num().cast("string"), "() {\n  a();\n}\n")).when(num() % 3 == 1, "function other() {\n  a();\n}\n").otherwise("let x;\n")
     path = F.when(num() % 3 == 1, F.format_string("src/useF%d.ts", num())).otherwise(F.format_string("src/f%d.ts", num()))
     rows = files.as_files(_orders(spark, d).select("project", path.alias("path"), body.alias("content")))
-    longest = functions.longest_of_file(functions.functions(rows))
-    return evidence.classified(rows, longest).select(F.regexp_extract("path", r"(\d+)\.ts$", 1).cast("long").alias("k"), "symbol_line")
+    return evidence.classified(functions.with_longest(rows)).select(F.regexp_extract("path", r"(\d+)\.ts$", 1).cast("long").alias("k"), "symbol_line")
 
 

@@ -105,27 +105,31 @@ def primary_symbol(path: Column, longest_name: Column) -> Column:
 def declaration_line(content: Column, name: Column) -> Column:
     """1-based line of the first of ``function``, ``const``, ``let``, ``var``, ``class`` with the name; 0 if none."""
     places = [F.regexp_instr(content, F.concat(F.lit(f"{t.NOT_BEFORE}{word} \\Q"), name, F.lit("\\E" + t.NOT_AFTER))) for word in ("function", "const", "let", "var", "class")]
-    at = F.coalesce(*(F.nullif(p, F.lit(0)) for p in places))
-    return F.when(at.isNull() | (name == ""), 0).otherwise(t.line_of(content, at)).cast("int")
+    at = F.coalesce(*(F.nullif(p, F.lit(0)) for p in places), F.lit(0))
+    # A text without the name meets no pattern; each would be compiled for its row.
+    at = F.when(F.contains(content, F.concat(F.lit(" "), name)) & (name != ""), at).otherwise(0)
+    line = F.transform(F.array(at), lambda p: F.when(p > 0, t.line_of(content, p)).otherwise(0))  # so that the place is looked for once
+    return F.get(line, F.lit(0)).cast("int")
 
 
 def classified(files: DataFrame, longest: DataFrame | None = None) -> DataFrame:
     """Files with runtime, file_type and responsibilities; noise is shared, of the type of its reason, and does nothing.
 
-    With ``longest`` (project, path, longest_name, longest_line) also symbol and
-    symbol_line: where the text without comments declares the symbol, else the line of
+    With ``longest`` (project, path, longest_name, longest_line), or files that have
+    these columns already, also symbol and symbol_line: where the text without comments declares the symbol, else the line of
     the longest function, 0 if there is none.
     """
     if longest is not None:
         files = files.join(longest.select("project", "path", "longest_name", "longest_line"), ["project", "path"], "left")
+    named = "longest_name" in files.columns
     own = F.col("noise_reason").isNull()
     seen = files.withColumn("v", tokens_of("content", "language"))
     seen = seen.withColumn("responsibilities", F.when(own, responsibilities(F.col("v.roles"), F.col("language"))).otherwise(F.array().cast(NONE)))
     seen = seen.withColumn("runtime", F.when(own, runtime(F.col("path"), F.col("language"), F.col("v.runtimes"))).otherwise("shared"))
     kind = file_type(F.col("path"), F.col("language"), F.col("ext"), F.col("runtime"), F.col("responsibilities"), F.col("v.code"), F.col("v.runtimes"))
     seen = seen.withColumn("file_type", F.when(own, kind).otherwise(F.col("noise_reason")))
-    if longest is not None:
+    if named:
         seen = seen.withColumn("symbol", primary_symbol(F.col("path"), F.col("longest_name")))
-        at = declaration_line(F.col("v.code"), F.col("symbol"))
-        seen = seen.withColumn("symbol_line", F.when(at > 0, at).otherwise(F.coalesce("longest_line", F.lit(0))).cast("int")).drop("longest_name", "longest_line")
+        declared = F.nullif(declaration_line(F.col("v.code"), F.col("symbol")), F.lit(0))
+        seen = seen.withColumn("symbol_line", F.coalesce(declared, "longest_line", F.lit(0)).cast("int")).drop("longest_name", "longest_line")
     return seen.drop("v")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestrata import rules
 from lodestrata.functions.views import occurs_again
-from lodestrata.operators import files, functions, git, imports, secrets
+from lodestrata.operators import evidence, files, functions, git, imports, secrets
 from lodestrata.sources import tables
 
 
@@ -18,6 +18,18 @@ def test_each_text_is_read_once(spark, folder):
         assert _plan(found).count("ArrowEvalPython [") == 1
 
 
+def test_a_symbol_is_found_without_a_join(spark, folder):
+    """A file's longest function and its symbol come from its own row."""
+    raw = [("p", "a.ts", "function b() {\n}\nfunction a() {\n}\n"), ("p", "useX.ts", "// const useX\nlet useX = 1;\nconst useX$ = 2;\n"), ("p", "n.lock.ts", "let x;\n"), ("p", "x.min.js", "function g() {}\n"), ("p", "F.tsx", "function aF() {}\n")]
+    rows = files.as_files(spark.createDataFrame(raw, "project string, path string, content string")).unionByName(tables.rendered(spark, folder).coalesce(2))
+    apart, own = evidence.classified(rows, functions.longest_of_file(functions.functions(rows))), evidence.classified(functions.with_longest(rows))
+    assert _plan(apart).count("Join") > 0 and _plan(own).count("Join") == 0
+    columns = ["project", "path", "symbol", "symbol_line", "file_type", "runtime"]
+    got = own.select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, apart.select(columns).collect()))
+    assert {(r.path, r.symbol, r.symbol_line) for r in got if r.project == "p"} == {("a.ts", "b", 1), ("useX.ts", "useX", 2), ("n.lock.ts", "n.lock", 0), ("x.min.js", "x.min", 0), ("F.tsx", "F", 1)}
+
+
 def test_a_list_and_its_total_are_made_of_one_reading(spark, folder):
     listed = functions.complex_functions(functions.functions(tables.rendered(spark, folder)))
     assert "ArrowEvalPython [" not in _plan(listed) and listed.count() > 0
