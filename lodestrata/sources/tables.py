@@ -60,10 +60,12 @@ def imports(spark: SparkSession, folder: str, oriented: bool = False) -> DataFra
     rows = l.withColumnRenamed("l_suppkey", "a").join(l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("b")), ["l_orderkey", "l_linenumber"]).where("a <> b")
     if oriented:
         s = table(spark, folder, "supplier")
-        rows = rows.join(s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("x")), "a").join(s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("y")), "b")
-        back = F.col("x") > F.col("y")
-        rows = rows.select("l_orderkey", "l_linenumber", F.when(back, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("b"))
-    rows = rows.withColumn("src", name(F.col("a"))).withColumn("dst", name(F.col("b")))
+        end = lambda key, nation: s.select(F.col("s_suppkey").alias(key), F.struct(F.col("s_nationkey").alias("n"), name(F.col("s_suppkey")).alias("s")).alias(nation))
+        rows = rows.join(end("a", "x"), "a").join(end("b", "y"), "b")
+        back = F.col("x.n") > F.col("y.n")
+        rows = rows.select("l_orderkey", "l_linenumber", F.when(back, F.col("y.s")).otherwise(F.col("x.s")).alias("src"), F.when(back, F.col("x.s")).otherwise(F.col("y.s")).alias("dst"))
+    else:
+        rows = rows.withColumn("src", name(F.col("a"))).withColumn("dst", name(F.col("b")))
     return rows.select(F.lit("p").alias("project"), "src", "dst", F.struct("l_orderkey", "l_linenumber").alias("ord"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestrata import rules
 from lodestrata.functions.views import occurs_again
-from lodestrata.operators import evidence, files, functions, git, imports, secrets
+from lodestrata.operators import evidence, files, functions, git, graph, imports, secrets
 from lodestrata.sources import tables
 
 
@@ -76,3 +76,14 @@ def test_pairs_are_made_of_numbers(spark):
     changes = spark.createDataFrame([("p", c, f"f{x}", 1, 1) for c in range(4) for x in (10, 9)], "project string, commit long, path string, additions long, deletions long")
     assert git.pair_sets(changes).schema["paths"].dataType.elementType.typeName() == "long"
     assert [(r.a, r.b, r["count"]) for r in git.cochanges(changes).collect()] == [("f10", "f9", 4)]
+
+
+def test_rounds_of_cycles_meet_numbers_in_the_order_of_names(spark, monkeypatch):
+    kinds, spread = [], graph._spread
+    monkeypatch.setattr(graph, "_spread", lambda nodes, edges: (kinds.extend([nodes.dtypes, edges.dtypes]), spread(nodes, edges))[1])
+    rows = spark.createDataFrame([(p, f"n{a}", f"n{b}") for p in "qp" for a, b in [(3, 1), (1, 2), (2, 3), (3, 5), (5, 4), (4, 5)]], "project string, src string, dst string")
+    names, edges = graph._numbered(rows)
+    assert [(r.project, r.node) for r in names.orderBy("id").collect()] == [(p, f"n{n}") for p in "pq" for n in range(1, 6)] and edges.count() == 12
+    want = {(p, f"n{c}", f"n{n}") for p in "pq" for c, own in ((1, (1, 2, 3)), (4, (4, 5))) for n in own}
+    assert {tuple(r) for r in graph.cycles_of(rows).collect()} == want
+    assert {kind for columns in kinds for _, kind in columns} == {"bigint"}
