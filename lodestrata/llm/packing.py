@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import stored
 from .memory import giving_back
-from .tokens import Encoder
+from .tokens import encoder
 
 END_ID = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -89,10 +89,10 @@ def pack(
     schema = f"{PIECE}, ids binary, part long, open boolean"
 
     def place(batches):
-        part, encoder, packer, count = TaskContext.get().partitionId(), Encoder(tokenizer, END_ID), Packer(size, windows), 0
+        part, packer, count = TaskContext.get().partitionId(), Packer(size, windows), 0
         for batch in batches:
             closed = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(batch["text"]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"], encoder(tokenizer, END_ID).encode(batch["text"]), strict=True):
                 closed += packer.add(None if pd.isna(doc_id) else int(doc_id), ids)
             yield _frame(_rows(closed, (part << 32) + count, keep_ids), part, False)
             count += len(closed)

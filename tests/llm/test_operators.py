@@ -172,6 +172,21 @@ def test_encoder_is_the_tokenizer():
     assert [bytes(x) for x in e.encode(odd)] == [e._whole(x) for x in odd]
 
 
+def test_encoder_remembers_words_without_case_and_signs():
+    e = tokens.Encoder(TOKENIZER, 1)
+    texts = ["Abc, abc ABC!! abc.\nÉté, été", None, "", "a...b, c?!d <|ENDOFTEXT|> A<|endoftext|>.", "J\u030c \u01f0 j\u030c. K\u212a, \u00c5 A\u030a.", "ΑΣ, Σ.Σ ς", "x\x1fY, y"] * 30
+    assert [bytes(x) for x in e.encode(texts)] == [(e._whole(x) if x else b"") + e.end for x in texts]
+    e = tokens.Encoder(TOKENIZER)
+    assert len(list(e.encode(["Abc, abc ABC!! abc.", "Abc! ABC,"]))) == 2 and len(e.known) == 5  # before: seven
+
+
+def test_encoder_keeps_two_generations():
+    made = []
+    words = tokens.Remembered(lambda w: made.append(w) or w.encode(), 2)
+    assert b"".join(map(words.__getitem__, "abcaabd")) == b"abcaabd" and made == list("abcd") and len(words) <= 2
+    assert tokens.encoder(TOKENIZER, 1) is tokens.encoder(TOKENIZER, 1)
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_by_bytes(docs, shards=5).collect()
     sizes = [len((r.text or "").encode()) + 8 for r in docs.collect()]
