@@ -48,7 +48,9 @@ def git_noise(path: Column) -> Column:
 
 def as_files(paths: DataFrame) -> DataFrame:
     """(project, path, content) as a table of files: languages known, in scanned directories. Rows without content are no files; sources set limits of size."""
-    ext = F.when(F.rlike(t.base_name(F.col("path")), F.lit(r"\.[^.]+$")), t.ascii_lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    name = t.base_name(F.col("path"))
+    last = F.substring_index(name, ".", -1)  # the whole name, if it has no dot
+    ext = F.when((last != "") & F.contains(name, F.lit(".")), t.ascii_lower(last))
     return (
         paths.withColumn("ext", ext)
         .withColumn("language", language_of(F.col("ext")))

@@ -31,7 +31,11 @@ def joined_path(path: Column, source: Column) -> Column:
     step = lambda acc, x: (
         F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))
     )
-    return F.array_join(F.aggregate(F.split(source, "/"), start, step), "/")
+    folded = F.array_join(F.aggregate(F.split(source, "/"), start, step), "/")
+    # A file beside this one, as most are, needs no folding.
+    name = F.substr(source, F.lit(3))
+    beside = F.startswith(source, F.lit("./")) & ~F.contains(name, F.lit("/")) & ~name.isin("", ".", "..") & ~F.contains(path, F.lit("//")) & ~F.startswith(path, F.lit("/"))
+    return F.when(beside, F.concat(F.substr(path, F.lit(1), F.length(path) - F.length(t.base_name(path))), name)).otherwise(folded)
 
 
 # What is tried after the path, in order.
@@ -40,7 +44,10 @@ LUA_ENDINGS = [".lua", "/init.lua"]
 
 
 def stem_index(paths: DataFrame) -> DataFrame:
-    """(project, lua, stem, dst): for every stem that an import can name the file it stands for, of those the ending tried first."""
+    """(project, lua, stem, dst): for every stem that an import can name the file it stands for, of those the ending tried first.
+
+    A file is its stem and an ending, so only the least ending's number is kept for a stem: numbers are aggregated by hash, texts would be sorted.
+    """
 
     def stems(endings: list[str], lua: bool) -> list[Column]:
         return [
@@ -48,9 +55,12 @@ def stem_index(paths: DataFrame) -> DataFrame:
             for n, e in enumerate(endings)
         ]
 
+    ending = F.when(F.col("lua"), F.get(F.lit(LUA_ENDINGS), F.col("nth"))).otherwise(F.get(F.lit(ENDINGS), F.col("nth")))
+
     each = F.array_compact(F.array(*stems(ENDINGS, False), *stems(LUA_ENDINGS, True)))
     rows = paths.select("project", "path", F.inline(each))
-    return rows.groupBy("project", "lua", "stem").agg(F.min_by("path", "nth").alias("dst"))
+    first = rows.groupBy("project", "lua", "stem").agg(F.min("nth").alias("nth"))
+    return first.select("project", "lua", "stem", F.concat("stem", ending).alias("dst"))
 
 
 def resolved_imports(found: DataFrame, paths: DataFrame) -> DataFrame:
@@ -60,7 +70,8 @@ def resolved_imports(found: DataFrame, paths: DataFrame) -> DataFrame:
     """
     lua = F.col("language") == "Lua"
     base = F.when(lua, F.replace("source", F.lit("."), F.lit("/"))).otherwise(joined_path(F.col("path"), F.col("source")))
-    rows = found.where("relative").select("project", F.col("path").alias("src"), "ord", lua.alias("lua"), base.alias("stem"))
+    able = found.where("relative and path is not null and source is not null")
+    rows = able.select("project", F.col("path").alias("src"), "ord", lua.alias("lua"), F.coalesce(base, F.lit("")).alias("stem"))  # never null: the join does not ask for it once more
     return rows.join(stem_index(paths), ["project", "lua", "stem"]).select("project", "src", "ord", "dst")
 
 

@@ -42,6 +42,25 @@ def test_rendered_texts_are_dealt_over_tasks(spark):
     assert tables.dealt(keys, "k").agg(F.countDistinct("k")).first()[0] == 2 * tables.ROWS_OF_TASK + 1
 
 
+def test_imports_meet_one_reading_and_numbers(spark, folder):
+    """Few tasks read the table: they do not render, and do so once; stems are aggregated by hash, and a place is joined once."""
+    rows = tables.rendered(spark, folder)
+    edges = imports.resolved_imports(imports.imports(rows), rows)
+    assert "SortAggregate" not in _plan(imports.fan_in(edges, rows))
+    below = _plan(rows).split("Exchange")[1]
+    assert "map(" not in below and "RLIKE" not in below
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_places_beside_a_file_are_those_that_folding_gives(spark):
+    cases = {
+        ("src/a/x.ts", "./y"): "src/a/y", ("x.ts", "./y"): "y", ("/a/x.ts", "./y"): "a/y", ("a//b/x.ts", "./y"): "a/b/y", ("a/x.ts", "./.."): "", ("a/x.ts", "./."): "a",
+        ("a/x.ts", "./"): "a", ("a/x.ts", ".//y"): "a/y", ("a/x.ts", "./..y"): "a/..y", ("a/x.ts", "./b/../y"): "a/y", ("a/b", "./.x"): "a/.x", ("a/x.ts", "y"): "a/y",
+    }
+    rows = spark.createDataFrame(list(cases), "path string, source string")
+    assert {(r.path, r.source): r.joined for r in rows.select("path", "source", imports.joined_path(F.col("path"), F.col("source")).alias("joined")).collect()} == cases
+
+
 def test_lists_keep_their_order_and_totals(spark):
     rows = spark.createDataFrame([("p", i) for i in range(50)] + [("q", 3)], "project string, n int")
     got = files.list_of_project(rows, 2, F.col("n").desc()).orderBy("project", "rank").select("project", "n", "rank", "total").collect()
