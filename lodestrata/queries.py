@@ -151,7 +151,8 @@ def line_counts(spark, d):
     return files.with_line_counts(tables.rendered(spark, d)).select("project", "path", "lines", "blank", "comment", "code")
 
 
-@query("SELECT source AS project, 'Markdown' AS language, count(*)::BIGINT AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY 1")
+@query("""SELECT source AS project, 'Markdown' AS language, count(*)::BIGINT AS files,
+sum(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) - suffix(text, chr(10))::INTEGER END)::BIGINT AS lines FROM documents GROUP BY 1""")
 def language_stats(spark, d):
     return files.language_stats(files.with_line_counts(tables.documents(spark, d)))
 

@@ -73,10 +73,16 @@ def imports(spark: SparkSession, folder: str, oriented: bool = False) -> DataFra
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files of their source's project; one without text is an empty file."""
+    """Documents as files of their source's project; one without text is an empty file.
+
+    A text's language is no folder of a tree, so none is left out or noise for a name like ``bin`` or ``gen``.
+    """
     d = table(spark, folder, "documents")
-    path = F.format_string("%s/d%08d.md", F.col("lang"), F.col("doc_id"))
-    return as_files(d.select(F.col("source").alias("project"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content")))
+    path, content = F.format_string("%s/d%08d.md", F.col("lang"), F.col("doc_id")), F.coalesce("text", F.lit(""))
+    return d.select(
+        F.col("source").alias("project"), path.alias("path"), F.lit("Markdown").alias("language"), F.lit("md").alias("ext"),
+        F.octet_length(content).cast("long").alias("size_bytes"), content.alias("content"), F.lit(None).cast("string").alias("noise_reason"),
+    )
 
 
 def rendered(spark: SparkSession, folder: str) -> DataFrame:
