@@ -7,10 +7,11 @@ copies in as many comparisons as it has members. Buckets whose members are then
 one component are done, since no further link could change the components. Those
 still open that hang together form a family. If a bounded number of members is outside
 its largest component, these are compared with all of it, block by block inside tasks. Of other
-families (documents that share boilerplate only, say) each bucket is compared by itself; a bucket beyond that size is dealt anew by bands of
-further hashes, its smallest members first, until all its parts are small. So no
-step compares all of a large group with all of it, and pairs are made in a task's
-memory only.
+families (documents that share boilerplate only, say) each bucket is compared by itself; members of buckets beyond a task's size are dealt anew
+by their rarest shingles: of two sets that are similar enough, each holds one of the other's
+rarest quarter, and shingles of boilerplate are no rare ones. Inside a task, pairs are found
+in the same way. So no step compares all of a large group with all of it, no member goes to
+more parts than it has such shingles, and pairs are made in a task's memory only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import stored
@@ -28,9 +29,10 @@ from .memory import giving_back
 from .shingles import WordHashes, mixed, shingle_set
 
 BANDS, ROWS = 32, 4
-LEVELS = 3  # times that a bucket may be dealt anew
-SLOT = 2048  # shingles: a member takes so many slots of a group as its set fills
-MINOR_BLOCKS, FAMILY_BLOCK = 8, 4
+SLOT = 128  # shingles: a member takes so many slots of a group as its set fills
+MOST = 8192  # slots that are compared inside one task at once: 8 MB of shingles
+MINOR_BLOCKS = 4
+CHUNK = 256  # candidates that are looked at before what they joined is left out
 
 
 def _hashes(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +41,15 @@ def _hashes(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-FAMILIES = [_hashes(20240229 + level) for level in range(LEVELS + 1)]
+FACTORS, SHIFTS = _hashes(20240229)
 
 
-def minima(shingles: np.ndarray, level: int = 0, block: int = 2048) -> np.ndarray:
+def minima(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
     """The least value of each of 128 universal hashes over the shingles, upper 32 bits."""
-    factors, shifts = FAMILIES[level]
-    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), block):
-        h = factors[:, None] * shingles[None, i : i + block]
-        h += shifts[:, None]
+        h = FACTORS[:, None] * shingles[None, i : i + block]
+        h += SHIFTS[:, None]
         np.minimum(out, h.min(axis=1), out=out)
     return (out >> np.uint64(32)).astype("<u4")
 
@@ -150,36 +151,63 @@ def _pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return open_.where(able).select("a", F.col("node").alias("b")).distinct()
 
 
+def _required(n, percent: int):
+    """How many shingles a set of ``n`` shares at least with one that is similar enough."""
+    return (percent * n + 99) // 100
+
+
 def _compare(rows: pd.DataFrame, percent: int, own_band: bool) -> pd.DataFrame:
     """Links between components of a group that fits a task; what is joined already needs none.
 
-    Pairs must share a band; in a bucket, this one must be the first that they share
-    (``own_band``), since another bucket has the pair otherwise.
+    Shingles are numbered from the rarest of the group on. A set that shares ``r`` of its
+    ``n`` shingles shares one of its first ``n - r + 1``, whatever their order, so that pairs
+    meet by these only. In a bucket, it must be the first that they share (``own_band``),
+    since another bucket has the pair otherwise.
     """
     rows = rows.sort_values("node")
-    m = np.stack([np.frombuffer(x, "<u4") for x in rows["minima"]])
-    bands, sets = np.stack([band_keys(x) for x in m]), [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    ids, parts, sizes, key = rows["node"].to_numpy(), rows["component"].to_numpy(), np.array([len(x) for x in sets]), int(rows["key"].iloc[0])
-    out, root = [], {}
-
-    def top(c):
-        while c in root:
-            c = root[c]
-        return c
-
-    for i in range(len(rows) - 1):
-        able = (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])) & (parts[i + 1 :] != parts[i])
-        at = np.flatnonzero(able) + i + 1
-        shared = bands[at] == bands[i]
-        if own_band:
-            at = at[bands[i][shared.argmax(axis=1)] == key] if len(at) else at
-        else:
-            at = at[shared.any(axis=1)]
-        for j in at:
-            a, b = top(parts[i]), top(parts[j])
-            if a != b and _similar(m[i], m[j], sets[i], sets[j], percent):
-                out.append((ids[i], ids[j]))
-                root[max(a, b)] = min(a, b)
+    ids, label, sizes = rows["node"].to_numpy(), rows["component"].to_numpy(copy=True), np.array([len(x) // 8 for x in rows["shingles"]])
+    m, starts = np.stack([np.frombuffer(x, "<u4") for x in rows["minima"]]), sizes.cumsum() - sizes
+    bands, key = np.stack([band_keys(x) for x in m]) if own_band else None, int(rows["key"].iloc[0])
+    _, number, often = np.unique(np.frombuffer(b"".join(rows["shingles"]), np.uint64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    number = np.sort(owner * len(often) + rank[number]) - owner * len(often)
+    often = np.sort(often)
+
+    leading = (np.arange(len(owner)) - starts[owner] <= (sizes - _required(sizes, percent))[owner]) & (often[number] > 1)
+    lead, lead_owner = number[leading], owner[leading]
+    ends = np.bincount(lead, minlength=len(often)).cumsum()
+    at = np.concatenate([[0], ends[:-1]])  # of each shingle's holders, the first that was not looked at
+    holders, own_ends = lead_owner[np.argsort(lead, kind="stable")], np.bincount(lead_owner, minlength=len(sizes)).cumsum()
+    out, met, mark = [], np.zeros(len(sizes), bool), np.zeros(len(often), np.int32)
+    for i in range(len(sizes)):
+        own = lead[own_ends[i - 1] if i else 0 : own_ends[i]]
+        at[own] += 1  # itself
+        for a, b in zip(at[own].tolist(), ends[own].tolist(), strict=True):
+            met[holders[a:b]] = True
+        left = np.flatnonzero(met)
+        if not len(left):
+            continue
+        met[left] = False
+        left = left[100 * np.minimum(sizes[left], sizes[i]) >= percent * np.maximum(sizes[left], sizes[i])]
+        mark[number[starts[i] : starts[i] + sizes[i]]] = 1
+        while len(left := left[label[left] != label[i]]):
+            some, left = left[:CHUNK], left[CHUNK:]
+            some = some[(m[some] == m[i]).mean(axis=1) >= 0.5]
+            if own_band:
+                shared = bands[some] == bands[i]
+                some = some[shared.any(axis=1) & (bands[i][shared.argmax(axis=1)] == key)]
+            if not len(some):
+                continue
+            of = [number[starts[j] : starts[j] + sizes[j]] for j in some]
+            both = np.add.reduceat(mark[np.concatenate(of)], sizes[some].cumsum() - sizes[some])
+            for j in some[100 * both >= percent * (sizes[i] + sizes[some] - both)]:
+                a, b = sorted((label[i], label[j]))
+                if a != b:
+                    out.append((ids[i], ids[j]))
+                    label[label == b] = a
+        mark[number[starts[i] : starts[i] + sizes[i]]] = 0
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -198,12 +226,12 @@ def _families(placed: DataFrame) -> DataFrame:
 def _family_blocks(placed: DataFrame, most: int) -> DataFrame:
     """Groups (key, node, component) of families whose members outside the largest component fill at most MINOR_BLOCKS blocks.
 
-    Each block of these meets each block of all members; a block is FAMILY_BLOCK * ``most``
-    slots. So a member is copied at most MINOR_BLOCKS / FAMILY_BLOCK times, and one
-    outside once for each block of the family.
+    Each block of these meets each block of all members; a block is ``most`` slots. So
+    a member is copied at most MINOR_BLOCKS times, and one outside once for each block
+    of the family.
     """
     of = _families(placed).where(F.col("minors") <= most * MINOR_BLOCKS)
-    blocks, outside = (F.ceil(F.col(c) / (most * FAMILY_BLOCK)).cast("long").alias(to) for c, to in (("n", "blocks"), ("minors", "outside")))
+    blocks, outside = (F.ceil(F.col(c) / most).cast("long").alias(to) for c, to in (("n", "blocks"), ("minors", "outside")))
     rows = placed.join(of.where("minors > 0").select("family", "major", blocks, outside), "family")
     all_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks")
@@ -212,22 +240,28 @@ def _family_blocks(placed: DataFrame, most: int) -> DataFrame:
     return among.unionByName(apart).select(F.xxhash64("family", "i", "j").alias("key"), "node", "component").distinct()
 
 
-def _dealt_anew(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """Members of large buckets in parts of them: by bands of further hashes."""
+def _dealt_anew(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (key, node, n) in parts that miss no similar pair: by the shingles of each that are rarest among all of them, as in ``_compare``.
+
+    Parts with the same members, as those of one line's shingles, are one.
+    """
 
-    def bands(batches):
+    def listed(batches):
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "bands": [band_keys(minima(np.frombuffer(s, np.uint64), level)) for s in b["shingles"]]})
+            yield pd.DataFrame({"node": b["node"], "n": [len(s) // 8 for s in b["shingles"]], "shingles": [np.frombuffer(s, np.int64) for s in b["shingles"]]})
 
-    further = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInPandas(giving_back(bands), "node long, bands array<long>")
-    rows = members.select("key", "node", "n").join(further, "node").select("node", "n", F.explode("bands").alias("band"), "key")
-    rows = rows.select(F.xxhash64("key", "band").alias("key"), "node", "n")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    return stored(rows.join(shared, "key"), "buckets")
+    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInPandas(giving_back(listed), "node long, n long, shingles array<long>")
+    rows = stored(rows.select("node", "n", F.explode("shingles").alias("key")), "shingles")
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("often")), "key")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "key"))
+    required = F.expr(f"({percent} * n + 99) div 100")
+    rows = stored(rows.withColumn("place", place).where((F.col("place") <= F.col("n") - required + 1) & (F.col("often") > 1)).select("key", "node", "n"), "rarest")
+    parts = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("part"), "node")).alias("y"))
+    return stored(rows.join(parts.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "buckets")
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """Links inside groups of any size, block by block: what is left when further bands did not part them."""
+    """Links inside groups of any size, block by block: what is left when rare shingles did not part them."""
     blocks = F.ceil(F.col("size") / most).cast("long")
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), blocks)
     rows = members.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
@@ -235,7 +269,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, most: int) -
     return _group_links(rows.select(pair, "node", "component"), sets, percent)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, most: int = MOST) -> DataFrame:
     """(doc_id, text) -> (row, doc_id, h1, h2, n_shingles, component_id, kept, stays), one row per row.
 
     Links: 100 * intersection >= percent * union of the shingle sets. A row without
@@ -244,8 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
     ``kept`` tells that it is the row's own. ``stays`` marks exactly one row of each
     component, that of the smallest doc_id (nulls last), then of the least text hash
     (h1, h2), and each row without words. An empty table gives no rows; other columns
-    are not read. ``most`` bounds what is compared inside one task at once: in members,
-    or where sets are long, in slots of SLOT shingles.
+    are not read. ``most`` bounds what is compared inside one task at once: in slots of
+    SLOT shingles, of which a member takes one at least.
     """
     signed = stored(signatures(docs), "signatures")
     linked = signed.where("same is not null")
@@ -266,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
     found = joined(_links(_pivot_pairs(open_, percent), sets, percent), found)
 
     # What is still open: families with few members outside their largest component, then the small buckets of the others,
-    # then the large buckets level by level.
+    # then the members of their large buckets, dealt anew.
     open_ = _open_members(members, found)
     family = components(open_.where("node <> a"), "a", "node").select("node", F.col("component").alias("family"))
     placed = stored(open_.select("node", "component", "n").distinct().join(family, "node"), "families")
@@ -276,17 +310,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, most: int = 512) -> Data
         wide = stored(open_.join(wide, "node"), "wide-families")
         links = links.unionByName(_group_links(wide.where(F.col("size") <= most), sets, percent, own_band=True))
     found = joined(links, found)
-    large, level = wide.where(F.col("size") > most) if some_wide else None, 0
-    while large is not None and not large.isEmpty():
-        if level == LEVELS:
-            found = joined(_block_links(_open_members(large.select("key", "node", "n"), found), sets, percent, most), found)
-            break
-        level += 1
-        members = _dealt_anew(large, sets, level)
+    if some_wide and not (large := wide.where(F.col("size") > most)).isEmpty():
+        members = _dealt_anew(large.select("node").distinct(), sets, percent)
         found = joined(_links(_pivot_pairs(_open_members(members, found), percent), sets, percent), found)
         open_ = _open_members(members, found)
         found = joined(_group_links(open_.where(F.col("size") <= most), sets, percent), found)
-        large = open_.where(F.col("size") > most)
+        if not (large := open_.where(F.col("size") > most)).isEmpty():
+            found = joined(_block_links(_open_members(large.select("key", "node", "n"), found), sets, percent, most), found)
 
     found = stored(found, "components")
     of = standing.join(found, "node", "left").select("same", "head", F.coalesce("component", "node").alias("component"))

@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,38 @@ def test_near_duplicates_that_share_boilerplate(spark):
     assert got == classes(rows)
 
 
+def test_large_buckets_are_dealt_anew_in_few_rows(spark, monkeypatch):
+    """By rare shingles and once, not by further bands and level by level."""
+    made, stored = [], near_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "buckets":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    rows = boilerplate(250, seed=4)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == classes(rows)
+    assert len(made) == 2 and made[1] < made[0]
+
+
+def test_a_group_compares_few_of_its_pairs():
+    """2,000 sets that share 70 of 100 shingles, similar to half and never enough; five have a near copy."""
+    r = np.random.default_rng(6)
+    draw = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    shared = draw(70)
+    sets = [np.concatenate([shared, draw(30)]) for _ in range(2_000)]
+    sets += [np.concatenate([x[:95], draw(5)]) for x in sets[:5]]
+    sets, ids = [np.sort(x) for x in sets], range(len(sets))
+    group = pd.DataFrame({"key": 1, "node": ids, "component": ids, "minima": [near_dedup.minima(x).tobytes() for x in sets], "shingles": [x.tobytes() for x in sets]})
+    began = time.process_time()
+    got = near_dedup._compare(group, 75, False)
+    assert {(int(a), int(b)) for a, b in zip(got["a"], got["b"], strict=True)} == {(i, 2_000 + i) for i in range(5)}
+    assert time.process_time() - began < 5
+
+
 def test_block_links_miss_no_pair(spark):
     rows = boilerplate(40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
